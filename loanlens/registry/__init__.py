@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.registry import previous
+from loanlens.registry import bureau, clients, previous
 
-MODULES = (previous,)
+MODULES = (previous, bureau, clients)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
