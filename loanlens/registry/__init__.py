@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.registry import bureau, clients, previous
+from loanlens.registry import bureau, clients, previous, profiling
 
-MODULES = (previous, bureau, clients)
+MODULES = (previous, bureau, clients, profiling)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
