@@ -178,32 +178,31 @@ def hash_order(df: DataFrame, label: str, ids: list[str], seed: int, name: str =
     return ordered.withColumn(name, F.col("__base") + F.col("__inner")).select(*df.columns, name)
 
 
-def first_of_class(df: DataFrame, label: str, ids: list[str], seed: int, quotas: DataFrame) -> DataFrame:
-    """Add `taken`: is the row among the first `quota` rows of its class in hash order?
+def first_of_class(df: DataFrame, label: str, ids: list[str], seed: int, quotas: dict) -> DataFrame:
+    """Add `taken`: is the row among the first `quotas[class]` rows of its class in hash order?
 
-    `quotas` has one row per class (label, quota).  The quota-th row of each class is located
-    first, from slice sizes and the single slice that holds it; marking the rows is then a
-    comparison with that one row per class, so the wide rows are never sorted or shuffled.
+    The last row to take is located first, from slice sizes and the single slice that holds it;
+    marking the rows is then a comparison with that one row per class, so the wide rows are
+    neither sorted nor shuffled.  `ids` must identify a row.
     """
-    classes = [tuple(r) for r in quotas.select(label, "quota").collect()]  # one row per class
     narrow = df.select(label, hash_key(ids, seed).alias("__key")).withColumn(
         "__slice", F.shiftright(F.col("__key.hash"), 48))
     sizes = narrow.groupBy(label, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.partitionBy(label).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
     quota = F.lit(None).cast("long")
-    for value, q in classes:
+    for value, q in quotas.items():
         quota = F.when(F.col(label) == F.lit(value), F.lit(int(q))).otherwise(quota)
     ends = sizes.withColumn("__end", F.sum("__n").over(upto)).withColumn("__quota", quota)
     slices = ends.filter((F.col("__end") >= F.col("__quota")) & (F.col("__end") - F.col("__n") < F.col("__quota"))).select(
         label, "__slice", (F.col("__quota") - (F.col("__end") - F.col("__n"))).alias("__place"))
     inside = Window.partitionBy(label, "__slice").orderBy("__key")
     last = (
-        narrow.join(F.broadcast(slices), [label, "__slice"])  # at most one row per class
+        narrow.join(F.broadcast(slices), [label, "__slice"])  # one row per class
         .withColumn("__inner", F.row_number().over(inside))
         .filter(F.col("__inner") == F.col("__place"))
         .select(F.col(label).alias("__label"), F.col("__key").alias("__last"))
     )
     marked = df.withColumn("__key", hash_key(ids, seed)).join(
-        F.broadcast(last), F.col(label) == F.col("__label"), "left")
+        F.broadcast(last), F.col(label) == F.col("__label"), "left")  # one row per class
     taken = F.coalesce(F.col("__key") <= F.col("__last"), F.lit(False))
     return marked.withColumn("taken", taken).select(*df.columns, "taken")
