@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.registry import bureau, clients, evaluation, preparation, previous, profiling
+from loanlens.registry import bureau, clients, evaluation, preparation, previous, profiling, resampling
 
-MODULES = (previous, bureau, clients, profiling, preparation, evaluation)
+MODULES = (previous, bureau, clients, profiling, preparation, evaluation, resampling)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
