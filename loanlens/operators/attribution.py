@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanlens.functions.ordering import hash_order
+from loanlens.operators.models import auc, fit_boosting
+from loanlens.sources.tables import stage
+
 
 def column_means(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Background means for the attribution; one pass, one number per column."""
@@ -42,3 +47,66 @@ def vector_attribution(
     size = F.abs(F.get(w, "slot") * (F.col("value") - F.get(m, "slot")))
     return values.groupBy("slot").agg(F.avg(size).alias("importance")).select(
         F.get(label, "slot").alias("feature"), "importance").orderBy(F.desc("importance"), "feature")
+
+
+def permutation_importance(
+    model: Model, df: DataFrame, label: str, ids: list[str], columns: list[str], seed: int = 0
+) -> DataFrame:
+    """Loss of ROC area when one column's values are dealt out anew: (feature, importance), largest first.
+
+    Row number p of one hash order receives the value of row number p of another, so every value is
+    used once and any rerun deals the same way.
+    """
+    whole = df.withColumn("__all", F.lit(1))
+    seats = stage(hash_order(whole, "__all", ids, seed, "__seat").drop("__all"))
+    base = auc(model, seats, label)
+    rows = []
+    for i, c in enumerate(columns, start=1):
+        dealt = hash_order(whole.select("__all", *ids, c), "__all", ids, seed + i, "__seat").select(
+            "__seat", F.col(c).alias("__value"))
+        shuffled = seats.join(dealt, "__seat").withColumn(c, F.col("__value")).drop("__value")
+        rows.append((c, float(base - auc(model, shuffled, label))))
+    out = df.sparkSession.createDataFrame(rows, "feature string, importance double")
+    return out.orderBy(F.desc("importance"), "feature")
+
+
+def zero_importance(importances: DataFrame) -> list[str]:
+    """Features that do not matter at all."""
+    return [r["feature"] for r in importances.filter("importance = 0").orderBy("feature").collect()]
+
+
+def tree_importances(model: PipelineModel, columns: list[str]) -> dict[str, float]:
+    """Split importance per input column of a boosted pipeline (one vector slot per column)."""
+    return dict(zip(columns, model.stages[-1].featureImportances.toArray().tolist()))
+
+
+def refit_without(
+    train: DataFrame, validation: DataFrame, label: str, columns: list[str], unwanted: list[str], rounds: int = 100,
+    weight: str | None = None, params: dict | None = None
+) -> tuple[PipelineModel, list[str]]:
+    """Retrain on the remaining columns; returns the model and those columns."""
+    kept = [c for c in columns if c not in unwanted]
+    return fit_boosting(train, validation, label, kept, rounds, weight, params), kept
+
+
+def recursive_elimination(
+    train: DataFrame, validation: DataFrame, label: str, columns: list[str], drop_each: int = 10, max_iter: int = 10,
+    rounds: int = 100, params: dict | None = None
+) -> DataFrame:
+    """Fit, note the validation area, drop the least important columns, repeat.
+
+    Returns (n_features, roc_auc, dropped).  Stops early when no column would be left.
+    """
+    train, validation = train.persist(), validation.persist()
+    kept, rows = list(columns), []
+    for _ in range(max_iter):
+        model = fit_boosting(train, validation, label, kept, rounds, params=params)
+        weakest = sorted(tree_importances(model, kept).items(), key=lambda x: x[1])[:drop_each]
+        dropped = [c for c, _ in weakest]
+        rows.append((len(kept), float(auc(model, validation, label)), dropped))
+        kept = [c for c in kept if c not in dropped]
+        if not kept:
+            break
+    train.unpersist()
+    validation.unpersist()
+    return train.sparkSession.createDataFrame(rows, "n_features int, roc_auc double, dropped array<string>")

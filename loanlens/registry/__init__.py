@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.registry import bureau, clients, evaluation, preparation, previous, profiling, resampling
-
-MODULES = (previous, bureau, clients, profiling, preparation, evaluation, resampling)
+from loanlens.registry import (
+    bureau,
+    clients,
+    evaluation,
+    modelling,
+    preparation,
+    previous,
+    profiling,
+    resampling,
+    scoring,
+)
+
+MODULES = (previous, bureau, clients, profiling, preparation, evaluation, resampling, modelling, scoring)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
