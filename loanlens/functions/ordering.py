@@ -71,7 +71,7 @@ def value_ranks(
     splits = range_splits(df, columns, ranges)
     source = df.select(
         *by,
-        *[F.col(c).cast("double").alias(f"v_{i}") for i, c in enumerate(columns)],
+        *[(F.col(c).cast("double") + 0.0).alias(f"v_{i}") for i, c in enumerate(columns)],  # no -0.0: it sorts apart
         *[s.alias(f"s_{name}") for name, s in sums.items()],
     )
     marked = Bucketizer(

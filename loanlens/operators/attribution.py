@@ -95,9 +95,9 @@ def recursive_elimination(
 ) -> DataFrame:
     """Fit, note the validation area, drop the least important columns, repeat.
 
-    Returns (n_features, roc_auc, dropped).  Stops early when no column would be left.
+    Returns (n_features, roc_auc, dropped).  Stops early when no column would be left.  Both frames are
+    read once per round and level, so pass stored ones.
     """
-    train, validation = train.persist(), validation.persist()
     kept, rows = list(columns), []
     for _ in range(max_iter):
         model = fit_boosting(train, validation, label, kept, rounds, params=params)
@@ -107,6 +107,4 @@ def recursive_elimination(
         kept = [c for c in kept if c not in dropped]
         if not kept:
             break
-    train.unpersist()
-    validation.unpersist()
     return train.sparkSession.createDataFrame(rows, "n_features int, roc_auc double, dropped array<string>")

@@ -59,6 +59,6 @@ def linear_scorer(df: DataFrame, label: str, ids: list[str], blocks: preprocess.
 
 def tree_scorer(df: DataFrame, label: str, ids: list[str], columns: list[str], rounds: int = 100, weight: str | None = None) -> PipelineModel:
     """Boosted trees: rounds chosen on held-out rows, then trained on all rows."""
-    train, validation = sampling.stratified_split(df, label, ids)
+    train, validation = (stage(part) for part in sampling.stratified_split(df, label, ids))
     chosen = models.fit_boosting(train, validation, label, columns, rounds, weight)
     return models.refit_boosting(df, chosen, label, columns, weight)

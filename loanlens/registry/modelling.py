@@ -46,6 +46,12 @@ def _vectors(spark: SparkSession, sf_dir: str) -> plan.Prepared:
     return plan.prepare(df, "label", ID, _blocks(df))
 
 
+def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows, stored: boosting reads them once per round and level."""
+    train, validation = sampling.stratified_split(df, "label", ID)
+    return stage(train), stage(validation)
+
+
 def _tree_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("SK_ID_CURR", "label")]
 
@@ -75,7 +81,7 @@ def boosting_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees on undersampled and on weighted rows, stopped early."""
     df = labelled(spark, sf_dir)
     columns = _tree_columns(df)
-    train, validation = sampling.stratified_split(df, "label", ID)
+    train, validation = _split(df)
     under = sampling.undersample(train, "label", ID).withColumn("weight", F.lit(1.0))
     weight = F.when(F.col("label") == 1, F.lit(sampling.positive_weight(train, "label"))).otherwise(1.0)
     fits = {"BoostedTrees": lambda d: models.fit_boosting(d, validation, "label", columns, rounds=20, weight="weight")}
@@ -86,7 +92,7 @@ def boosting_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds chosen on held-out rows, then a fit on all rows; one row per number of rounds."""
     df = labelled(spark, sf_dir)
     columns = _tree_columns(df)
-    train, validation = sampling.stratified_split(df, "label", ID)
+    train, validation = _split(df)
     chosen = models.fit_boosting(train, validation, "label", columns, rounds=20)
     final = models.refit_boosting(df, chosen, "label", columns)
     scored = models.default_probability(final.transform(df))
@@ -103,13 +109,17 @@ def cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random points of the search space on a stratified 30 % of the rows, by mean held-out area."""
+    """Random points of the search space on a stratified 30 % of the rows, by mean held-out area.
+
+    The leaf-size range is scaled to this table, which has fewer rows than the smallest leaf allowed.
+    """
     df = labelled(spark, sf_dir)
     sample, _ = sampling.stratified_split(df, "label", ID, test_size=0.7)
     columns = _tree_columns(df)
     inputs, bins = models.tree_inputs(sample, columns)
     ready = stage(inputs.transform(sample).select("SK_ID_CURR", "label", "features"))
-    out = models.random_search(ready, "label", ID, trials=3, k=3, rounds=5, bins=bins)
+    space = {**models.SEARCH_SPACE, "min_data_in_leaf": ("int", 5, 20)}
+    out = models.random_search(ready, "label", ID, trials=3, k=3, rounds=5, bins=bins, space=space)
     return out.select("trial", "roc_auc", F.map_keys("parameters").alias("parameters"))
 
 
@@ -126,7 +136,7 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of area when a column's values are dealt out anew."""
     df = labelled(spark, sf_dir)
     columns = ["EXT_SOURCE_2", "AVG_EXT_SOURCE", "AMT_CREDIT", "CODE_GENDER", "HAD_DPD_PREV"]
-    train, validation = sampling.stratified_split(df, "label", ID)
+    train, validation = _split(df)
     model = models.fit_boosting(train, validation, "label", columns, rounds=10)
     return attribution.permutation_importance(model, validation, "label", ID, columns)
 
@@ -135,8 +145,7 @@ def drop_and_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area before and after dropping the columns the trees never split on."""
     df = labelled(spark, sf_dir)
     columns = _tree_columns(df)
-    train, validation = sampling.stratified_split(df, "label", ID)
-    train, validation = train.persist(), validation.persist()
+    train, validation = _split(df)
     first = models.fit_boosting(train, validation, "label", columns, rounds=10)
     unused = [c for c, x in attribution.tree_importances(first, columns).items() if x == 0]
     second, kept = attribution.refit_without(train, validation, "label", columns, unused, rounds=10)
@@ -148,7 +157,7 @@ def drop_and_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recursive_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area by number of columns while the least important ones are dropped."""
     df = labelled(spark, sf_dir)
-    train, validation = sampling.stratified_split(df, "label", ID)
+    train, validation = _split(df)
     return attribution.recursive_elimination(train, validation, "label", _tree_columns(df), drop_each=20, max_iter=3, rounds=5)
 
 
