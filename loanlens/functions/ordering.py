@@ -59,12 +59,14 @@ def value_ranks(
     columns: list[str],
     by: list[str] | None = None,
     sums: dict[str, Column] | None = None,
+    previous: bool = False,
     ranges: int = 256,
 ) -> DataFrame:
     """Distinct values of each column with the number of rows below them.
 
     Returns `by` columns, `column`, `value`, `n`, `before_n`, `total_n` and, for each entry of
-    `sums`, the same three for that sum.  Rows with a missing value or a missing `by` are left out.
+    `sums`, the same three for that sum; with `previous` also `previous_*`, the numbers of the next
+    lower value.  Rows with a missing value or a missing `by` are left out.
     """
     by = by or []
     sums = sums or {}
@@ -84,32 +86,41 @@ def value_ranks(
         F.struct(F.lit(c).alias("column"), F.col(f"r_{i}").cast("int").alias("range"), F.col(f"v_{i}").alias("value"))
         for i, c in enumerate(columns)
     ]
-    long = marked.select(*by, *[f"s_{name}" for name in sums], F.explode(F.array(*cells)).alias("cell")).select(
-        *by, *[f"s_{name}" for name in sums], "cell.*")
-    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    added = [f"s_{name}" for name in sums]
+    long = marked.select(*by, *added, F.explode(F.array(*cells)).alias("cell")).select(*by, *added, "cell.*")
+    # The null test on `range` says nothing new, but the joins below would add it on one side only,
+    # and the counts would be computed twice instead of being shared.
+    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value") & F.col("range").isNotNull())
     for key in by:
         long = long.filter(F.col(key).isNotNull())
 
     measures = ["n", *sums]
-    counts = long.groupBy(*by, "column", "range", "value").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(f"s_{name}").alias(name) for name in sums])
     group = [*by, "column"]
-    below = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = long.groupBy(*group, "range", "value").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"s_{name}").alias(name) for name in sums])
+    # at most `ranges` rows per group are ordered here
+    ordered = Window.partitionBy(*group).orderBy("range")
+    below = ordered.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
-    bases = counts.groupBy(*group, "range").agg(*[F.sum(m).alias(m) for m in measures]).select(
+    tops = [F.max_by(m, "value").alias(f"top_{m}") for m in measures] if previous else []
+    bases = counts.groupBy(*group, "range").agg(*[F.sum(m).alias(m) for m in measures], *tops).select(
         *group, "range",
         *[F.coalesce(F.sum(m).over(below), F.lit(0)).alias(f"base_{m}") for m in measures],
         *[F.sum(m).over(whole).alias(f"total_{m}") for m in measures],
+        *[F.lag(f"top_{m}").over(ordered).alias(f"top_{m}") for m in measures if previous],
     )
-    inside = Window.partitionBy(*group, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "range").orderBy("value")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.select(
         *group, "range", "value", *measures,
-        *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"inner_{m}") for m in measures],
+        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"inner_{m}") for m in measures],
+        *[F.lag(m).over(inside).alias(f"near_{m}") for m in measures if previous],
     ).join(bases, [*group, "range"])
     return ranked.select(
-        *group, "range", "value", *measures,
+        *group, "value", *measures,
         *[(F.col(f"base_{m}") + F.col(f"inner_{m}")).alias(f"before_{m}") for m in measures],
         *[f"total_{m}" for m in measures],
+        *[F.coalesce(f"near_{m}", f"top_{m}").alias(f"previous_{m}") for m in measures if previous],
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions.ordering import value_ranks
@@ -38,9 +38,9 @@ def threshold_scores(df: DataFrame, label: str, probability: str) -> DataFrame:
         share(tp, tp + fp).alias("precision"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def _ranked_scores(df: DataFrame, label: str, score: str) -> DataFrame:
+def _ranked_scores(df: DataFrame, label: str, score: str, previous: bool = False) -> DataFrame:
     """Distinct scores with their positive rows and the rows and positives below them."""
-    return value_ranks(df, [score], sums={"pos": F.col(label).cast("long")})
+    return value_ranks(df, [score], sums={"pos": F.col(label).cast("long")}, previous=previous)
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -69,17 +69,10 @@ def roc_curve(df: DataFrame, label: str, score: str, drop_collinear: bool = True
     A point whose two neighbours continue its line is dropped on request: it is one whose next
     lower score adds the same numbers of rows of both classes.
     """
-    ranked = _ranked_scores(df, label, score)
+    ranked = _ranked_scores(df, label, score, previous=drop_collinear)
     if drop_collinear:
-        # the next lower score is in the same value range, or is the highest of the range below
-        inside = Window.partitionBy("range").orderBy("value")
-        step = F.struct("n", "pos")
-        tops = ranked.groupBy("range").agg(F.max_by(step, "value").alias("top"))
-        lower = tops.select("range", F.lag("top").over(Window.partitionBy(F.lit(0)).orderBy("range")).alias("top_below"))
-        ranked = ranked.withColumn("in_range", F.lag(step).over(inside)).join(lower, "range").withColumn(
-            "next", F.coalesce("in_range", "top_below"))
-        first = F.col("before_n") == 0
-        ranked = ranked.filter(first | ~F.col("next").eqNullSafe(F.struct("n", "pos")))
+        same = (F.col("previous_n") == F.col("n")) & (F.col("previous_pos") == F.col("pos"))
+        ranked = ranked.filter(~F.coalesce(same, F.lit(False)))
     neg, before_neg, total_neg = (F.col(f"{k}n") - F.col(f"{k}pos") for k in ("", "before_", "total_"))
     points = ranked.select(
         F.try_divide((total_neg - before_neg).cast("double"), total_neg.cast("double")).alias("fpr"),

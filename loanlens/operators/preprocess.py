@@ -217,9 +217,12 @@ def mode_impute(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def dummies(df: DataFrame, columns: list[str]) -> dict[str, Column]:
-    """One 0/1 column per category; a missing category is 0 in all of them."""
+    """One 0/1 column per category; a missing category is 0 in all of them.
+
+    Dots in a category become underscores, as they would name a nested field.
+    """
     levels = level_counts(df, columns)
-    return {f"{c}_{v}": F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast("int")
+    return {f"{c}_{v}".replace(".", "_"): F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast("int")
             for c in columns for v in _present(levels[c])}
 
 

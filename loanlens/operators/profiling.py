@@ -10,11 +10,14 @@ import math
 from functools import reduce
 from operator import add
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions.nulls import numeric_columns, string_columns
 from loanlens.functions.ordering import quantiles, value_ranks
+from loanlens.sources.tables import stage
 
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -189,16 +192,39 @@ def crosstab_share(df: DataFrame, rows: str, columns: str) -> DataFrame:
     return wide.select(rows, F.explode(F.array(*cells)).alias("cell")).select(rows, "cell.*")
 
 
+PAIRS_PER_PASS = 300
+
+
 def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Correlation of every ordered pair over the rows where both are present; one aggregation."""
+    """Correlation of every ordered pair over the rows where both are present.
+
+    One aggregation serves up to 300 pairs (24 columns); wider requests take several passes.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    both = {(a, b): F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs}
-    wide = df.agg(*[
-        F.corr(F.when(both[p], F.col(p[0]).cast("double")), F.when(both[p], F.col(p[1]).cast("double"))).alias(f"c{i}")
-        for i, p in enumerate(pairs)])
-    cells = [F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), F.col(f"c{i}").alias("corr"))
-             for i, (a, b) in enumerate(pairs) for x, y in ({(a, b), (b, a)} if a != b else [(a, b)])]
-    return wide.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    passes = [_pearson_pass(df, pairs[i:i + PAIRS_PER_PASS]) for i in range(0, len(pairs), PAIRS_PER_PASS)]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _pearson_pass(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    parts, cells = [], []
+    for i, (a, b) in enumerate(pairs):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        parts.append(F.corr(F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))).alias(f"c{i}"))
+        for x, y in [(a, b)] if a == b else [(a, b), (b, a)]:
+            cells.append(F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), F.col(f"c{i}").alias("corr")))
+    return df.agg(*parts).select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+
+
+def matrix_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Correlation of every ordered pair for columns without missing cells, however many there are.
+
+    One distributed pass sums a columns x columns matrix, which is all that reaches the driver.
+    """
+    vectors = VectorAssembler(inputCols=columns, outputCol="__vector").transform(df).select("__vector")
+    matrix = Correlation.corr(vectors, "__vector", "pearson").first()[0].toArray()
+    rows = [(a, b, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
+            for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "left string, right string, corr double")
 
 
 def average_ranks(df: DataFrame, columns: list[str], ids: list[str], hot_share: float = 0.001) -> DataFrame:
@@ -229,8 +255,11 @@ def average_ranks(df: DataFrame, columns: list[str], ids: list[str], hot_share:
 
 
 def spearman_pairs(df: DataFrame, columns: list[str], ids: list[str]) -> DataFrame:
-    """Rank correlation of every ordered pair; the frame must have no missing cells in `columns`."""
-    return pearson_pairs(average_ranks(df, columns, ids), columns)
+    """Rank correlation of every ordered pair; the frame must have no missing cells in `columns`.
+
+    The ranks are stored, as the correlation reads them more than once.
+    """
+    return matrix_pairs(stage(average_ranks(df, columns, ids)), columns)
 
 
 def strong_pairs(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:

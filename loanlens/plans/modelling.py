@@ -23,8 +23,12 @@ class Prepared:
 
 
 def prepare(df: DataFrame, label: str, ids: list[str], blocks: preprocess.Blocks, test_size: float = 0.2, seed: int = 0) -> Prepared:
-    """Split first, learn the preprocessing on the training rows only, then store both vector frames."""
+    """Split first, learn the preprocessing on the training rows only, then store both vector frames.
+
+    The training rows are stored before fitting, which reads them several times.
+    """
     train, validation = sampling.stratified_split(df, label, ids, test_size, seed)
+    train = stage(train)
     fitted = preprocess.fit_preprocessor(train, blocks)
     ready = [stage(fitted.transform(part).select(*ids, label, "features")) for part in (train, validation)]
     return Prepared(ready[0], ready[1], fitted)

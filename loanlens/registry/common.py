@@ -11,6 +11,7 @@ from loanlens.sources.views import table, view
 
 TIE = "ROW_TIEBREAK"
 DIGITS = 6
+NUDGE = 1e-10
 
 
 class Lending:
@@ -18,12 +19,16 @@ class Lending:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._raw: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        self.__dict__[name] = view(self.raw, name)  # read each table's footer once
+        return self.__dict__[name]
 
     def raw(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        if name not in self._raw:
+            self._raw[name] = table(self.spark, self.sf_dir, name)
+        return self._raw[name]
 
     def loans(self) -> DataFrame:
         return features.clean_loans(self.prev_apps, self.pos_cash, self.installments, self.credit_card, TIE)
@@ -46,13 +51,18 @@ class Lending:
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every double, as the order of summation differs between engines; adding 0 drops -0."""
+    """Round every double, as the order of summation differs between engines.
+
+    The nudge moves decimal ties (a mean of 32 prices ends in a 5 one digit further on) off the
+    rounding boundary, where the last bit would decide; adding 0 drops a negative zero.
+    """
     return df.select([
-        (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        (F.round(F.col(f.name) + F.lit(NUDGE), digits) + F.lit(0.0)).alias(f.name)
+        if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields
     ])
 
 
 def rsql(**columns: str) -> str:
     """Select-list text that rounds each expression to the comparison precision."""
-    return ",\n ".join(f"round(cast({e} as double), {DIGITS}) + 0e0 as {name}" for name, e in columns.items())
+    return ",\n ".join(f"round(cast({e} as double) + {NUDGE!r}, {DIGITS}) + 0e0 as {name}" for name, e in columns.items())

@@ -126,7 +126,7 @@ def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean attribution size of every assembled feature in a linear model trained on undersampled rows."""
     ready = _vectors(spark, sf_dir)
-    under = sampling.undersample(ready.train, "label", ID)
+    under = stage(sampling.undersample(ready.train, "label", ID))
     model = models.linear_estimator(under, "label", max_iter=200).fit(under)
     return attribution.vector_attribution(
         ready.validation, under, model.coefficients.toArray().tolist(), preprocess.feature_names(ready.train))
@@ -161,7 +161,14 @@ def recursive_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.recursive_elimination(train, validation, "label", _tree_columns(df), drop_each=20, max_iter=3, rounds=5)
 
 
+def redundant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strongly rank-correlated columns of the whole encoded client matrix."""
+    one_hot = ["NAME_CONTRACT_TYPE", "NAME_TYPE_SUITE", "NAME_INCOME_TYPE", "NAME_FAMILY_STATUS", "NAME_HOUSING_TYPE",
+               "OCCUPATION_TYPE", "ORGANIZATION_TYPE"]
+    return plan.redundant_pairs(Lending(spark, sf_dir).matrix(), one_hot, ID)
+
+
 QUERIES = {f.__name__: f for f in (
     model_auc_grid, model_scores, boosting_auc, boosting_refit, cv_scores, random_search, linear_importance,
-    permutation_importance, drop_and_refit, recursive_elimination)}
+    permutation_importance, drop_and_refit, recursive_elimination, redundant_pairs)}
 SQL: dict[str, str] = {}

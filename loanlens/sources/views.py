@@ -8,6 +8,7 @@ without history and clients without loans.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,11 +98,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One lending table as a DataFrame."""
+def view(read: Callable[[str], DataFrame], name: str) -> DataFrame:
+    """One lending table as a DataFrame; `read` returns a test table by name."""
     text = VIEWS[name]
-    used = {t: table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem") if "{" + t + "}" in text}
-    return spark.sql(text, **used)
+    used = {t: read(t) for t in ("customer", "orders", "lineitem") if "{" + t + "}" in text}
+    return next(iter(used.values())).sparkSession.sql(text, **used)
 
 
 def view_sql(name: str) -> str:

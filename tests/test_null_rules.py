@@ -87,3 +87,18 @@ def test_parquet_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
     tables.write_table(df, str(tmp_path / "t"))
     assert sorted(map(tuple, tables.read_table(spark, str(tmp_path / "t")).collect())) == [(1, "a"), (2, None)]
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    for name in ("left_b", "right_b"):
+        df = spark.range(100).select(F.col("id").alias("SK_ID_CURR"), F.lit(1).alias(name))
+        df.write.mode("overwrite").option("path", str(tmp_path / name)).bucketBy(4, "SK_ID_CURR").sortBy("SK_ID_CURR").saveAsTable(name)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = spark.table("left_b").join(spark.table("right_b"), "SK_ID_CURR", "left")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("drop table left_b")
+        spark.sql("drop table right_b")

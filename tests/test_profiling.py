@@ -83,3 +83,15 @@ def test_missing_profiles(spark):
     assert [tuple(r) for r in profiling.missing_by_row(df).collect()] == [(1, 2), (2, 1)]
     assert {tuple(r) for r in profiling.missing_pattern(df, ["a", "b"]).collect()} == {(0, 1, 1, 1), (1, 1, 1, 2), (0, 0, 1, 0)}
     assert profiling.distinct_values(df).filter(F.col("value").isNull()).count() == 1
+
+
+def test_wide_correlations_take_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(profiling, "PAIRS_PER_PASS", 4)
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(60, 5)), columns=list("abcde"))
+    got = profiling.pearson_pairs(spark.createDataFrame(pdf), list("abcde")).toPandas()
+    other = profiling.matrix_pairs(spark.createDataFrame(pdf), list("abcde")).toPandas()
+    want = pdf.corr()
+    assert len(got) == len(other) == 25
+    for frame in (got, other):
+        assert all(r.corr == pytest.approx(want.loc[r.left, r.right]) for r in frame.itertuples())
