@@ -61,9 +61,11 @@ def value_ranks(
     sums: dict[str, Column] | None = None,
     previous: bool = False,
     ranges: int = 256,
+    coded: bool = False,
 ) -> DataFrame:
     """Distinct values of each column with the number of rows below them.
 
+    Columns are shuffled as their position in `columns`; `coded` leaves it that way.
     Returns `by` columns, `column`, `value`, `n`, `before_n`, `total_n` and, for each entry of
     `sums`, the same three for that sum; with `previous` also `previous_*`, the numbers of the next
     lower value.  Rows with a missing value or a missing `by` are left out.
@@ -83,7 +85,7 @@ def value_ranks(
         handleInvalid="keep",
     ).transform(source)
     cells = [
-        F.struct(F.lit(c).alias("column"), F.col(f"r_{i}").cast("int").alias("range"), F.col(f"v_{i}").alias("value"))
+        F.struct(F.lit(i).alias("column"), F.col(f"r_{i}").cast("int").alias("range"), F.col(f"v_{i}").alias("value"))
         for i, c in enumerate(columns)
     ]
     added = [f"s_{name}" for name in sums]
@@ -116,8 +118,9 @@ def value_ranks(
         *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"inner_{m}") for m in measures],
         *[F.lag(m).over(inside).alias(f"near_{m}") for m in measures if previous],
     ).join(bases, [*group, "range"])
+    names = F.col("column") if coded else F.get(F.array(*[F.lit(c) for c in columns]), "column")
     return ranked.select(
-        *group, "value", *measures,
+        *by, names.alias("column"), "value", *measures,
         *[(F.col(f"base_{m}") + F.col(f"inner_{m}")).alias(f"before_{m}") for m in measures],
         *[f"total_{m}" for m in measures],
         *[F.coalesce(f"near_{m}", f"top_{m}").alias(f"previous_{m}") for m in measures if previous],
@@ -149,7 +152,7 @@ def quantiles(
                 for i, c in enumerate(columns)]
         return wide.select(*by, F.explode(F.array(*rows)).alias("cell")).select(*by, "cell.*")
 
-    ranked = value_ranks(df, columns, by, ranges=ranges)
+    ranked = value_ranks(df, columns, by, ranges=ranges, coded=True)
 
     def value_at(position: Column) -> Column:
         return F.max(F.when((F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n")), F.col("value")))
@@ -163,7 +166,7 @@ def quantiles(
             F.max(place - F.floor(place)).alias(f"part_{name}"),
         ]
     found = ranked.groupBy(*by, "column").agg(*aggregates)
-    return found.select(*by, "column", *[
+    return found.select(*by, F.get(F.array(*[F.lit(c) for c in columns]), "column").alias("column"), *[
         (F.col(f"lo_{name}") + (F.col(f"hi_{name}") - F.col(f"lo_{name}")) * F.col(f"part_{name}")).alias(name)
         for name in probabilities
     ])

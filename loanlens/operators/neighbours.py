@@ -105,7 +105,8 @@ def distinct_vectors(rows: DataFrame, features: str) -> DataFrame:
 def nearest_vectors(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """The k nearest other vectors of each vector: (vid, other, copies, distance, place)."""
     total = vectors.count()
-    wanted = max(1, min(MAX_PIVOTS, int(total ** 0.5)))
+    # what fits into one block is one cell: its own search is then the whole search
+    wanted = 1 if total <= BLOCK_ROWS else min(MAX_PIVOTS, int(total ** 0.5))
     # a bounded sample of vectors, one matrix of at most MAX_PIVOTS rows
     picked = vectors.orderBy(F.xxhash64(F.lit(seed), "features"), "vid").limit(wanted).select("features").collect()
     pivots = np.array([r["features"] for r in picked], dtype="float64").reshape(len(picked), -1)
@@ -121,7 +122,10 @@ def nearest_vectors(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
     fields = "features array<double>, n long, vid long"
     points = stage(vectors.select("features", "n", "vid").mapInPandas(assign, f"{fields}, cell int, reach double"))
     own = points.filter(F.col("n") <= k)  # a vector with k copies besides itself needs no others
-    first = stage(_k_best(_search(own, points, k), k))
+    columns = ["vid", "other", "copies", "distance", "place"]
+    first = stage(_k_best(_search(own, points, k), k).select(*columns))
+    if wanted == 1:
+        return first
 
     shapes = {r["cell"]: (r["lo"], r["hi"]) for r in points.groupBy("cell").agg(
         F.min("reach").alias("lo"), F.max("reach").alias("hi")).collect()}  # at most MAX_PIVOTS rows
@@ -154,8 +158,8 @@ def nearest_vectors(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
     visits = stage(reach.select("vid", "features", "cell", "limit").mapInPandas(
         other_cells, "vid long, features array<double>, cell int"))
     second = _search(visits, points, k)
-    columns = ["vid", "other", "copies", "distance"]
-    return _k_best(first.select(*columns).unionByName(second.select(*columns)), k)
+    found = first.drop("place").unionByName(second.select(*columns[:-1]))
+    return _k_best(found, k).select(*columns)
 
 
 def neighbour_slots(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:

@@ -204,16 +204,18 @@ def feature_names(df: DataFrame, column: str = "features") -> list[str]:
 def mode_impute(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fill missing cells with the most frequent value, the smallest one on a tie.
 
-    Values are counted before the most frequent is picked, so no task holds a column's values.
+    Values are counted first, so no task holds a column's values; one value per column is fetched.
     """
-    counts = unpivot(df, columns).filter(F.col("value").isNotNull()).groupBy("column", "value").count()
     types = {f.name: f.dataType for f in df.schema.fields}
-    best: dict[str, object] = {}
-    for c in columns:
-        value = F.col("value").cast(types[c])
-        row = counts.filter(F.col("column") == c).select(value.alias("v"), "count").orderBy(F.desc("count"), "v").first()
-        best[c] = row["v"] if row else None
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(types[c])) for c, v in best.items()})
+    numbers = [c for c in columns if not isinstance(types[c], T.StringType)]
+    counts = unpivot(df, columns).filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("column").agg(F.max("n").alias("n"))
+    number = F.when(F.col("column").isin(numbers), F.col("value").cast("double"))
+    tied = counts.join(F.broadcast(most), ["column", "n"]).groupBy("column").agg(  # one row per column
+        F.min(number).alias("number"), F.min("value").alias("text"))
+    best = {r["column"]: r["number"] if r["column"] in numbers else r["text"] for r in tied.collect()}
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(best.get(c)).cast(types[c])) for c in columns})
 
 
 def dummies(df: DataFrame, columns: list[str]) -> dict[str, Column]:

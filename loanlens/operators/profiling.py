@@ -234,10 +234,10 @@ def average_ranks(df: DataFrame, columns: list[str], ids: list[str], hot_share:
     few by definition (at most 1/hot_share per column), so their ranks are broadcast; all other
     values are joined by shuffle, where none can make a partition heavy.
     """
-    ranks = value_ranks(df, columns).select(
+    ranks = value_ranks(df, columns, coded=True).select(
         "column", "value", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("rank"),
         (F.col("n") >= F.col("total_n") * hot_share).alias("hot"))
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    cells = [F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)]
     long = df.select(*ids, F.explode(F.array(*cells)).alias("cell")).select(*ids, "cell.*")
     long = long.filter(F.col("value").isNotNull())
     hot = F.broadcast(ranks.filter("hot").select("column", "value", F.col("rank").alias("hot_rank")))
@@ -251,7 +251,7 @@ def average_ranks(df: DataFrame, columns: list[str], ids: list[str], hot_share:
     joined = spread.join(rest, ["column", "__match", "__salt"], "left")
     rank = F.coalesce("hot_rank", "cold_rank")
     return joined.groupBy(*ids).agg(
-        *[F.max(F.when(F.col("column") == c, rank)).alias(c) for c in columns])
+        *[F.max(F.when(F.col("column") == i, rank)).alias(c) for i, c in enumerate(columns)])
 
 
 def spearman_pairs(df: DataFrame, columns: list[str], ids: list[str]) -> DataFrame:
