@@ -21,15 +21,16 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.functions.nulls import UNKNOWN, numeric_columns, string_columns
-from loanlens.operators.preprocess import level_counts
+from loanlens.operators.preprocess import MAX_LEVELS
 from loanlens.operators.sampling import stratified_folds
+from loanlens.sources.tables import stage
 
 TREE_MEMORY_MB = 1024
 
@@ -75,21 +76,25 @@ def tree_inputs(df: DataFrame, columns: list[str]) -> tuple[PipelineModel, int]:
     """
     texts = [c for c in string_columns(df) if c in columns]
     numbers = [c for c in numeric_columns(df) if c in columns]
-    levels = level_counts(df, texts)
     lows = df.agg(*[F.min(F.col(c).cast("double")).alias(c) for c in numbers]).first().asDict() if numbers else {}
     filled = [f"coalesce(cast(`{c}` as double), cast('{float((lows[c] or 0.0) - 1.0)!r}' as double)) as `number__{c}`"
               for c in numbers]
     filled += [f"coalesce(`{c}`, '{UNKNOWN}') as `text__{c}`" for c in texts]
     stages: list[Transformer] = [SQLTransformer(statement=f"select *, {', '.join(filled)} from __THIS__")]
-    for c in texts:
-        labels = sorted({UNKNOWN if v is None else v for v in levels[c]})
-        stages.append(StringIndexerModel.from_labels(
-            labels, inputCol=f"text__{c}", outputCol=f"index__{c}", handleInvalid="keep"))
+    bins = 32
+    if texts:
+        indexer = StringIndexer(inputCols=[f"text__{c}" for c in texts], outputCols=[f"index__{c}" for c in texts],
+                                stringOrderType="alphabetAsc", handleInvalid="keep").fit(stages[0].transform(df))
+        sizes = [len(labels) for labels in indexer.labelsArray]
+        if max(sizes) > MAX_LEVELS:
+            raise ValueError(f"more than {MAX_LEVELS} categories in one of {texts}")
+        bins = max(bins, max(sizes) + 1)
+        stages.append(indexer)
     slots = [f"number__{c}" if c in lows else f"index__{c}" for c in columns]
     stages.append(VectorAssembler(inputCols=slots, outputCol="features"))
     spare = [f"number__{c}" for c in numbers] + [f"{k}__{c}" for k in ("text", "index") for c in texts]
     stages.append(SQLTransformer(statement=f"select * except ({', '.join(f'`{c}`' for c in spare)}) from __THIS__"))
-    return PipelineModel(stages), max([32, *[len(v) + 2 for v in levels.values()]])
+    return PipelineModel(stages), bins
 
 
 def boosting_estimator(
@@ -113,8 +118,9 @@ def fit_boosting(
     weights = [weight] if weight else []
     held_out = validation.select(*columns, label, *[F.lit(1.0).alias(w) for w in weights], F.lit(True).alias("__held_out"))
     both = train.select(*columns, label, *weights, F.lit(False).alias("__held_out")).unionByName(held_out)
+    ready = stage(inputs.transform(both).select("features", label, *weights, "__held_out"))  # read in every round
     estimator = boosting_estimator(label, rounds, bins, weight, "__held_out", params, seed)
-    return PipelineModel([*inputs.stages, estimator.fit(inputs.transform(both))])
+    return PipelineModel([*inputs.stages, estimator.fit(ready)])
 
 
 def boosting_rounds(model: PipelineModel) -> int:
@@ -130,8 +136,9 @@ def refit_boosting(
 ) -> PipelineModel:
     """Train on all rows for the number of rounds an earlier fit settled on."""
     inputs, bins = tree_inputs(df, columns)
+    ready = stage(inputs.transform(df).select("features", label, *([weight] if weight else [])))
     estimator = boosting_estimator(label, boosting_rounds(model), bins, weight, None, params, seed)
-    return PipelineModel([*inputs.stages, estimator.fit(inputs.transform(df))])
+    return PipelineModel([*inputs.stages, estimator.fit(ready)])
 
 
 def auc(model: Model, df: DataFrame, label: str) -> float:
