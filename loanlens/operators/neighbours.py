@@ -46,24 +46,28 @@ def _slack(a: np.ndarray, b: np.ndarray) -> float:
 
 def _block_best(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest points of each query in one block, the query itself left out."""
-    out = []
+    who, which, far = [], [], []
     if len(queries) and len(points):
-        p, ids, copies = _matrix(points["features"]), points["vid"].to_numpy(), points["n"].to_numpy()
+        p, ids = _matrix(points["features"]), points["vid"].to_numpy()
+        last = min(k, len(ids)) - 1
         for start in range(0, len(queries), CHUNK):
             part = queries.iloc[start:start + CHUNK]
-            q = _matrix(part["features"])
+            q, mine = _matrix(part["features"]), part["vid"].to_numpy()
             near = _squares(q, p)
-            near[part["vid"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            slack = _slack(q, p)
-            for i, vid in enumerate(part["vid"].to_numpy()):
-                row = near[i]
-                bound = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
-                close = np.flatnonzero((row <= bound + slack) & np.isfinite(row))
+            near[mine[:, None] == ids[None, :]] = np.inf
+            bounds = np.partition(near, last, axis=1)[:, last] + _slack(q, p)
+            for i, row in enumerate(near):
+                close = np.flatnonzero((row <= bounds[i]) & np.isfinite(row))
                 distance = np.sqrt(((p[close] - q[i]) ** 2).sum(1))  # rounding-safe for the few that matter
                 best = np.lexsort((ids[close], distance))[:k]
-                out.append(pd.DataFrame({"vid": vid, "other": ids[close][best], "copies": copies[close][best],
-                                         "distance": distance[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"vid": [], "other": [], "copies": [], "distance": []})
+                who.append(np.full(len(best), mine[i]))
+                which.append(close[best])
+                far.append(distance[best])
+    if not who:
+        return pd.DataFrame({"vid": [], "other": [], "copies": [], "distance": []})
+    place = np.concatenate(which)
+    return pd.DataFrame({"vid": np.concatenate(who), "other": ids[place], "copies": points["n"].to_numpy()[place],
+                         "distance": np.concatenate(far)})
 
 
 def _search(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
