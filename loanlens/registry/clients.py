@@ -141,11 +141,11 @@ from clients c left join client_prev p on p.SK_ID_CURR = c.SK_ID_CURR left join
     "history_default_rate": with_views(f"""with {bureau_registry.KEPT},
 f as (select 'PREV' as HISTORY, TARGET, case when SK_ID_CURR in (select SK_ID_CURR from prev_apps where FLAG_LAST_APPL_PER_CONTRACT = 'Y') then 1 else 0 end as HAS_HISTORY from clients
  union all select 'BUREAU', TARGET, case when SK_ID_CURR in (select SK_ID_CURR from kept) then 1 else 0 end from clients)
-select HISTORY, HAS_HISTORY, count(*) as clients, round(avg(TARGET), 6) as default_rate from f group by 1, 2""", "clients", "prev_apps", "bureau"),
+select HISTORY, HAS_HISTORY, count(*) as clients, round(avg(TARGET) + 1e-10, 6) as default_rate from f group by 1, 2""", "clients", "prev_apps", "bureau"),
     "history_flag_default_rate": _history_sql("with_flags as (\n select c.TARGET, " + ", ".join(
         f"coalesce({c}, 'UNKNOWN') as {c}" for c in previous_registry.FLAGS + bureau_registry.FLAGS) + """
  from clients c left join client_prev p on p.SK_ID_CURR = c.SK_ID_CURR left join client_bureau b on b.SK_ID_CURR = c.SK_ID_CURR)
 """ + "\nunion all ".join(
-        f"select '{c}' as \"column\", {c} as value, count(*) as n, round(avg(TARGET), 6) as target_rate from with_flags group by {c}"
+        f"select '{c}' as \"column\", {c} as value, count(*) as n, round(avg(TARGET) + 1e-10, 6) as target_rate from with_flags group by {c}"
         for c in previous_registry.FLAGS + bureau_registry.FLAGS)).replace("\nwith_flags as", ",\nwith_flags as", 1),
 }

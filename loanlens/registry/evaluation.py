@@ -67,7 +67,7 @@ select {rsql(accuracy="(n - fp - fn) / cast(n as double)", recall="coalesce(tp /
              precision="coalesce(tp / nullif(cast(tp + fp as double), 0), 0)", f1="coalesce(2 * tp / nullif(cast(2 * tp + fp + fn as double), 0), 0)")} from c""", "clients"),
     "roc_auc_exact": with_views(f"""with {SCORED}
 select round(sum(case when p.score > q.score then 1e0 when p.score = q.score then 5e-1 else 0e0 end * p.n * q.n)
- / (select count(*) filter (where label = 1) * cast(count(*) filter (where label = 0) as double) from scored), 6) as roc_auc
+ / (select count(*) filter (where label = 1) * cast(count(*) filter (where label = 0) as double) from scored) + 1e-10, 6) as roc_auc
 from (select score, count(*) as n from scored where label = 1 group by 1) p cross join (select score, count(*) as n from scored where label = 0 group by 1) q""", "clients"),
     "roc_curve_points": with_views(f"""with {SCORED},
 d as (select score, count(*) filter (where label = 1) as p, count(*) filter (where label = 0) as q from scored group by 1),
@@ -77,5 +77,5 @@ select {rsql(fpr="fp / cast(nq as double)", tpr="tp / cast(np as double)", thres
 where p2 is null or p2 <> p or q2 <> q""", "clients"),
     "linear_attribution": with_views(f"select SK_ID_CURR, {rsql(**PHI)} from clients", "clients"),
     "mean_abs_attribution": with_views("\nunion all ".join(
-        f"select '{c}' as feature, round(avg(abs({e})), 6) as importance from clients" for c, e in PHI.items()), "clients"),
+        f"select '{c}' as feature, round(avg(abs({e})) + 1e-10, 6) as importance from clients" for c, e in PHI.items()), "clients"),
 }

@@ -197,7 +197,7 @@ f as (
  union all select SK_ID_CURR, 5 + w, 'NAME_CONTRACT_TYPE', NAME_CONTRACT_TYPE from t, s
  union all select SK_ID_CURR, 6 + w, 'EXT_SOURCE_2', coalesce(EXT_SOURCE_2, e) from clients, s
  union all select SK_ID_CURR, 7 + w, 'REGION_POPULATION_RELATIVE', REGION_POPULATION_RELATIVE from clients, s)
-select SK_ID_CURR, cast(slot as int) as slot, feature, round(value, 6) + 0e0 as value from f where value <> 0""", "clients"),
+select SK_ID_CURR, cast(slot as int) as slot, feature, round(value + 1e-10, 6) + 0e0 as value from f where value <> 0""", "clients"),
     "encode_for_correlation": with_views(f"""with late as (
  select a.SK_ID_CURR, max(case when DAYS_ENTRY_PAYMENT > DAYS_INSTALMENT then 1e0 else 0e0 end) as flag
  from prev_apps a left join installments i on i.SK_ID_PREV = a.SK_ID_PREV group by 1),
@@ -218,7 +218,7 @@ from clients c join filled f on f.SK_ID_CURR = c.SK_ID_CURR join g on g.SK_ID_CU
 from clients""", "clients"),
     "narrow_types": with_views("\nunion all ".join(_type_sql(c, k) for c, k in zip(
         PLANNED["pos_cash"], ("bigint", "int", "int", "double"))), "pos_cash"),
-    "class_weights": with_views("""select TARGET, count(*) as n, round((select count(*) from clients) / 2e0, 6) as total_weight from clients group by 1""", "clients"),
+    "class_weights": with_views("""select TARGET, count(*) as n, round((select count(*) from clients) / 2e0 + 1e-10, 6) as total_weight from clients group by 1""", "clients"),
     "stratified_split_counts": with_views("""with c as (select TARGET, count(*) as n from clients group by 1),
 q as (select TARGET, n, n * k / cast(t as double) as exact, k, floor(n * k / cast(t as double)) as low
  from c, (select sum(n) as t, sum(n) - ceil(0.2e0 * sum(n)) as k from c)),

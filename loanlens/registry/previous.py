@@ -246,9 +246,9 @@ per_client as (
  from prev_apps a left join inst_loans i on i.SK_ID_PREV = a.SK_ID_PREV
  where FLAG_LAST_APPL_PER_CONTRACT = 'Y' group by SK_ID_CURR),
 m as (select c.TARGET, p.HAD_DPD_PREV, p.VERSION_CHANGED_PREV, p.UNDERPAID_PREV from clients c left join per_client p on p.SK_ID_CURR = c.SK_ID_CURR)
-select 'HAD_DPD_PREV' as "column", HAD_DPD_PREV as value, count(*) as n, round(avg(TARGET), 6) as target_rate from m group by 2
-union all select 'VERSION_CHANGED_PREV', VERSION_CHANGED_PREV, count(*), round(avg(TARGET), 6) from m group by 2
-union all select 'UNDERPAID_PREV', UNDERPAID_PREV, count(*), round(avg(TARGET), 6) from m group by 2
+select 'HAD_DPD_PREV' as "column", HAD_DPD_PREV as value, count(*) as n, round(avg(TARGET) + 1e-10, 6) as target_rate from m group by 2
+union all select 'VERSION_CHANGED_PREV', VERSION_CHANGED_PREV, count(*), round(avg(TARGET) + 1e-10, 6) from m group by 2
+union all select 'UNDERPAID_PREV', UNDERPAID_PREV, count(*), round(avg(TARGET) + 1e-10, 6) from m group by 2
 """, "clients", "prev_apps", "installments"),
     "pos_loan_features": with_views(f"""with {POS}
 select SK_ID_PREV, {rsql(LOAN_LENGTH="LOAN_LENGTH", AVERAGE_SNAPSHOT="AVERAGE_SNAPSHOT")},

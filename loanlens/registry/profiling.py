@@ -123,7 +123,7 @@ def _nulls(columns: list[str]) -> str:
 
 def _corr_sql(columns: list[str], source: str) -> str:
     return "\nunion all ".join(
-        f"""select '{a}' as "left", '{b}' as "right", round(corr({a}, {b}), 6) + 0e0 as corr from {source}"""
+        f"""select '{a}' as "left", '{b}' as "right", round(corr({a}, {b}) + 1e-10, 6) + 0e0 as corr from {source}"""
         for a in columns for b in columns)
 
 
@@ -133,40 +133,40 @@ ranks as (select """ + ", ".join(
     f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2e0 as {c}" for c in RANKED) + " from filled)"
 
 SQL = {
-    "missing_share": with_views(_each(CLIENT_COLUMNS, """select '@' as "column", round(avg(case when @ is null then 1 else 0 end), 6) as missing from clients"""), "clients"),
+    "missing_share": with_views(_each(CLIENT_COLUMNS, """select '@' as "column", round(avg(case when @ is null then 1 else 0 end) + 1e-10, 6) as missing from clients"""), "clients"),
     "missing_share_over": with_views("with m as (" + _each(CLIENT_COLUMNS, """select '@' as "column", avg(case when @ is null then 1 else 0 end) as missing from clients""")
-                                     + ')\nselect "column", round(missing, 6) as missing from m where missing > 0.2', "clients"),
+                                     + ')\nselect "column", round(missing + 1e-10, 6) as missing from m where missing > 0.2', "clients"),
     "missing_by_row": with_views(f"select cast({_nulls(BUREAU_COLUMNS)} as int) as missing, count(*) as rows from bureau group by 1", "bureau"),
     "missing_by_row_subset": with_views(f"select cast({_nulls(ANNUITIES)} as int) as missing, count(*) as rows from installments group by 1", "installments"),
     "missing_pattern": with_views("select " + ", ".join(f"case when {c} is null then 1 else 0 end as {c}_missing" for c in ANNUITIES)
                                   + f", count(*) as rows, cast({_nulls(ANNUITIES)} as int) as missing from installments group by all", "installments"),
     "distinct_values": with_views(_each(CLIENT_TEXTS, """select distinct '@' as "column", @ as value from clients"""), "clients"),
-    "describe_numeric": with_views(_each(NUMERIC, """select '@' as "column", count(@) as count, round(avg(@), 6) + 0e0 as mean, round(stddev_samp(@), 6) as std,
- cast(min(@) as double) as min, cast(max(@) as double) as max, round(quantile_cont(cast(@ as double), 0.25), 6) as q25,
- round(quantile_cont(cast(@ as double), 0.5), 6) as q50, round(quantile_cont(cast(@ as double), 0.75), 6) as q75 from prev_apps"""), "prev_apps"),
+    "describe_numeric": with_views(_each(NUMERIC, """select '@' as "column", count(@) as count, round(avg(@) + 1e-10, 6) + 0e0 as mean, round(stddev_samp(@) + 1e-10, 6) as std,
+ cast(min(@) as double) as min, cast(max(@) as double) as max, round(quantile_cont(cast(@ as double), 0.25) + 1e-10, 6) as q25,
+ round(quantile_cont(cast(@ as double), 0.5) + 1e-10, 6) as q50, round(quantile_cont(cast(@ as double), 0.75) + 1e-10, 6) as q75 from prev_apps"""), "prev_apps"),
     "category_counts": with_views(_each(CATEGORIES, """select '@' as "column", @ as value, count(*) as n,
- case when @ is not null then round(count(*) / cast((select count(@) from clients) as double), 6) end as share from clients group by @"""), "clients"),
-    "default_rate_by_category": with_views(_each(CATEGORIES, """select '@' as "column", @ as value, count(*) as n, round(avg(TARGET), 6) as target_rate from clients group by @"""), "clients"),
+ case when @ is not null then round(count(*) / cast((select count(@) from clients) as double) + 1e-10, 6) end as share from clients group by @"""), "clients"),
+    "default_rate_by_category": with_views(_each(CATEGORIES, """select '@' as "column", @ as value, count(*) as n, round(avg(TARGET) + 1e-10, 6) as target_rate from clients group by @"""), "clients"),
     "histogram_auto": with_views("""with s as (select min(x) as lo, max(x) as hi, count(*) as n, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) as iqr
   from (select cast(DAYS_DECISION as double) as x from prev_apps)),
 w as (select lo, hi, cast(ceil((hi - lo) / case when iqr > 0 then least(2 * iqr / pow(n, 1e0 / 3), (hi - lo) / (log2(n) + 1))
   else (hi - lo) / (log2(n) + 1) end) as int) as k from s),
 b as (select least(cast(floor((DAYS_DECISION - lo) / ((hi - lo) / k)) as int), k - 1) as bin, count(*) as n from prev_apps, w group by 1)
-select cast(g.i as int) as bin, round(lo + g.i * ((hi - lo) / k), 6) as left_edge, round(lo + (g.i + 1) * ((hi - lo) / k), 6) as right_edge,
+select cast(g.i as int) as bin, round(lo + g.i * ((hi - lo) / k) + 1e-10, 6) as left_edge, round(lo + (g.i + 1) * ((hi - lo) / k) + 1e-10, 6) as right_edge,
  coalesce(b.n, 0) as n
 from w, unnest(range(k)) as g(i) left join b on b.bin = g.i""", "prev_apps"),
     "histogram_by_target": with_views("""with w as (select cast(min(DAYS_BIRTH) as double) as lo, (max(DAYS_BIRTH) - min(DAYS_BIRTH)) / 20e0 as width from clients),
 b as (select TARGET, least(cast(floor((DAYS_BIRTH - lo) / width) as int), 19) as bin, count(*) as n from clients, w group by 1, 2)
-select t.TARGET, cast(g.i as int) as bin, round(lo + g.i * width, 6) as left_edge, round(lo + (g.i + 1) * width, 6) as right_edge, coalesce(b.n, 0) as n
+select t.TARGET, cast(g.i as int) as bin, round(lo + g.i * width + 1e-10, 6) as left_edge, round(lo + (g.i + 1) * width + 1e-10, 6) as right_edge, coalesce(b.n, 0) as n
 from w, (select distinct TARGET from clients) t, unnest(range(20)) as g(i) left join b on b.bin = g.i and b.TARGET = t.TARGET""", "clients"),
     "box_stats": with_views("with " + ",\n".join(f"""f_{c} as (select NAME_CONTRACT_STATUS as s, quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.5) as median,
  quantile_cont({c}, 0.75) as q3 from prev_apps group by 1)""" for c in ("AMT_CREDIT", "AMT_ANNUITY")) + "\n" + _each(["AMT_CREDIT", "AMT_ANNUITY"],
- """select s as NAME_CONTRACT_STATUS, '@' as "column", round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3,
- round(min(@) filter (where @ >= q1 - 1.5e0 * (q3 - q1)), 6) as whisker_low, round(max(@) filter (where @ <= q3 + 1.5e0 * (q3 - q1)), 6) as whisker_high,
+ """select s as NAME_CONTRACT_STATUS, '@' as "column", round(q1 + 1e-10, 6) as q1, round(median + 1e-10, 6) as median, round(q3 + 1e-10, 6) as q3,
+ round(min(@) filter (where @ >= q1 - 1.5e0 * (q3 - q1)) + 1e-10, 6) as whisker_low, round(max(@) filter (where @ <= q3 + 1.5e0 * (q3 - q1)) + 1e-10, 6) as whisker_high,
  count(@) filter (where @ < q1 - 1.5e0 * (q3 - q1) or @ > q3 + 1.5e0 * (q3 - q1)) as outliers
  from prev_apps join f_@ on s = NAME_CONTRACT_STATUS group by s, q1, median, q3"""), "prev_apps"),
     "group_means": with_views(f"select TARGET, {rsql(AMT_CREDIT='avg(AMT_CREDIT)', AMT_ANNUITY='avg(AMT_ANNUITY)', DAYS_BIRTH='avg(DAYS_BIRTH)')} from clients group by 1", "clients"),
-    "crosstab_share": with_views("""select y.NAME_YIELD_GROUP, x.NAME_CONTRACT_STATUS, round(count(p.SK_ID_PREV) / cast(y.n as double), 6) as share
+    "crosstab_share": with_views("""select y.NAME_YIELD_GROUP, x.NAME_CONTRACT_STATUS, round(count(p.SK_ID_PREV) / cast(y.n as double) + 1e-10, 6) as share
 from (select NAME_YIELD_GROUP, count(*) as n from prev_apps group by 1) y cross join (select distinct NAME_CONTRACT_STATUS from prev_apps) x
 left join prev_apps p on p.NAME_YIELD_GROUP = y.NAME_YIELD_GROUP and p.NAME_CONTRACT_STATUS = x.NAME_CONTRACT_STATUS
 group by y.NAME_YIELD_GROUP, x.NAME_CONTRACT_STATUS, y.n""", "prev_apps"),

@@ -56,5 +56,5 @@ select 0 as minority, cast(floor(small / 0.5e0) as bigint) as n from o union all
 d as (select a.vec_id, b.vec_id as neighbour, sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: power(a.v[i] - b.v[i], 2)))) as distance
  from m a join m b on a.vec_id <> b.vec_id),
 r as (select *, cast(row_number() over (partition by vec_id order by distance, neighbour) as int) as place from d)
-select vec_id, neighbour, place, round(distance, 6) as distance from r where place <= 5""",
+select vec_id, neighbour, place, round(distance + 1e-10, 6) as distance from r where place <= 5""",
 }
