@@ -119,3 +119,21 @@ def mix(docs: DataFrame, seed: int = 11, keep_text: bool = False, **options) ->
     taken = (F.col("epochs") * F.col("size") + last).cast("long").alias("taken")
     first = [F.col(f"`{c}`") for c in rows.columns if c not in ("size", "mix_key")]
     return joined.select(*first, "size", "source_size", "target", taken)
+
+
+def repeat(mixed: DataFrame) -> DataFrame:
+    """The documents that `mix` with `keep_text` takes: one row per epoch, the last cut to the words it takes.
+
+    A cut text ends with its last word taken; n_chars, where there is such a column, follows it.
+    """
+    last = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    rows = mixed.where("taken > 0").withColumn("_epoch", F.explode(last))
+    left = F.least("size", F.col("taken") - (F.col("_epoch") - 1) * F.col("size"))
+    rows = rows.withColumn("_left", left)
+    cut = F.col("_left") < F.col("size")
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    head = F.array_join(F.slice(words, 1, F.col("_left").cast("int")), "")
+    rows = rows.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
+    if "n_chars" in rows.columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.drop("_epoch", "_left")
