@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import langid, mixing, packing, simhash, url_filter
+from loanlens.llm import langid, mixing, neighbours, packing, pii, simhash, sketches, url_filter, warc, wrappers
 from loanlens.llm.common import table
 
 
@@ -25,6 +25,29 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.page_captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select(
+        "record_id", "canonical", "verdict", "refers_to", F.concat_ws(";", lines).alias("headers"), F.md5("payload").alias("payload_md5"))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_versions(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -42,6 +65,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
+    "op3_revisits": op3_revisits,
+    "op4_main_text": op4_main_text,
+    "op5_neighbours": op5_neighbours,
+    "op6_sketches": op6_sketches,
+    "op7_pii": op7_pii,
     "op8_mix": op8_mix,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
@@ -66,4 +94,23 @@ SQL = {
         select page_id, host, path, rule,
                case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict
         from judged""",
+    "op3_revisits": """
+        with captures as (
+            select page_id,
+                   regexp_replace(regexp_replace(lower(regexp_extract(url, '^([^:]*://[^/]*/[^/]*)', 1)), '^[a-z]+://', ''), '^www\\.', '') || '/' as canonical,
+                   ((page_id % 4) + 4) % 4 = 0 as is_full, '"' || (floor(page_id / 64)::bigint)::varchar || '"' as tag, html
+            from pages),
+        found as (
+            select *, last_value(case when is_full then {'id': page_id, 'tag': tag, 'html': html} end ignore nulls) over (
+                       partition by canonical order by page_id rows between unbounded preceding and 1 preceding) as base
+            from captures),
+        judged as (
+            select *, case when is_full then 'full' when base is null then 'missing' when base.tag = tag then 'resolved' else 'changed' end as verdict
+            from found)
+        select page_id as record_id, canonical, verdict,
+               case when not is_full then base.id end as refers_to,
+               'content-length=' || case when is_full then length(html) when verdict = 'resolved' then length(base.html) else 0 end
+                   || ';date=' || page_id || ';etag=' || case when is_full then '' else 'W/' end || tag as headers,
+               md5(case when is_full then html when verdict = 'resolved' then base.html end) as payload_md5
+        from judged""",
 }
