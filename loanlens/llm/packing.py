@@ -131,7 +131,7 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
     best = max(best, int((large + -(-middle // size)).max()))
     for k in range(1, 40):
         scaled = (k + 1) * values
-        u = np.where(scaled % size == 0, scaled * k, (scaled // size) * size)  # in units of 1 / (k * size)
+        u = np.where(scaled % size == 0, values * k, (scaled // size) * size)  # in units of 1 / (k * size)
         best = max(best, -(-int((count * u).sum()) // (k * size)))
     return best
 
@@ -149,23 +149,21 @@ def pack(pieces: DataFrame, size: int, rounds: int = 4, group_rows: int = GROUP_
     for turn in range(1, rounds + 1):
         if placed is None:
             break
-        # a partition over its bound opens its emptiest bins: those that hold `slack` of the room it wastes
-        gap = placed.where("n_bins > bound and wasteful")
-        free = gap.agg(F.count("*"), F.countDistinct("sequence_id")).first()
-        if free[1] < 2:
+        # a partition over its bound opens its emptiest bins, four times as many with every round
+        is_open = F.col("reach") <= 2.0 * 4 ** (turn - 1)
+        free = placed.where(is_open).agg(F.count("*"), F.countDistinct("sequence_id")).first()
+        if not free[0]:
             break
-        again = _pack_groups(gap.select("row", "length"), max(1, -(-free[0] // group_rows)), size, turn)
-        now = again.agg(F.countDistinct("sequence_id")).first()[0]
-        if now >= free[1]:
-            break
-        placed = stage(placed.where("not (n_bins > bound and wasteful)").select(*again.columns).union(again))
+        again = _pack_groups(placed.where(is_open).select("row", "length"), max(1, -(-free[0] // group_rows)), size, turn)
+        if again.agg(F.countDistinct("sequence_id")).first()[0] < free[1]:
+            placed = stage(placed.where(~is_open).union(again))
     full = rows.where(F.col("length") == size).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     where = full if placed is None else placed.select("row", "sequence_id", "offset").union(full)
     return rows.join(where, "row").drop("row")
 
 
 def _pack_groups(loose: DataFrame, groups: int, size: int, turn: int) -> DataFrame:
-    fields = "row long, length long, sequence_id long, offset long, n_bins long, bound long, wasteful boolean"
+    fields = "row long, length long, sequence_id long, offset long, n_bins long, bound long, reach double"
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["length", "row"], ascending=[False, True]).reset_index(drop=True)
@@ -173,14 +171,15 @@ def _pack_groups(loose: DataFrame, groups: int, size: int, turn: int) -> DataFra
         bins, offsets = best_fit(lengths, size)
         opened, bound = int(bins.max()) + 1, lower_bound(lengths, size)
         filled = np.bincount(bins, weights=lengths, minlength=opened).astype(np.int64)
-        # the bins that, emptiest first, waste twice the room that the surplus bins stand for
+        # how much room is wasted up to a bin, the emptiest first, as a multiple of the surplus bins' room
         order = np.argsort(filled, kind="stable")
-        waste = np.cumsum((size - filled)[order])
-        worst = np.zeros(opened, bool)
-        worst[order[: 1 + int(np.searchsorted(waste, 2 * size * (opened - bound)))]] = opened > bound
+        reach = np.full(opened, np.inf)
+        if opened > bound:
+            waste = (size - filled)[order]
+            reach[order] = (np.cumsum(waste) - waste) / (size * (opened - bound))
         first = (turn << 52) | (int(key[0]) << 22)  # a partition holds fewer than 2^22 pieces
         return pd.DataFrame({"row": b["row"], "length": lengths, "sequence_id": first + bins, "offset": offsets,
-                             "n_bins": opened, "bound": bound, "wasteful": worst[bins]})
+                             "n_bins": opened, "bound": bound, "reach": reach[bins]})
 
     dealt = loose.withColumn("part", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)).cast("int"))
     return stage(dealt.groupBy("part").applyInPandas(run, fields))
