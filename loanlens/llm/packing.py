@@ -25,16 +25,18 @@ CACHED = 300_000  # words whose tokens a worker keeps
 BATCH_BYTES = 8 << 20
 TOKENS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_TOKENIZERS: dict = {}
-
 
 def _tokenizer(path: str):
-    """The tokenizer and the tokens of words met before, once per worker."""
-    if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
+    """The tokenizer and the tokens of words met before, once per worker.
+
+    They are kept on the library's module, as this one is shipped anew with every task.
+    """
+    import tokenizers
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
+    held = tokenizers.__dict__.setdefault("_loanlens_held", {})
+    if path not in held:
+        held[path] = (tokenizers.Tokenizer.from_file(path), {})
+    return held[path]
 
 
 def token_bytes(texts: list[str], path: str, end: int = 0) -> list[bytes]:
