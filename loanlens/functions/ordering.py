@@ -11,45 +11,69 @@ a hash of their identifier, which is the same on every attempt and under every p
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The packed order key of `first_at_latest` gives this many bits to the tie-break.
-TIE_BITS = 44
+# Any long tie-break stays under one step of the month in the order key of `first_at_latest`.
+TIE_STEP = Decimal(10 ** 20)
+RANGE_ROWS = 65_536
+RANGES = 256
 
 
 def first_at_latest(value: Column, month: Column, tie: Column) -> Column:
     """Aggregate: the value in the row with the latest month, lowest tie-break first.
 
-    Month and tie-break share one long, so the state stays a pair of primitives and Spark keeps
-    hash aggregation; a struct key would force a sort of the whole monthly table.  Rows without a
-    month have a null key and never win.  Tie-breaks are row numbers in [0, 2^44).
+    Month and tie-break share one decimal, so the state stays of fixed width and Spark keeps hash
+    aggregation; a struct key would force a sort of the whole monthly table.  Rows without a month
+    or tie-break have a null key and never win.  Any long is a tie-break.
     """
-    limit = F.lit(1 << TIE_BITS)
-    tie = F.when((tie >= 0) & (tie < limit), tie.cast("long")).otherwise(
-        F.raise_error(F.lit("tie-break outside [0, 2^44)")).cast("long"))
-    return F.min_by(value, -month.cast("long") * limit + tie)
+    key = -month.cast("decimal(11,0)") * F.lit(TIE_STEP) + tie.cast("decimal(20,0)")
+    return F.min_by(value, key)
+
+
+def pack_text(text: Column) -> Column:
+    """A text of up to seven bytes as a number, for aggregation states; longer ones are an error."""
+    number = F.conv(F.hex(F.concat(F.lit("\x01"), text)), 16, 10).cast("long")
+    long = F.raise_error(F.concat(F.lit("text of more than seven bytes: "), text)).cast("long")
+    return F.when(F.octet_length(text) > 7, long).otherwise(number)
+
+
+def unpack_text(number: Column) -> Column:
+    return F.substr(F.decode(F.unhex(F.concat(F.lit("0"), F.hex(number))), "UTF-8"), F.lit(2))
 
 
 def stable_tie(*cols: str) -> Column:
     """Tie-break for tables without a row number: a hash of the columns read from the row."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 64 - TIE_BITS)
+    return F.xxhash64(*cols)
 
 
-def range_splits(df: DataFrame, columns: list[str], ranges: int) -> dict[str, list[float]]:
+def range_splits(df: DataFrame, columns: list[str], ranges: int | None = None) -> dict[str, list[float]]:
     """Value boundaries that cut each column into ranges of similar row counts.
 
-    One pass for all columns; `ranges` numbers per column reach the driver.  The boundaries are
-    approximate, which only affects balance: results are exact for any boundaries.
+    One pass for all columns finds the row count and up to RANGES boundaries each; tables with more
+    than RANGES * RANGE_ROWS rows take a second pass for as many as their rows ask for.  The
+    boundaries are approximate, which only affects balance: results are exact for any boundaries.
     """
-    probabilities = [i / ranges for i in range(1, ranges)]
-    found = df.select([F.col(c).cast("double").alias(c) for c in columns]).approxQuantile(
-        columns, probabilities, 1.0 / (2 * ranges))
+    values = [F.col(c).cast("double") for c in columns]
+
+    def probabilities(n: int) -> list[float]:
+        return [i / n for i in range(1, n)]
+
+    found = df.agg(F.count(F.lit(1)), *[F.percentile_approx(v, probabilities(RANGES), 4 * RANGES) for v in values]).first()
+    wanted = ranges or max(2, found[0] // RANGE_ROWS + 1)
+    cuts = [c or [] for c in found[1:]]
+    if wanted <= RANGES:
+        cuts = [[c[(len(c) + 1) * i // wanted - 1] for i in range(1, wanted)] if c else [] for c in cuts]
+    else:
+        named = df.select([v.alias(str(i)) for i, v in enumerate(values)])
+        cuts = named.approxQuantile(named.columns, probabilities(wanted), 1.0 / (2 * wanted))
     inf = float("inf")
     splits = {}
-    for name, cuts in zip(columns, found):
-        inner = sorted({c + 0.0 for c in cuts if -inf < c < inf})
+    for name, own in zip(columns, cuts):
+        inner = sorted({c + 0.0 for c in own if -inf < c < inf})
         splits[name] = [-inf, *(inner or [0.0]), inf]
     return splits
 
@@ -60,7 +84,7 @@ def value_ranks(
     by: list[str] | None = None,
     sums: dict[str, Column] | None = None,
     previous: bool = False,
-    ranges: int = 256,
+    ranges: int | None = None,
     coded: bool = False,
 ) -> DataFrame:
     """Distinct values of each column with the number of rows below them.
@@ -100,7 +124,7 @@ def value_ranks(
     group = [*by, "column"]
     counts = long.groupBy(*group, "range", "value").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(f"s_{name}").alias(name) for name in sums])
-    # at most `ranges` rows per group are ordered here
+    # one row per range of a group is ordered here
     ordered = Window.partitionBy(*group).orderBy("range")
     below = ordered.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
@@ -133,7 +157,7 @@ def quantiles(
     probabilities: dict[str, float],
     by: list[str] | None = None,
     exact: bool = True,
-    ranges: int = 256,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Quantiles per column (and group) in long form, one output column per named probability.
 
@@ -177,13 +201,19 @@ def hash_key(ids: list[str], seed: int) -> Column:
     return F.struct(F.xxhash64(F.lit(seed), *ids).alias("hash"), *[F.col(c) for c in ids])
 
 
-def hash_order(df: DataFrame, label: str, ids: list[str], seed: int, name: str = "position") -> DataFrame:
+def slice_bits(rows: int) -> int:
+    """Bits of the hash that name a slice, so that a slice has about RANGE_ROWS / 16 rows."""
+    return max(1, min(40, (16 * rows // RANGE_ROWS).bit_length()))
+
+
+def hash_order(df: DataFrame, label: str, ids: list[str], seed: int, name: str = "position", rows: int | None = None) -> DataFrame:
     """Add each row's 0-based position inside its class in hash order.
 
-    Positions are counted inside slices of the hash space (65,536 per class); only the slice sizes
-    are ordered across slices.  `ids` must identify a row.
+    Positions are counted inside slices of the hash space; only the slice sizes are ordered across
+    slices.  `ids` must identify a row; `rows` is the number of rows, where it is known.
     """
-    keyed = df.withColumn("__key", hash_key(ids, seed)).withColumn("__slice", F.shiftright(F.col("__key.hash"), 48))
+    bits = slice_bits(df.count() if rows is None else rows)
+    keyed = df.withColumn("__key", hash_key(ids, seed)).withColumn("__slice", F.shiftright(F.col("__key.hash"), 64 - bits))
     sizes = keyed.groupBy(label, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     below = Window.partitionBy(label).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(label, "__slice", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__base"))
@@ -192,31 +222,46 @@ def hash_order(df: DataFrame, label: str, ids: list[str], seed: int, name: str =
     return ordered.withColumn(name, F.col("__base") + F.col("__inner")).select(*df.columns, name)
 
 
+def class_cuts(df: DataFrame, label: str, ids: list[str], seed: int, places: dict) -> DataFrame:
+    """Keys at given places of the hash order of each class: (__label, __none, __cuts).
+
+    `places` has a rising list of places per class, from 1; a place of 0 lies before all rows and is
+    counted in `__none`.  Only slice sizes and the slices that hold a place are ordered.
+    """
+    bits = slice_bits(df.count())
+    narrow = df.select(F.col(label).alias("__label"), hash_key(ids, seed).alias("__key")).withColumn(
+        "__slice", F.shiftright(F.col("__key.hash"), 64 - bits))
+    kind = df.schema[label].dataType.simpleString()
+    rows = [(value, int(p)) for value, own in places.items() for p in own]
+    wanted = df.sparkSession.createDataFrame(rows, f"__label {kind}, __place long")
+    upto = Window.partitionBy("__label").orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
+    ends = narrow.groupBy("__label", "__slice").agg(F.count(F.lit(1)).alias("__n")).withColumn("__end", F.sum("__n").over(upto))
+    held = ends.join(wanted, "__label").filter("__end >= __place and __end - __n < __place").select(
+        "__label", "__slice", (F.col("__place") - F.col("__end") + F.col("__n")).alias("__inner"))
+    inside = Window.partitionBy("__label", "__slice").orderBy("__key")
+    ordered = narrow.join(held.select("__label", "__slice").distinct(), ["__label", "__slice"]).withColumn(
+        "__inner", F.row_number().over(inside).cast("long"))
+    keys = ordered.join(held, ["__label", "__slice", "__inner"]).groupBy("__label").agg(
+        F.array_sort(F.collect_list("__key")).alias("__cuts"))
+    none = wanted.groupBy("__label").agg(F.count_if(F.col("__place") == 0).alias("__none"))
+    return none.join(keys, "__label", "left")  # one row per class
+
+
+def count_cuts(df: DataFrame, label: str, ids: list[str], seed: int, places: dict, name: str) -> DataFrame:
+    """Add how many of its class's places lie before each row; no wide row is sorted."""
+    cuts = class_cuts(df, label, ids, seed, places)
+    joined = df.withColumn("__key", hash_key(ids, seed)).join(F.broadcast(cuts), F.col(label) == F.col("__label"), "left")
+    passed = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__key"))), F.lit(0))
+    passed = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(passed) + F.coalesce("__none", F.lit(0))
+    return joined.withColumn(name, passed.cast("int")).select(*df.columns, name)
+
+
 def first_of_class(df: DataFrame, label: str, ids: list[str], seed: int, quotas: dict) -> DataFrame:
     """Add `taken`: is the row among the first `quotas[class]` rows of its class in hash order?
 
-    The last row to take is located first, from slice sizes and the single slice that holds it;
-    marking the rows is then a comparison with that one row per class, so the wide rows are
-    neither sorted nor shuffled.  `ids` must identify a row.
+    The last row to take is located first; marking the rows is then a comparison with that one row
+    per class, so the wide rows are neither sorted nor shuffled.  `ids` must identify a row.
     """
-    narrow = df.select(label, hash_key(ids, seed).alias("__key")).withColumn(
-        "__slice", F.shiftright(F.col("__key.hash"), 48))
-    sizes = narrow.groupBy(label, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.partitionBy(label).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
-    quota = F.lit(None).cast("long")
-    for value, q in quotas.items():
-        quota = F.when(F.col(label) == F.lit(value), F.lit(int(q))).otherwise(quota)
-    ends = sizes.withColumn("__end", F.sum("__n").over(upto)).withColumn("__quota", quota)
-    slices = ends.filter((F.col("__end") >= F.col("__quota")) & (F.col("__end") - F.col("__n") < F.col("__quota"))).select(
-        label, "__slice", (F.col("__quota") - (F.col("__end") - F.col("__n"))).alias("__place"))
-    inside = Window.partitionBy(label, "__slice").orderBy("__key")
-    last = (
-        narrow.join(F.broadcast(slices), [label, "__slice"])  # one row per class
-        .withColumn("__inner", F.row_number().over(inside))
-        .filter(F.col("__inner") == F.col("__place"))
-        .select(F.col(label).alias("__label"), F.col("__key").alias("__last"))
-    )
-    marked = df.withColumn("__key", hash_key(ids, seed)).join(
-        F.broadcast(last), F.col(label) == F.col("__label"), "left")  # one row per class
-    taken = F.coalesce(F.col("__key") <= F.col("__last"), F.lit(False))
-    return marked.withColumn("taken", taken).select(*df.columns, "taken")
+    marked = count_cuts(df, label, ids, seed, {value: [q] for value, q in quotas.items()}, "__passed")
+    listed = F.col(label).isin(list(quotas)) if quotas else F.lit(False)
+    return marked.withColumn("taken", F.coalesce(listed & (F.col("__passed") == 0), F.lit(False))).drop("__passed")

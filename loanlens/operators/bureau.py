@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions.nulls import any_eq, any_ne, cap_above, keep_unless, nsum, raise_to, set_where
-from loanlens.functions.ordering import first_at_latest, stable_tie
+from loanlens.functions.ordering import first_at_latest, pack_text, stable_tie, unpack_text
 from loanlens.operators.previous import DAYS_PER_MONTH
 
 DPD_LEVELS = range(1, 6)
@@ -18,14 +18,15 @@ LATENESS = ["0", "1", "2", "3", "4", "5"]
 def credit_status_features(bureau_balance: DataFrame, tie: str | None = None) -> DataFrame:
     """One row per credit: latest month, status in it, and which lateness classes occurred.
 
-    A status is one character, so it travels through the aggregation as its code: a text in the
-    aggregation state would rule out hash aggregation on the largest table of all.
+    A status travels through the aggregation as a number that spells it, as a text in the
+    aggregation state would rule out hash aggregation on the largest table of all.  A status of more
+    than seven bytes is an error.
     """
     order = F.col(tie) if tie else stable_tie("SK_ID_BUREAU", "MONTHS_BALANCE", "STATUS")
     return bureau_balance.filter(F.col("SK_ID_BUREAU").isNotNull()).groupBy("SK_ID_BUREAU").agg(
         F.max("MONTHS_BALANCE").alias("LAST_SNAPSHOT"),
         *[any_eq("STATUS", str(k)).alias(f"HAD_{k}_DPD") for k in DPD_LEVELS],
-        F.char(first_at_latest(F.ascii("STATUS"), F.col("MONTHS_BALANCE"), order)).alias("CURRENT_STATUS"),
+        unpack_text(first_at_latest(pack_text(F.col("STATUS")), F.col("MONTHS_BALANCE"), order)).alias("CURRENT_STATUS"),
     )
 
 

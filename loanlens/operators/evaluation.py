@@ -67,12 +67,14 @@ def roc_curve(df: DataFrame, label: str, score: str, drop_collinear: bool = True
     """Points (fpr, tpr, threshold) by falling threshold, starting at (0, 0) with an infinite one.
 
     A point whose two neighbours continue its line is dropped on request: it is one whose next
-    lower score adds the same numbers of rows of both classes.
+    lower score adds the same numbers of rows of both classes.  The points of the highest and the
+    lowest score always stay.
     """
     ranked = _ranked_scores(df, label, score, previous=drop_collinear)
     if drop_collinear:
         same = (F.col("previous_n") == F.col("n")) & (F.col("previous_pos") == F.col("pos"))
-        ranked = ranked.filter(~F.coalesce(same, F.lit(False)))
+        highest = F.col("before_n") + F.col("n") == F.col("total_n")
+        ranked = ranked.filter(highest | ~F.coalesce(same, F.lit(False)))
     neg, before_neg, total_neg = (F.col(f"{k}n") - F.col(f"{k}pos") for k in ("", "before_", "total_"))
     points = ranked.select(
         F.try_divide((total_neg - before_neg).cast("double"), total_neg.cast("double")).alias("fpr"),

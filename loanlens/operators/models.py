@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.functions.nulls import UNKNOWN, numeric_columns, string_columns
-from loanlens.operators.preprocess import MAX_LEVELS
 from loanlens.operators.sampling import stratified_folds
 from loanlens.sources.tables import stage
 
@@ -86,8 +85,6 @@ def tree_inputs(df: DataFrame, columns: list[str]) -> tuple[PipelineModel, int]:
         indexer = StringIndexer(inputCols=[f"text__{c}" for c in texts], outputCols=[f"index__{c}" for c in texts],
                                 stringOrderType="alphabetAsc", handleInvalid="keep").fit(stages[0].transform(df))
         sizes = [len(labels) for labels in indexer.labelsArray]
-        if max(sizes) > MAX_LEVELS:
-            raise ValueError(f"more than {MAX_LEVELS} categories in one of {texts}")
         bins = max(bins, max(sizes) + 1)
         stages.append(indexer)
     slots = [f"number__{c}" if c in lows else f"index__{c}" for c in columns]

@@ -25,8 +25,6 @@ WEEKDAYS = ["MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY",
 EDUCATION = ["Lower secondary", "Secondary / secondary special", "Incomplete higher", "Higher education", "Academic degree"]
 FIXED_ORDERS = {"WEEKDAY_APPR_PROCESS_START": WEEKDAYS, "NAME_EDUCATION_TYPE": EDUCATION}
 
-MAX_LEVELS = 10_000
-
 
 @dataclass
 class Blocks:
@@ -100,13 +98,14 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
 
 
 def level_counts(df: DataFrame, columns: list[str]) -> dict[str, dict[str | None, int]]:
-    """Rows per category of each text column, in lexical order; refuses columns that are no categories."""
+    """Rows per category of each text column, in lexical order.
+
+    The categories become part of the fitted model, as an indexer's labels are: one row per category
+    reaches the driver.
+    """
     if not columns:
         return {}
-    limit = MAX_LEVELS * len(columns)
-    found = unpivot(df, columns).groupBy("column", "value").count().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {MAX_LEVELS} categories per column in {columns}")
+    found = unpivot(df, columns).groupBy("column", "value").count().collect()
     out: dict[str, dict[str | None, int]] = {c: {} for c in columns}
     for column, value, n in sorted(found, key=lambda r: (r[0], r[1] is None, r[1] or "")):
         out[column][value] = n
@@ -118,10 +117,14 @@ def mean_impute_sql(c: str, mean: float | None) -> str:
 
 
 def ordinal_sql(c: str, levels: list[str], missing: str) -> str:
-    """Category position as a double; `missing` is the text for a null, an unlisted one is an error."""
-    cases = " ".join(f"when `{c}` = {_text(v)} then {_number(i)}" for i, v in enumerate(levels))
+    """Category position as a double; `missing` is the text for a null, an unlisted one is an error.
+
+    Positions come from the array of levels, which are sorted or few.
+    """
+    listed = ", ".join(_text(v) for v in levels)
+    place = f"array_position(array({listed}), `{c}`)" if levels else "0"
     unknown = f"cast(raise_error(concat({_text(f'unknown category in {c}: ')}, `{c}`)) as double)"
-    return f"case when `{c}` is null then {missing} {cases} else {unknown} end"
+    return f"case when `{c}` is null then {missing} when {place} = 0 then {unknown} else cast({place} - 1 as double) end"
 
 
 def fit_preprocessor(df: DataFrame, blocks: Blocks, keep_columns: bool = False) -> PipelineModel:

@@ -17,6 +17,7 @@ from loanlens.functions.ordering import first_at_latest, stable_tie
 FINISHED_POS = ["Canceled", "Returned to the store", "Completed"]
 FINISHED_CARD = ["Refused", "Completed"]
 
+# Fixed value: days of a month.
 DAYS_PER_MONTH = 30.44
 
 

@@ -7,11 +7,14 @@ and combined map-side, so the shuffle carries distinct values, not rows.
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ from loanlens.functions.nulls import numeric_columns, string_columns
 from loanlens.functions.ordering import quantiles, value_ranks
 from loanlens.sources.tables import stage
 
+# workers run the kernel below without having the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """Wide to long: one (column, value) row per cell, values as text, missing cells kept."""
@@ -88,10 +94,10 @@ def describe(df: DataFrame, columns: list[str] | None = None, exact: bool = True
     return moments.join(quartiles, "column", "left")
 
 
-def histogram(df: DataFrame, column: str, bins: str | int = "auto", hue: str | None = None) -> DataFrame:
-    """Row counts in equal-width bins; the last bin includes its right edge, empty bins are kept.
+def histogram(df: DataFrame, column: str, bins: str | int = "auto", hue: str | None = None, empty: bool = False) -> DataFrame:
+    """Row counts in equal-width bins; the last bin includes its right edge.
 
-    `auto` takes the narrower of the Freedman-Diaconis and the Sturges width.  The bin count
+    Bins without rows are returned only with `empty`: one outlier can make any number of them.  `auto` takes the narrower of the Freedman-Diaconis and the Sturges width.  The bin count
     follows from one-row statistics, so the data itself is only counted, never moved.
     """
     x = F.col(column).cast("double")
@@ -103,16 +109,19 @@ def histogram(df: DataFrame, column: str, bins: str | int = "auto", hue: str | N
         iqr = q3 - q1
     count, lo, hi = _bin_count(lo, hi, n, iqr, bins)
     width = (hi - lo) / count
-    place = F.floor((x - F.lit(lo)) / F.lit(width)).cast("int")
-    place = F.least(F.greatest(place, F.lit(0)), F.lit(count - 1))
+    place = F.floor((x - F.lit(lo)) / F.lit(width)).cast("long")
+    place = F.least(F.greatest(place, F.lit(0)), F.lit(count - 1).cast("long"))
     group = [hue] if hue else []
     if hue:
         present = present.filter(F.col(hue).isNotNull())
     counts = present.groupBy(*group, place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = df.sparkSession.range(count).select(F.col("id").cast("int").alias("bin"))
-    if hue:
-        grid = present.select(hue).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    return grid.join(counts, [*group, "bin"], "left").select(
+    if empty:
+        grid = df.sparkSession.range(count).select(F.col("id").alias("bin"))
+        if hue:  # every hue needs every bin; the bins come from a range, so tasks share them
+            hues = present.select(hue).distinct().withColumn("__one", F.lit(1))
+            grid = grid.withColumn("__one", F.lit(1)).join(hues, "__one").drop("__one")
+        counts = grid.join(counts, [*group, "bin"], "left")
+    return counts.select(
         *group, "bin",
         (F.lit(lo) + F.col("bin") * F.lit(width)).alias("left_edge"),
         (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("right_edge"),
@@ -135,16 +144,11 @@ def _bin_count(lo: float | None, hi: float | None, n: int, iqr: float | None, bi
     return math.ceil(span / width), lo, hi
 
 
-def few_groups(df: DataFrame, by: str | None, limit: int = 10_000) -> bool:
-    """Is the number of groups small enough to send one row per group to every task?"""
-    return by is None or df.select(by).distinct().limit(limit + 1).count() <= limit
-
-
 def box_stats(df: DataFrame, columns: list[str], hue: str | None = None, exact: bool = True) -> DataFrame:
     """Quartiles, whisker ends (furthest values within 1.5 IQR) and outlier counts per column and group.
 
-    With few groups the fences travel to the rows, which are then combined map-side; with many,
-    the distinct values are counted first and joined to the fences by shuffle.
+    The distinct values are counted first, so a hot value or group costs one row per task; the counts
+    then meet the fences.
     """
     by = [hue] if hue else []
     box = quantiles(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=by, exact=exact)
@@ -153,10 +157,7 @@ def box_stats(df: DataFrame, columns: list[str], hue: str | None = None, exact:
     cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
     values = df.select(*by, F.explode(F.array(*cells)).alias("cell")).select(*by, "cell.*").filter(
         F.col("value").isNotNull())
-    if few_groups(df, hue):
-        values, box = values.withColumn("n", F.lit(1)), F.broadcast(box)
-    else:
-        values = values.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = values.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
     inside = (F.col("value") >= F.col("__low")) & (F.col("value") <= F.col("__high"))
     return values.join(box, [*by, "column"]).groupBy(*by, "column").agg(
         *[F.max(c).alias(c) for c in ("q1", "median", "q3")],
@@ -186,80 +187,106 @@ def crosstab_wide(df: DataFrame, rows: str, columns: str) -> DataFrame:
 
 
 def crosstab_share(df: DataFrame, rows: str, columns: str) -> DataFrame:
-    """The same table in long form."""
-    wide = crosstab_wide(df, rows, columns)
-    cells = [F.struct(F.lit(c).alias(columns), F.col(f"`{c}`").alias("share")) for c in wide.columns if c != rows]
-    return wide.select(rows, F.explode(F.array(*cells)).alias("cell")).select(rows, "cell.*")
-
-
-PAIRS_PER_PASS = 300
+    """The same table in long form, for any number of categories: the counted pairs fill in the
+    categories that a row category goes without."""
+    pairs = df.filter(F.col(rows).isNotNull() & F.col(columns).isNotNull()).groupBy(rows, columns).agg(
+        F.count(F.lit(1)).alias("__n"))
+    every = pairs.agg(F.collect_set(columns).alias("__every")).withColumn("__one", F.lit(1))  # the columns of the table
+    totals = pairs.groupBy(rows).agg(F.sum("__n").alias("__total")).withColumn("__one", F.lit(1))
+    grid = totals.join(every, "__one").select(rows, "__total", F.explode("__every").alias(columns))
+    share = F.coalesce("__n", F.lit(0)).cast("double") / F.col("__total")
+    return grid.join(pairs, [rows, columns], "left").select(rows, columns, share.alias("share"))
 
 
 def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Correlation of every ordered pair over the rows where both are present.
-
-    One aggregation serves up to 300 pairs (24 columns); wider requests take several passes.
-    """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    passes = [_pearson_pass(df, pairs[i:i + PAIRS_PER_PASS]) for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    return reduce(DataFrame.unionByName, passes)
-
-
-def _pearson_pass(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    parts, cells = [], []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        parts.append(F.corr(F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))).alias(f"c{i}"))
-        for x, y in [(a, b)] if a == b else [(a, b), (b, a)]:
-            cells.append(F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), F.col(f"c{i}").alias("corr")))
-    return df.agg(*parts).select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
-
-
-def matrix_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Correlation of every ordered pair for columns without missing cells, however many there are.
+    """Correlation of every ordered pair over the rows where both are present; null without spread.
 
-    One distributed pass sums a columns x columns matrix, which is all that reaches the driver.
+    One pass, however many columns: each task multiplies its rows' matrix with itself, masked where
+    cells are missing, and the tasks' sums of each pair meet in the shuffle.  Values are shifted
+    towards zero by an early estimate of their mean, which keeps the sums of squares precise.
     """
-    vectors = VectorAssembler(inputCols=columns, outputCol="__vector").transform(df).select("__vector")
-    matrix = Correlation.corr(vectors, "__vector", "pearson").first()[0].toArray()
-    rows = [(a, b, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
-            for i, a in enumerate(columns) for j, b in enumerate(columns)]
-    return df.sparkSession.createDataFrame(rows, "left string, right string, corr double")
+    values = df.select([F.col(c).cast("double").alias(str(i)) for i, c in enumerate(columns)])
+    early = values.limit(1000).agg(*[F.avg(F.when(~F.isnan(c), F.col(c))) for c in values.columns]).first()
+    shift = np.array([m or 0.0 for m in early])
+    sums = values.mapInPandas(_pair_sums(shift), "a int, b int, n double, x double, y double, xx double, yy double, xy double")
+    total = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+    def spread(square: str, plain: str) -> Column:
+        left = F.col(square) - F.col(plain) * F.col(plain) / F.col("n")
+        return F.when(left > 1e-12 * F.col(square), left)  # rounding leaves a constant column about this much
+
+    cov = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+    corr = F.try_divide(cov, F.sqrt(spread("xx", "x")) * F.sqrt(spread("yy", "y")))
+    corr = F.when(F.col("a") == F.col("b"), F.when(spread("xx", "x").isNotNull(), F.lit(1.0))).otherwise(corr)
+    names = F.array(*[F.lit(c) for c in columns])
+    return total.select(F.get(names, "a").alias("left"), F.get(names, "b").alias("right"),
+                        F.when(corr.isNotNull(), F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0))).alias("corr"))
+
+
+def _pair_sums(shift: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = len(shift)
+        total = np.zeros((6, p, p))
+        for batch in batches:
+            x = batch.to_numpy(dtype="float64", na_value=np.nan) - shift
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype("float64")
+            square = x * x
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x])
+        a, b = np.divmod(np.arange(p * p), p)
+        yield pd.DataFrame({"a": a, "b": b, **dict(zip(("n", "x", "y", "xx", "yy", "xy"), total.reshape(6, -1)))})
+
+    return run
 
 
 def average_ranks(df: DataFrame, columns: list[str], ids: list[str], hot_share: float = 0.001) -> DataFrame:
-    """Replace each column by its average rank (ties share the mean of their places).
+    """Replace each column by its average rank (ties share the mean of their places); nulls stay null.
 
     Ranks come from the distinct values.  Values that fill at least `hot_share` of the rows are
-    few by definition (at most 1/hot_share per column), so their ranks are broadcast; all other
-    values are joined by shuffle, where none can make a partition heavy.
+    few by definition (at most 1/hot_share per column), so their ranks are broadcast, and cells
+    that hold one travel no further; only the other cells are joined by shuffle, where no value
+    can make a partition heavy.
     """
     ranks = value_ranks(df, columns, coded=True).select(
         "column", "value", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("rank"),
         (F.col("n") >= F.col("total_n") * hot_share).alias("hot"))
-    cells = [F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)]
+    ranks = stage(ranks)
+    cells = [F.struct(F.lit(i).alias("column"), (F.col(c).cast("double") + 0.0).alias("value")) for i, c in enumerate(columns)]
     long = df.select(*ids, F.explode(F.array(*cells)).alias("cell")).select(*ids, "cell.*")
-    long = long.filter(F.col("value").isNotNull())
-    hot = F.broadcast(ranks.filter("hot").select("column", "value", F.col("rank").alias("hot_rank")))
-    marked = long.join(hot, ["column", "value"], "left")
-    # a row whose rank is already known joins nothing: its key is made unique to spread it out
-    done = F.col("hot_rank").isNotNull()
-    spread = marked.withColumn("__match", F.when(~done, F.col("value"))).withColumn(
-        "__salt", F.when(done, F.xxhash64(*ids)).otherwise(F.lit(0)))
-    rest = ranks.filter(~F.col("hot")).select(
-        F.col("column"), F.col("value").alias("__match"), F.lit(0).cast("long").alias("__salt"), F.col("rank").alias("cold_rank"))
-    joined = spread.join(rest, ["column", "__match", "__salt"], "left")
-    rank = F.coalesce("hot_rank", "cold_rank")
-    return joined.groupBy(*ids).agg(
-        *[F.max(F.when(F.col("column") == i, rank)).alias(c) for i, c in enumerate(columns)])
+    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    hot = F.broadcast(ranks.filter("hot").select("column", "value", "rank"))
+    rest = ranks.filter(~F.col("hot")).select("column", "value", "rank")
+    cold = long.join(hot, ["column", "value"], "left_anti").join(rest, ["column", "value"])
+    names = [*ids, "column", "rank"]
+    known = long.join(hot, ["column", "value"]).select(*names)
+    ranked = known.unionByName(cold.select(*names)).groupBy(*ids).agg(
+        *[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)])
+    return ranked
 
 
 def spearman_pairs(df: DataFrame, columns: list[str], ids: list[str]) -> DataFrame:
-    """Rank correlation of every ordered pair; the frame must have no missing cells in `columns`.
+    """Rank correlation of every ordered pair over the rows where both are present.
 
-    The ranks are stored, as the correlation reads them more than once.
+    Ranks are taken among those rows, so columns with missing cells are ranked anew with each
+    column or pair of columns whose gaps they meet; columns without any are ranked once.
     """
-    return matrix_pairs(stage(average_ranks(df, columns, ids)), columns)
+    counts = df.agg(F.count(F.lit(1)), *[F.count(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))) for c in columns]).first()
+    gaps = [c for c, n in zip(columns, counts[1:]) if n < counts[0]]
+    whole = [c for c in columns if c not in gaps]
+    found = [_rank_pairs(df, whole, ids)] if whole else []
+    for i, c in enumerate(gaps):
+        there = df.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+        own = _rank_pairs(there, [*whole, c], ids)
+        found.append(own.filter((F.col("left") == c) | (F.col("right") == c)))
+        for d in gaps[i + 1:]:
+            both = _rank_pairs(there.filter(F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double"))), [c, d], ids)
+            found.append(both.filter(F.col("left") != F.col("right")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _rank_pairs(df: DataFrame, columns: list[str], ids: list[str]) -> DataFrame:
+    """The ranks are stored, as the correlation reads them more than once."""
+    return pearson_pairs(stage(average_ranks(df, columns, ids)), columns)
 
 
 def strong_pairs(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -11,17 +11,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.functions.ordering import first_of_class, hash_order
-
-MAX_CLASSES = 1000
+from loanlens.functions.ordering import count_cuts, first_of_class
 
 
 def class_sizes(df: DataFrame, label: str) -> dict:
-    """Rows per class in label order; refuses a label that is no class."""
-    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values")
-    return dict(sorted((r[0], r[1]) for r in rows if r[0] is not None))
+    """Rows per class in label order; rows without a label are an error, as no class could take them."""
+    rows = df.groupBy(label).count().collect()  # one row per class
+    missing = sum(r[1] for r in rows if r[0] is None)
+    if missing:
+        raise ValueError(f"{missing} rows have no {label}; filter them out first")
+    return dict(sorted((r[0], r[1]) for r in rows))
 
 
 def share_out(sizes: dict, draws: int) -> dict:
@@ -56,13 +55,17 @@ def hash_split(df: DataFrame, ids: list[str], test_size: float = 0.2, seed: int
 
 
 def stratified_folds(df: DataFrame, label: str, ids: list[str], k: int = 3, seed: int = 0, name: str = "fold") -> DataFrame:
-    """Add a fold number 0..k-1; fold sizes differ by at most one, overall and per class."""
-    start, offset = 0, F.lit(0)
+    """Add a fold number 0..k-1; fold sizes differ by at most one, overall and per class.
+
+    A fold is a range of each class's hash order.  Dealt in turn, class after class, the rows give
+    the sizes; the k - 1 keys where folds end are located, and rows are compared with those.
+    """
+    places, start = {}, 0
     for value, n in class_sizes(df, label).items():
-        offset = F.when(F.col(label) == F.lit(value), F.lit(start)).otherwise(offset)
+        sizes = [len(range((f - start) % k, n, k)) for f in range(k)]
+        places[value] = [sum(sizes[:f]) for f in range(1, k)]
         start += n
-    ordered = hash_order(df, label, ids, seed, "__position")
-    return ordered.withColumn(name, ((F.col("__position") + offset) % k).cast("int")).drop("__position")
+    return count_cuts(df, label, ids, seed, places, name)
 
 
 def minority_majority(sizes: dict) -> tuple:
@@ -87,10 +90,10 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
     """Weight n / (classes * n_class), so that every class weighs the same in total."""
     sizes = class_sizes(df, label)
     n = sum(sizes.values())
-    weight = F.lit(None).cast("double")
-    for value, size in sizes.items():
-        weight = F.when(F.col(label) == F.lit(value), F.lit(n / (len(sizes) * size))).otherwise(weight)
-    return df.withColumn(name, weight)
+    kind = df.schema[label].dataType.simpleString()
+    rows = [(value, n / (len(sizes) * size)) for value, size in sizes.items()]
+    weights = df.sparkSession.createDataFrame(rows, f"__label {kind}, `{name}` double")
+    return df.join(weights, F.col(label) == F.col("__label"), "left").drop("__label")
 
 
 def positive_weight(df: DataFrame, label: str) -> float:

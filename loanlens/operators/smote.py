@@ -35,7 +35,7 @@ def synthetic_rows(
     vectors = distinct_vectors(minority, "features")
     slots = stage(neighbour_slots(vectors, k, seed))
 
-    rows = hash_order(minority, label, ids, seed, "position")
+    rows = hash_order(minority, label, ids, seed, "position", rows=sizes[small])
     draws = df.sparkSession.range(wanted).select(F.col("id").alias("draw")).select(
         "draw",
         F.floor(_uniform(seed, "row") * F.lit(float(sizes[small]))).cast("long").alias("position"),

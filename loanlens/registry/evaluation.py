@@ -28,9 +28,8 @@ def roc_auc_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roc_curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The curve without its starting point, whose threshold is infinite."""
-    points = evaluation.roc_curve(_scored(spark, sf_dir), "label", "score")
-    return rounded(points.filter(F.col("threshold") < float("inf")))
+    """The curve from its starting point on, whose threshold is infinite."""
+    return rounded(evaluation.roc_curve(_scored(spark, sf_dir), "label", "score"))
 
 
 WEIGHTS = {"AMT_CREDIT": 2e-6, "DAYS_BIRTH": -1e-4, "REGION_POPULATION_RELATIVE": 3.0}
@@ -71,10 +70,13 @@ select round(sum(case when p.score > q.score then 1e0 when p.score = q.score the
 from (select score, count(*) as n from scored where label = 1 group by 1) p cross join (select score, count(*) as n from scored where label = 0 group by 1) q""", "clients"),
     "roc_curve_points": with_views(f"""with {SCORED},
 d as (select score, count(*) filter (where label = 1) as p, count(*) filter (where label = 0) as q from scored group by 1),
-c as (select score, p, q, sum(p) over w as tp, sum(q) over w as fp, sum(p) over () as np, sum(q) over () as nq,
- lead(p) over w as p2, lead(q) over w as q2 from d window w as (order by score desc))
-select {rsql(fpr="fp / cast(nq as double)", tpr="tp / cast(np as double)", threshold="score")} from c
-where p2 is null or p2 <> p or q2 <> q""", "clients"),
+c as (select score, sum(p) over w as tp, sum(q) over w as fp, sum(p) over () as np, sum(q) over () as nq, row_number() over w as nth, count(*) over () as points
+ from d window w as (order by score desc)),
+b as (select *, tp - 2 * lag(tp) over v + lag(tp, 2) over v as bend_tp, fp - 2 * lag(fp) over v + lag(fp, 2) over v as bend_fp from c window v as (order by nth)),
+k as (select *, lead(bend_tp) over v <> 0 or lead(bend_fp) over v <> 0 as bends from b window v as (order by nth))
+select 0e0 as fpr, 0e0 as tpr, cast('inf' as double) as threshold
+union all select {rsql(fpr="fp / cast(nq as double)", tpr="tp / cast(np as double)", threshold="score")} from k
+where nth = 1 or nth = points or bends""", "clients"),
     "linear_attribution": with_views(f"select SK_ID_CURR, {rsql(**PHI)} from clients", "clients"),
     "mean_abs_attribution": with_views("\nunion all ".join(
         f"select '{c}' as feature, round(avg(abs({e})) + 1e-10, 6) as importance from clients" for c, e in PHI.items()), "clients"),

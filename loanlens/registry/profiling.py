@@ -51,11 +51,11 @@ def default_rate_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def histogram_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profiling.histogram(Lending(spark, sf_dir).prev_apps, "DAYS_DECISION"))
+    return rounded(profiling.histogram(Lending(spark, sf_dir).prev_apps, "DAYS_DECISION", empty=True))
 
 
 def histogram_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profiling.histogram(Lending(spark, sf_dir).clients, "DAYS_BIRTH", bins=20, hue="TARGET"))
+    return rounded(profiling.histogram(Lending(spark, sf_dir).clients, "DAYS_BIRTH", bins=20, hue="TARGET", empty=True))
 
 
 def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,12 +152,12 @@ SQL = {
 w as (select lo, hi, cast(ceil((hi - lo) / case when iqr > 0 then least(2 * iqr / pow(n, 1e0 / 3), (hi - lo) / (log2(n) + 1))
   else (hi - lo) / (log2(n) + 1) end) as int) as k from s),
 b as (select least(cast(floor((DAYS_DECISION - lo) / ((hi - lo) / k)) as int), k - 1) as bin, count(*) as n from prev_apps, w group by 1)
-select cast(g.i as int) as bin, round(lo + g.i * ((hi - lo) / k) + 1e-10, 6) as left_edge, round(lo + (g.i + 1) * ((hi - lo) / k) + 1e-10, 6) as right_edge,
+select cast(g.i as bigint) as bin, round(lo + g.i * ((hi - lo) / k) + 1e-10, 6) as left_edge, round(lo + (g.i + 1) * ((hi - lo) / k) + 1e-10, 6) as right_edge,
  coalesce(b.n, 0) as n
 from w, unnest(range(k)) as g(i) left join b on b.bin = g.i""", "prev_apps"),
     "histogram_by_target": with_views("""with w as (select cast(min(DAYS_BIRTH) as double) as lo, (max(DAYS_BIRTH) - min(DAYS_BIRTH)) / 20e0 as width from clients),
 b as (select TARGET, least(cast(floor((DAYS_BIRTH - lo) / width) as int), 19) as bin, count(*) as n from clients, w group by 1, 2)
-select t.TARGET, cast(g.i as int) as bin, round(lo + g.i * width + 1e-10, 6) as left_edge, round(lo + (g.i + 1) * width + 1e-10, 6) as right_edge, coalesce(b.n, 0) as n
+select t.TARGET, cast(g.i as bigint) as bin, round(lo + g.i * width + 1e-10, 6) as left_edge, round(lo + (g.i + 1) * width + 1e-10, 6) as right_edge, coalesce(b.n, 0) as n
 from w, (select distinct TARGET from clients) t, unnest(range(20)) as g(i) left join b on b.bin = g.i and b.TARGET = t.TARGET""", "clients"),
     "box_stats": with_views("with " + ",\n".join(f"""f_{c} as (select NAME_CONTRACT_STATUS as s, quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.5) as median,
  quantile_cont({c}, 0.75) as q3 from prev_apps group by 1)""" for c in ("AMT_CREDIT", "AMT_ANNUITY")) + "\n" + _each(["AMT_CREDIT", "AMT_ANNUITY"],

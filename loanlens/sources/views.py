@@ -61,10 +61,10 @@ select l_orderkey as SK_ID_PREV, o_custkey as SK_ID_CURR, cast(nullif(l_linenumb
  from {lineitem} join {orders} on l_orderkey = o_orderkey
 """,
     "pos_cash": """
-select l_orderkey as SK_ID_PREV, o_custkey as SK_ID_CURR, -cast(l_linenumber * 4 + l_partkey % 4 as int) as MONTHS_BALANCE,
+select l_orderkey as SK_ID_PREV, o_custkey as SK_ID_CURR, -cast((l_linenumber - l_linenumber % 2) * 4 + l_partkey % 4 as int) as MONTHS_BALANCE,
  cast(nullif(l_suppkey % 3, 0) as double) as CNT_INSTALMENT, cast(nullif(cast(l_quantity as int) % 12, 0) as double) as CNT_INSTALMENT_FUTURE,
  case when l_suppkey % 11 = 0 then 'Completed' when l_suppkey % 11 = 1 then 'Returned to the store' else 'Active' end as NAME_CONTRACT_STATUS,
- cast(case when l_tax > 75e-3 then null when l_quantity > 48 then 3 else 0 end as int) as SK_DPD, (l_partkey * 1000 + l_suppkey) * 100 + cast(l_quantity as int) as ROW_TIEBREAK
+ cast(case when l_tax > 75e-3 then null when l_quantity > 48 then 3 else 0 end as int) as SK_DPD, (l_partkey * 100000000 + l_suppkey) * 10 + l_linenumber as ROW_TIEBREAK
  from {lineitem} join {orders} on l_orderkey = o_orderkey where l_returnflag = 'A'
 """,
     "credit_card": """
@@ -87,8 +87,8 @@ select o_orderkey as SK_ID_BUREAU, o_custkey as SK_ID_CURR, case o_orderstatus w
  from {orders} where o_custkey % 7 <> 3
 """,
     "bureau_balance": """
-select l_orderkey as SK_ID_BUREAU, -cast(l_linenumber * 3 + l_partkey % 3 as int) as MONTHS_BALANCE,
- case when l_suppkey % 8 < 6 then cast(l_suppkey % 8 as varchar(1)) when l_suppkey % 8 = 6 then 'C' else 'X' end as STATUS, (l_partkey * 1000 + l_suppkey) * 100 + cast(l_quantity as int) as ROW_TIEBREAK
+select l_orderkey as SK_ID_BUREAU, -cast((l_linenumber - l_linenumber % 2) * 3 + l_partkey % 3 as int) as MONTHS_BALANCE,
+ case when l_partkey % 41 = 7 then 'Closed' when l_partkey % 41 = 9 then '' when l_suppkey % 8 < 6 then cast(l_suppkey % 8 as varchar(1)) when l_suppkey % 8 = 6 then 'C' else 'X' end as STATUS, (l_partkey * 100000000 + l_suppkey) * 10 + l_linenumber as ROW_TIEBREAK
  from {lineitem} where l_linestatus = 'O'
 """,
 }

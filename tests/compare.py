@@ -62,12 +62,12 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str:
     return ""
 
 
-def session(cpus: str = "8"):
+def session(cpus: str = os.environ.get("TEST_CPUS", "8")):
     from pyspark.sql import SparkSession
 
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("loanlens")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", os.environ.get("TEST_CPUS", "8")).config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

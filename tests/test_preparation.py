@@ -37,10 +37,21 @@ def test_fit_on_train_only_and_names(spark, tmp_path):
     assert list(out.first().features.toArray()) == [9.0, 1.0, 0.0, 0.0, 9.0]
 
 
-def test_too_many_categories_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(preprocess, "MAX_LEVELS", 3)
-    with pytest.raises(ValueError):
-        preprocess.level_counts(spark.range(9).select(F.col("id").cast("string").alias("c")), ["c"])
+def test_any_number_of_categories(spark):
+    df = spark.range(12_000).select(F.concat(F.lit("c"), "id").alias("c"))
+    assert len(preprocess.level_counts(df, ["c"])["c"]) == 12_000
+    model = preprocess.fit_preprocessor(df, Blocks(order=["ordinal_mean"], ordinal_mean=["c"]))
+    codes = {r.c: r.features[0] for r in model.transform(df.limit(50)).collect()}
+    names = sorted(f"c{i}" for i in range(12_000))
+    assert all(names[int(v)] == c for c, v in codes.items())
+
+
+def test_rows_without_a_label_are_an_error(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(50)], "id long, y int")
+    for f in (lambda: sampling.stratified_split(df, "y", ["id"]), lambda: sampling.stratified_folds(df, "y", ["id"]),
+              lambda: sampling.undersample(df, "y", ["id"]), lambda: sampling.balanced_weights(df, "y")):
+        with pytest.raises(ValueError, match="10 rows have no y"):
+            f()
 
 
 def test_narrow_types(spark):

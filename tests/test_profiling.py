@@ -17,7 +17,9 @@ def frame(spark):
 def test_histogram_matches_numpy(frame):
     pdf, df = frame
     counts, edges = np.histogram(pdf.x, bins="auto")
-    got = profiling.histogram(df, "x").orderBy("bin").toPandas()
+    got = profiling.histogram(df, "x", empty=True).orderBy("bin").toPandas()
+    present = profiling.histogram(df, "x").orderBy("bin").toPandas()
+    assert present.equals(got[got.n > 0].reset_index(drop=True))
     assert got.n.tolist() == counts.tolist()
     assert np.allclose(got.left_edge, edges[:-1]) and np.allclose(got.right_edge, edges[1:])
 
@@ -25,13 +27,16 @@ def test_histogram_matches_numpy(frame):
 def test_histogram_of_one_value_and_of_none(spark):
     df = spark.createDataFrame([(3.0,), (3.0,), (None,)], "x double")
     assert [tuple(r) for r in profiling.histogram(df, "x").collect()] == [(0, 2.5, 3.5, 2)]
-    assert profiling.histogram(df.filter("x is null"), "x").first()["n"] == 0
+    assert profiling.histogram(df.filter("x is null"), "x", empty=True).first()["n"] == 0
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_box_stats(frame, monkeypatch, few):
+def test_outlier_makes_no_empty_bins(spark):
+    df = spark.range(1000).select((F.col("id") / 1000.0).alias("x")).union(spark.sql("select cast(1e9 as double)"))
+    assert profiling.histogram(df, "x").count() < 1000
+
+
+def test_box_stats(frame):
     pdf, df = frame
-    monkeypatch.setattr(profiling, "few_groups", lambda *a: few)  # both ways must agree
     got = profiling.box_stats(df, ["x"], hue="t").toPandas().set_index("t")
     for t, part in pdf.groupby("t"):
         q1, q2, q3 = np.quantile(part.x, [0.25, 0.5, 0.75])
@@ -85,13 +90,24 @@ def test_missing_profiles(spark):
     assert profiling.distinct_values(df).filter(F.col("value").isNull()).count() == 1
 
 
-def test_wide_correlations_take_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(profiling, "PAIRS_PER_PASS", 4)
+def test_many_categories(spark):
+    df = spark.range(12_000).select(F.col("id").cast("string").alias("c"), (F.col("id") % 2).alias("r"))
+    got = profiling.crosstab_share(df, "r", "c")  # more than a pivot takes
+    assert got.count() == 24_000 and got.agg(F.sum("share")).first()[0] == pytest.approx(2.0)
+
+
+def test_wide_correlations_with_gaps(spark):
     rng = np.random.default_rng(8)
-    pdf = pd.DataFrame(rng.normal(size=(60, 5)), columns=list("abcde"))
-    got = profiling.pearson_pairs(spark.createDataFrame(pdf), list("abcde")).toPandas()
-    other = profiling.matrix_pairs(spark.createDataFrame(pdf), list("abcde")).toPandas()
-    want = pdf.corr()
-    assert len(got) == len(other) == 25
-    for frame in (got, other):
-        assert all(r.corr == pytest.approx(want.loc[r.left, r.right]) for r in frame.itertuples())
+    pdf = pd.DataFrame(rng.normal(size=(90, 5)) + 1e6, columns=list("abcde"))
+    pdf["f"] = 3.0
+    pdf.loc[pdf.index % 7 == 0, "b"] = np.nan
+    pdf.loc[pdf.index % 5 == 1, "d"] = np.nan
+    pdf["id"] = range(90)
+    df = spark.createDataFrame(pdf)
+    pearson = profiling.pearson_pairs(df, list("abcdef")).toPandas()
+    spearman = profiling.spearman_pairs(df, list("abcdef"), ["id"]).toPandas()
+    for got, want in ((pearson, pdf[list("abcdef")].corr()), (spearman, pdf[list("abcdef")].corr(method="spearman"))):
+        assert len(got) == 36
+        for r in got.itertuples():
+            expected = want.loc[r.left, r.right]
+            assert np.isnan(r.corr) == np.isnan(expected) and (np.isnan(expected) or r.corr == pytest.approx(expected))
