@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions.ordering import hash_order
-from loanlens.operators.models import auc, fit_boosting
+from loanlens.operators.models import ROUNDS, auc, fit_boosting
 from loanlens.sources.tables import stage
 
 
@@ -81,7 +81,7 @@ def tree_importances(model: PipelineModel, columns: list[str]) -> dict[str, floa
 
 
 def refit_without(
-    train: DataFrame, validation: DataFrame, label: str, columns: list[str], unwanted: list[str], rounds: int = 100,
+    train: DataFrame, validation: DataFrame, label: str, columns: list[str], unwanted: list[str], rounds: int = ROUNDS,
     weight: str | None = None, params: dict | None = None
 ) -> tuple[PipelineModel, list[str]]:
     """Retrain on the remaining columns; returns the model and those columns."""
@@ -91,7 +91,7 @@ def refit_without(
 
 def recursive_elimination(
     train: DataFrame, validation: DataFrame, label: str, columns: list[str], drop_each: int = 10, max_iter: int = 10,
-    rounds: int = 100, params: dict | None = None
+    rounds: int = ROUNDS, params: dict | None = None
 ) -> DataFrame:
     """Fit, note the validation area, drop the least important columns, repeat.
 

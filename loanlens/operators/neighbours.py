@@ -25,7 +25,6 @@ from loanlens.sources.tables import stage
 # workers run these kernels without having the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_PIVOTS = 1024
 BLOCK_ROWS = 2048
 CHUNK = 512
 
@@ -77,7 +76,7 @@ def _search(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n_points")).join(
         queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n_queries")), "cell"
     ).select("cell", blocks.alias("blocks"), chunks.alias("chunks"))
-    cells = F.broadcast(cells)  # at most MAX_PIVOTS rows
+    cells = F.broadcast(cells)  # one row per pivot, the root of the number of vectors
     place = F.xxhash64("vid")
     # both sides may come from one frame: renaming gives the left side columns of its own
     left = queries.select(*[F.col(c).alias(c) for c in ("vid", "features", "cell")]).join(cells, "cell").select(
@@ -101,17 +100,22 @@ def _k_best(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame, features: str) -> DataFrame:
-    """Distinct vectors with an identifier and the number of rows that have them, stored."""
+    """Distinct vectors with an identifier and the number of rows that have them, stored.
+
+    Identifiers rise with the vectors, so ties that go by them do not depend on the partitioning.
+    """
     counted = rows.groupBy(F.col(features).alias("features")).agg(F.count(F.lit(1)).alias("n"))
-    return stage(counted.withColumn("vid", F.monotonically_increasing_id()))
+    return stage(counted.orderBy("features").withColumn("vid", F.monotonically_increasing_id()))
 
 
 def nearest_vectors(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """The k nearest other vectors of each vector: (vid, other, copies, distance, place)."""
+    """The k nearest other vectors of each vector: (vid, other, copies, distance, place).
+
+    There are as many pivots as the root of the number of vectors, so cells grow no faster than
+    their number; the pivots' matrix and one row per cell are all that reaches the driver.
+    """
     total = vectors.count()
-    # what fits into one block is one cell: its own search is then the whole search
-    wanted = 1 if total <= BLOCK_ROWS else min(MAX_PIVOTS, int(total ** 0.5))
-    # a bounded sample of vectors, one matrix of at most MAX_PIVOTS rows
+    wanted = max(1, int(total ** 0.5))
     picked = vectors.orderBy(F.xxhash64(F.lit(seed), "features"), "vid").limit(wanted).select("features").collect()
     pivots = np.array([r["features"] for r in picked], dtype="float64").reshape(len(picked), -1)
 
@@ -128,11 +132,9 @@ def nearest_vectors(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
     own = points.filter(F.col("n") <= k)  # a vector with k copies besides itself needs no others
     columns = ["vid", "other", "copies", "distance", "place"]
     first = stage(_k_best(_search(own, points, k), k).select(*columns))
-    if wanted == 1:
-        return first
 
     shapes = {r["cell"]: (r["lo"], r["hi"]) for r in points.groupBy("cell").agg(
-        F.min("reach").alias("lo"), F.max("reach").alias("hi")).collect()}  # at most MAX_PIVOTS rows
+        F.min("reach").alias("lo"), F.max("reach").alias("hi")).collect()}  # one row per pivot
     used = np.array(sorted(shapes))
     low, high = (np.array([shapes[c][i] for c in used]) for i in (0, 1))
     centres = pivots[used]

@@ -61,7 +61,7 @@ def linear_scorer(df: DataFrame, label: str, ids: list[str], blocks: preprocess.
     return PipelineModel([*fitted.stages, models.linear_estimator(ready, label, max_iter=max_iter).fit(ready)])
 
 
-def tree_scorer(df: DataFrame, label: str, ids: list[str], columns: list[str], rounds: int = 100, weight: str | None = None) -> PipelineModel:
+def tree_scorer(df: DataFrame, label: str, ids: list[str], columns: list[str], rounds: int = models.ROUNDS, weight: str | None = None) -> PipelineModel:
     """Boosted trees: rounds chosen on held-out rows, then trained on all rows."""
     train, validation = (stage(part) for part in sampling.stratified_split(df, label, ids))
     chosen = models.fit_boosting(train, validation, label, columns, rounds, weight)

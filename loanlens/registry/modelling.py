@@ -120,7 +120,7 @@ def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = stage(inputs.transform(sample).select("SK_ID_CURR", "label", "features"))
     space = {**models.SEARCH_SPACE, "min_data_in_leaf": ("int", 5, 20)}
     out = models.random_search(ready, "label", ID, trials=3, k=3, rounds=5, bins=bins, space=space)
-    return out.select("trial", "roc_auc", F.map_keys("parameters").alias("parameters"))
+    return out.select("trial", "roc_auc", *[F.col("parameters")[name].alias(name) for name in space])
 
 
 def linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,15 +102,21 @@ QUERIES = {f.__name__: f for f in (
 
 # ---- the same results in SQL ----
 
-CLIENT_COLUMNS = """SK_ID_CURR TARGET AMT_INCOME_TOTAL AMT_CREDIT AMT_ANNUITY DAYS_BIRTH DAYS_EMPLOYED REGION_POPULATION_RELATIVE
- CNT_CHILDREN CNT_FAM_MEMBERS EXT_SOURCE_1 EXT_SOURCE_2 EXT_SOURCE_3 AMT_REQ_CREDIT_BUREAU_WEEK AMT_REQ_CREDIT_BUREAU_HOUR
- AMT_REQ_CREDIT_BUREAU_DAY AMT_REQ_CREDIT_BUREAU_MON AMT_REQ_CREDIT_BUREAU_QRT AMT_REQ_CREDIT_BUREAU_YEAR OBS_30_CNT_SOCIAL_CIRCLE
- OBS_60_CNT_SOCIAL_CIRCLE DEF_30_CNT_SOCIAL_CIRCLE DEF_60_CNT_SOCIAL_CIRCLE CODE_GENDER NAME_EDUCATION_TYPE WEEKDAY_APPR_PROCESS_START
- NAME_INCOME_TYPE NAME_TYPE_SUITE NAME_HOUSING_TYPE NAME_FAMILY_STATUS NAME_CONTRACT_TYPE OCCUPATION_TYPE ORGANIZATION_TYPE""".split()
+CLIENT_COLUMNS = [
+    "SK_ID_CURR", "TARGET", "AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "DAYS_BIRTH", "DAYS_EMPLOYED",
+    "REGION_POPULATION_RELATIVE", "CNT_CHILDREN", "CNT_FAM_MEMBERS", "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3",
+    "AMT_REQ_CREDIT_BUREAU_WEEK", "AMT_REQ_CREDIT_BUREAU_HOUR", "AMT_REQ_CREDIT_BUREAU_DAY",
+    "AMT_REQ_CREDIT_BUREAU_MON", "AMT_REQ_CREDIT_BUREAU_QRT", "AMT_REQ_CREDIT_BUREAU_YEAR", "OBS_30_CNT_SOCIAL_CIRCLE",
+    "OBS_60_CNT_SOCIAL_CIRCLE", "DEF_30_CNT_SOCIAL_CIRCLE", "DEF_60_CNT_SOCIAL_CIRCLE", "CODE_GENDER",
+    "NAME_EDUCATION_TYPE", "WEEKDAY_APPR_PROCESS_START", "NAME_INCOME_TYPE", "NAME_TYPE_SUITE", "NAME_HOUSING_TYPE",
+    "NAME_FAMILY_STATUS", "NAME_CONTRACT_TYPE", "OCCUPATION_TYPE", "ORGANIZATION_TYPE",
+]
 CLIENT_TEXTS = CLIENT_COLUMNS[CLIENT_COLUMNS.index("CODE_GENDER"):]
-BUREAU_COLUMNS = """SK_ID_BUREAU SK_ID_CURR CREDIT_ACTIVE CREDIT_TYPE DAYS_CREDIT DAYS_CREDIT_ENDDATE DAYS_ENDDATE_FACT DAYS_CREDIT_UPDATE
- CREDIT_DAY_OVERDUE CNT_CREDIT_PROLONG AMT_CREDIT_SUM_DEBT AMT_CREDIT_SUM_LIMIT AMT_CREDIT_SUM_OVERDUE AMT_CREDIT_SUM
- AMT_CREDIT_MAX_OVERDUE""".split()
+BUREAU_COLUMNS = [
+    "SK_ID_BUREAU", "SK_ID_CURR", "CREDIT_ACTIVE", "CREDIT_TYPE", "DAYS_CREDIT", "DAYS_CREDIT_ENDDATE",
+    "DAYS_ENDDATE_FACT", "DAYS_CREDIT_UPDATE", "CREDIT_DAY_OVERDUE", "CNT_CREDIT_PROLONG", "AMT_CREDIT_SUM_DEBT",
+    "AMT_CREDIT_SUM_LIMIT", "AMT_CREDIT_SUM_OVERDUE", "AMT_CREDIT_SUM", "AMT_CREDIT_MAX_OVERDUE",
+]
 
 
 def _each(columns: list[str], text: str) -> str:

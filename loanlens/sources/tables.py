@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
 import uuid
 
 from pyspark.ml import PipelineModel
@@ -73,27 +72,42 @@ def load_model(path: str) -> PipelineModel:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by `spark.checkpoint.dir`.
+    """The folder all executors can reach: the application's checkpoint directory.
 
-    Only a local session may go without that setting; it then gets a fresh folder of its own.
+    That is what the application set itself, else what `spark.checkpoint.dir` names.  Where neither
+    is set, a folder in the warehouse is used, which is shared like the tables in it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="run-")
-    spark.sparkContext.setCheckpointDir(folder)
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Used before iterative work: the result is read many times and must not be recomputed, nor be
-    lost with an executor.
+    lost with an executor.  The folder is removed when the program ends, or by `release`.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"stage-{uuid.uuid4().hex}")
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def release() -> None:
+    """Remove the staged folders; frames read from them are of no use afterwards."""
+    while _staged:
+        spark, path = _staged.pop()
+        context = spark.sparkContext
+        if context._jsc is None:  # stopped
+            continue
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

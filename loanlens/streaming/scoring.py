@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from loanlens.operators.scoring import check_requests, contract_schema, score
+from loanlens.operators.scoring import check_requests, contract_schema, score, typed_requests
 
 
 def request_stream(spark: SparkSession, folder: str, ids: T.StructType) -> DataFrame:
@@ -29,7 +29,7 @@ def score_stream(
 
     def write(batch: DataFrame, number: int) -> None:
         checked = check_requests(batch).persist()
-        good = checked.filter(F.size("violations") == 0).drop("violations")
+        good = typed_requests(checked.filter(F.size("violations") == 0).drop("violations"))
         score(good, model, ids, drop).write.mode("overwrite").parquet(f"{scores}/batch={number}")
         bad = checked.filter(F.size("violations") > 0)
         bad.select(*ids, "violations").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")

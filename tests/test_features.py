@@ -31,6 +31,16 @@ def test_loan_length(spark):
     assert got[1].IS_COMPLETED == "YES" and got[2].IS_COMPLETED == "NO"
 
 
+def test_any_status_and_any_tie(spark):
+    rows = [(1, -1, "10", 2 ** 62), (1, -1, "C", 2 ** 62 + 1), (2, -3, "", -5), (2, -3, "0", 7), (3, -2, "Closed", 0), (4, -1, None, 0), (5, None, "1", 0)]
+    schema = "SK_ID_BUREAU long, MONTHS_BALANCE int, STATUS string, T long"
+    out = bureau.credit_status_features(spark.createDataFrame(rows, schema), "T")
+    assert {r.SK_ID_BUREAU: r.CURRENT_STATUS for r in out.collect()} == {1: "10", 2: "", 3: "Closed", 4: None, 5: None}
+    assert {r.SK_ID_BUREAU: r.HAD_1_DPD for r in out.collect()} == {1: "NO", 2: "NO", 3: "NO", 4: "NO", 5: "YES"}
+    with pytest.raises(Exception, match="seven bytes"):
+        bureau.credit_status_features(spark.createDataFrame([(1, -1, "far too long", 0)], schema), "T").collect()
+
+
 def test_card_features_leave_out_unknown_and_negative_drawings(spark):
     card = spark.createDataFrame(
         [(1, 9, -1, -1.0, 10.0, 5.0, 9.0, "Completed", 0), (1, 9, -2, None, 10.0, 5.0, 1.0, "Active", 3), (1, 9, -3, 20.0, 10.0, 5.0, 1.0, "Active", 0)],

@@ -127,6 +127,36 @@ def test_contract_reports_each_problem(spark, sf_dir):
         "EXT_SOURCE_1: field required"]
 
 
+def test_one_bad_request_does_not_end_the_batch(spark, sf_dir):
+    row = requests(spark, sf_dir).filter("SK_ID_CURR = 120")
+    texts = row.select(*[F.col(c).cast("string").alias(c) for c in row.columns])
+    wild = texts.withColumns({"SK_ID_CURR": F.lit("1"), "DAYS_BIRTH": F.lit("1e30"), "CNT_CHILDREN": F.lit("two"), "AMT_CREDIT": F.lit("NaN")})
+    good = texts.withColumns({"DAYS_BIRTH": F.lit("7.0"), "AMT_CREDIT": F.lit("1e3")})
+    valid, held = scoring.split_requests(good.union(wild))
+    assert [(r.SK_ID_CURR, r.DAYS_BIRTH, r.AMT_CREDIT) for r in valid.collect()] == [("120", 7, 1000.0)]
+    assert held.first().violations == ["CNT_CHILDREN: not an integer", "AMT_CREDIT: not a number", "DAYS_BIRTH: not an integer"]
+
+
+def test_roc_curve_keeps_its_ends(spark):
+    df = spark.createDataFrame(list(zip([0.9, 0.8, 0.7, 0.6, 0.5, 0.4], [0, 0, 1, 0, 1, 1])), "s double, y int")
+    points = [(r.threshold, r.fpr, r.tpr) for r in evaluation.roc_curve(df, "y", "s").collect()]
+    third = 1 / 3
+    assert [x for p in points for x in p] == pytest.approx([x for p in [(float("inf"), 0, 0), (0.9, third, 0), (0.8, 2 * third, 0), (0.7, 2 * third, third),
+                                    (0.6, 1, third), (0.4, 1, 1)] for x in p])
+
+
+def test_patience_outlasts_a_flat_stretch():
+    assert models.best_round([5, 4, 4.1, 4.2, 3, 3.5], 3) == 5
+    assert models.best_round([5, 4, 4.1, 4.2, 4.3, 3], 3) == 2
+    assert models.best_round([1], 3) == 1
+
+
+def test_small_steps_use_their_budget(spark, planted):
+    train, validation = sampling.stratified_split(planted, "label", ["id"])
+    model = models.fit_boosting(train, validation, "label", ["a", "b"], rounds=12, params={"stepSize": 0.01, "maxDepth": 2})
+    assert models.boosting_rounds(model) == 12
+
+
 def test_streamed_scores_equal_batch_scores(spark, sf_dir, tmp_path):
     ids = T.StructType([T.StructField("SK_ID_CURR", T.LongType())])
     schema = {f.name: f.dataType for f in scoring.contract_schema().fields}

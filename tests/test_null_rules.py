@@ -79,7 +79,7 @@ def test_csv_reader_types_and_missing_texts(spark, tmp_path):
     out = tables.read_csv(spark, str(path), schemas.BUREAU_BALANCE, index_column=True)
     assert out.schema == schemas.BUREAU_BALANCE
     assert [tuple(r) for r in out.orderBy("SK_ID_BUREAU").collect()] == [(1, -3, "C"), (2, None, None), (3, None, None), (4, -1, None)]
-    kept = tables.read_csv(spark, str(path), schemas._schema(long="SK_ID_CURR", string="STATUS"), True, "SK_ID_CURR")
+    kept = tables.read_csv(spark, str(path), schemas._schema(long=["SK_ID_CURR"], string=["STATUS"]), True, "SK_ID_CURR")
     assert kept.columns == ["SK_ID_CURR", "STATUS"] and kept.count() == 4
 
 

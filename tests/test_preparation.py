@@ -128,6 +128,15 @@ def test_neighbours_against_brute_force(spark, monkeypatch, kind):
         assert np.allclose(got, want[tuple(me)]), kind
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_ties_go_by_the_vector(spark, parts):
+    x = [[0.0, 0.0], [1.0, 0.0], [-1.0, 0.0], [0.0, 1.0], [0.0, -1.0]]
+    vectors = neighbours.distinct_vectors(spark.createDataFrame([(v,) for v in x], "features array<double>").repartition(parts), "features")
+    names = {r.vid: tuple(r.features) for r in vectors.collect()}
+    near = neighbours.nearest_vectors(vectors, 2).collect()
+    assert sorted(names[r.other] for r in near if names[r.vid] == (0.0, 0.0)) == [(-1.0, 0.0), (0.0, -1.0)]
+
+
 def test_synthetic_rows_lie_on_segments(spark):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"id": range(400), "y": [int(i < 40) for i in range(400)], "features": rng.normal(size=(400, 3)).tolist()})
