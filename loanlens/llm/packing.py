@@ -9,6 +9,7 @@ other such partitions, and best-fit decreasing runs again; a round counts only i
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,54 +19,101 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import stage
+from loanlens.llm.common import stage, with_id
 
 GROUP_ROWS = 20_000  # pieces that are packed together
-CACHED = 300_000  # words whose tokens a worker keeps
-BATCH_BYTES = 8 << 20
-TOKENS = "doc_id long, piece int, start long, length long, ids_crc32 long"
+CACHED = 200_000  # parts of words whose tokens a worker keeps
+MARKS = 1 << 22
+BATCH_CHARS = 4 << 20
+TOKENS = "doc_id string, piece int, start long, length long, ids_crc32 long"
+
+
+class Kept:
+    """Tokens of parts that were met in two batches; once met, a part leaves a mark by its hash."""
+
+    def __init__(self):
+        self.tokens: dict[str, bytes] = {}
+        self.met = bytearray(MARKS)
+
+    def keep(self, new: dict[str, bytes]) -> None:
+        if len(self.tokens) > CACHED:
+            self.__init__()
+        tokens, met = self.tokens, self.met
+        for part, ids in new.items():
+            mark = hash(part) % MARKS
+            if met[mark]:
+                tokens[part] = ids
+            else:
+                met[mark] = 1
 
 
 def _tokenizer(path: str):
-    """The tokenizer and the tokens of words met before, once per worker.
+    """The tokenizer, and the tokens of parts met before, once per worker.
 
     They are kept on the library's module, as this one is shipped anew with every task.
     """
     import tokenizers
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     held = tokenizers.__dict__.setdefault("_loanlens_held", {})
     if path not in held:
-        held[path] = (tokenizers.Tokenizer.from_file(path), {})
+        held[path] = (tokenizers.Tokenizer.from_file(path), Kept())
     return held[path]
 
 
 def token_bytes(texts: list[str], path: str, end: int = 0) -> list[bytes]:
     """Each text's ids as little-endian 32-bit numbers, `end` last.
 
-    The tokenizer drops white space and never joins characters across it, so a text's ids are those
-    of its words, one after the other, and words met before are looked up.
+    The tokenizer cuts a text into parts that it encodes one by one, so a text's ids are those of
+    its parts, one after the other, and parts met before are looked up.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, kept = _tokenizer(path)
     last = int(end).to_bytes(4, "little")
-    words = [_split(t) for t in texts]
-    missing = list({w for ws in words for w in ws if w not in known})
-    if len(known) + len(missing) > CACHED:
-        known.clear()
-        missing = list({w for ws in words for w in ws})
-    for k in range(0, len(missing), 4096):
-        part = missing[k : k + 4096]
-        for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-    return [b"".join([*map(known.__getitem__, ws), last]) for ws in words]
+    cut = [_parts(t) for t in texts]
+    found = [list(map(kept.tokens.get, ps)) for ps in cut]
+    new = _encode(tokenizer, {p for ps, vs in zip(cut, found, strict=True) if None in vs for p, v in zip(ps, vs, strict=True) if v is None})
+    out = [b"".join([*(vs if None not in vs else [new[p] if v is None else v for p, v in zip(ps, vs, strict=True)]), last])
+           for ps, vs in zip(cut, found, strict=True)]
+    kept.keep(new)
+    return out
+
+
+def _parts(text: str) -> list[str]:
+    """The parts of plain texts, in lower case.  Of other texts the words between white space, which
+    the tokenizer drops; those of plain characters are cut into parts, others are left as they are."""
+    if PLAIN.fullmatch(text) and "<|" not in text:
+        return PART.findall(text.lower())
+    out = []
+    for word in WORD.findall(text):
+        if PLAIN.fullmatch(word) and "<|" not in word:  # which may be a special token
+            out += PART.findall(word.lower())
+        else:
+            out.append(word)
+    return out
 
 
-def _split(text: str) -> list[str]:
-    """Words between ASCII white space, which the tokenizer takes for white space too."""
-    # str.split() also splits at characters that need not be white space for the tokenizer
-    return text.split() if text.isascii() and not _SEPARATOR.search(text) else _WORD.findall(text)
+def _encode(tokenizer, parts: set[str]) -> dict[str, bytes]:
+    out, many = {}, []
+    for p in parts:
+        if PART.fullmatch(p):
+            many.append(p)
+        else:
+            out[p] = np.array(tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    for k in range(0, len(many), 1024):
+        block = many[k : k + 1024]
+        found = tokenizer.encode(" ".join(block), add_special_tokens=False)
+        ids, of = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
+        ends = (4 * np.searchsorted(of, np.arange(len(block) + 1))).tolist()
+        for p, a, b in zip(block, ends, ends[1:], strict=False):
+            out[p] = ids[a:b]
+    return out
 
 
-_SEPARATOR, _WORD = re.compile("[\x1c-\x1f]"), re.compile(r"[^\x20\x09-\x0D]+")
+# Characters that nothing but lower case changes before a text is cut into parts.
+PLAIN = re.compile("[\x20-\x7e\x09-\x0dÀ-ÖØ-öø-įı-ſ]*")
+# Fixed value: the parts of a plain text in lower case.
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ſ]+|[0-9]|[!-/:-@\[-`{-~]+")
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
@@ -78,7 +126,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
             for k, (_, text) in enumerate(pairs):
                 texts.append(text or "")
                 held += len(texts[-1])
-                if held < BATCH_BYTES and k + 1 < len(pairs):
+                if held < BATCH_CHARS and k + 1 < len(pairs):
                     continue
                 for (doc, _), ids in zip(pairs[k + 1 - len(texts) : k + 1], token_bytes(texts, tokenizer), strict=True):
                     for piece, at in enumerate(range(0, len(ids), 4 * size)):
@@ -86,10 +134,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
                         rows.append((doc, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
                 texts, held = [], 0
             names = [f.split()[0] for f in TOKENS.split(", ")]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield pd.DataFrame(rows, columns=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, TOKENS)
+    return with_id(docs, "doc_id", "text").mapInPandas(run, TOKENS).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
