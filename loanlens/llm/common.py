@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def with_id(df: DataFrame, name: str, *others: str) -> DataFrame:
+    """The id column as text, for pandas, which makes floats of longs that stand among nulls; and others."""
+    return df.select(F.col(name).cast("long").cast("string").alias(name), *others)
+
+
 def word_count(text):
     """Words of a text; 0 where it is null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -13,8 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanlens.llm.common import stage
 
@@ -64,12 +66,12 @@ class Model:
         size = np.sqrt(np.maximum(seen.sum(axis=1), 1))[:, None]
         return seen[:, self.active].astype(np.float32) @ self.weights / size + self.base
 
-    def predict(self, texts: pd.Series) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         known = [i for i, t in enumerate(texts) if t is not None and has_letter(t)] if self.langs else []
         for k in range(0, len(known), BATCH):
             rows = known[k : k + BATCH]
-            found = self.scores(np.stack([grams(texts.iloc[i]) for i in rows]))
+            found = self.scores(np.stack([grams(texts[i]) for i in rows]))
             best = found.argmax(axis=1)
             for i, j, v in zip(rows, best, found[np.arange(len(rows)), best], strict=True):
                 langs[i], scores[i] = self.langs[j], float(np.clip((v + 1) / 2, 0, 1))
@@ -139,18 +141,19 @@ def learn(docs: DataFrame, **options) -> Model:
     return fit(chosen.select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")).alias("order")), **options)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs` and lang_pred, score; a column of theirs with such a name is replaced.
+def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of `docs` and the language and its score, under the given names; a column of theirs
+    with such a name is replaced.
 
     Null texts and texts without a letter, empty ones included, are `und` with score 0, as is every
     text where no language was learnt.  Equal scores go to the first language by code point.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in (lang, score)])
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = model.predict(b["text"])
-            yield b.assign(lang_pred=langs, score=scores)
+            langs, scores = model.predict(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                             names=[*b.schema.names, lang, score])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in names]).schema.fields)
-    return docs.select(*[f"`{c}`" for c in names]).mapInPandas(predict, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(predict, T.StructType([*kept.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))

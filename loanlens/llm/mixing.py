@@ -93,11 +93,11 @@ def narrow(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(seed).alias("mix_key"))
 
 
-def mix(docs: DataFrame, seed: int = 11, keep_text: bool = False, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 11, keep_text: bool = False, prefix: str = "", **options) -> DataFrame:
     """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken.
 
-    `docs` needs doc_id, text, source.  With `keep_text` all columns of `docs` come along; a column
-    of theirs named like a new one (size, source_size, target, taken) or `mix_key` is replaced.
+    `docs` needs doc_id, text, source.  With `keep_text` all columns of `docs` come along.  The new
+    columns' names start with `prefix`; a column of `docs` with such a name is replaced.
 
     A source takes whole epochs of its documents and, of one more epoch, documents in key order up
     to its budget, its target to the nearest word; of the document at the cut only the first words.
@@ -106,34 +106,40 @@ def mix(docs: DataFrame, seed: int = 11, keep_text: bool = False, **options) ->
     each.  Sources without a word have the target 0.  No rows give no rows.
     """
     rows = stage(narrow(docs, seed))
-    limits = cuts(rows, seed, **options).withColumnRenamed("source", "of")
+    limits = cuts(rows, seed, **options)
+    added = [prefix + c for c in ADDED]
     if keep_text:
-        kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*ADDED, "mix_key")]
-        rows = docs.select(*kept, word_count(F.col("text")).alias("size"), mix_key(seed).alias("mix_key"))
+        kept = [c for c in docs.columns if c not in added]
+        rows = docs.select(*[F.col(f"`{c}`") for c in kept], word_count(F.col("text")).alias("_mix_size"), mix_key(seed).alias("_mix_key"))
+    else:
+        kept = ["doc_id", "source"]
+        rows = rows.select(*kept, F.col("size").alias("_mix_size"), F.col("mix_key").alias("_mix_key"))
+    limits = limits.select(*[F.col(c).alias(f"_mix_{c}") for c in limits.columns if c != "source"], F.col("source").alias("_mix_of"))
     last = (
-        F.when(F.col("mix_key") < F.col("cut"), F.col("size"))
-        .when(F.col("mix_key") == F.col("cut"), F.expr("cast(cast(part as decimal(38,0)) * size / cut_size as bigint)"))
+        F.when(F.col("_mix_key") < F.col("_mix_cut"), F.col("_mix_size"))
+        .when(F.col("_mix_key") == F.col("_mix_cut"),
+              F.expr("cast(cast(_mix_part as decimal(38,0)) * _mix_size / _mix_cut_size as bigint)"))
         .otherwise(0)
     )
-    joined = rows.join(limits, rows["source"].eqNullSafe(limits["of"]))
-    taken = (F.col("epochs") * F.col("size") + last).cast("long").alias("taken")
-    first = [F.col(f"`{c}`") for c in rows.columns if c not in ("size", "mix_key")]
-    return joined.select(*first, "size", "source_size", "target", taken)
+    joined = rows.join(limits, rows["source"].eqNullSafe(limits["_mix_of"]))
+    taken = (F.col("_mix_epochs") * F.col("_mix_size") + last).cast("long")
+    values = (F.col("_mix_size"), F.col("_mix_source_size"), F.col("_mix_target"), taken)
+    return joined.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(name) for v, name in zip(values, added, strict=True)])
 
 
-def repeat(mixed: DataFrame) -> DataFrame:
+def repeat(mixed: DataFrame, prefix: str = "") -> DataFrame:
     """The documents that `mix` with `keep_text` takes: one row per epoch, the last cut to the words it takes.
 
     A cut text ends with its last word taken; n_chars, where there is such a column, follows it.
     """
-    last = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    rows = mixed.where("taken > 0").withColumn("_epoch", F.explode(last))
-    left = F.least("size", F.col("taken") - (F.col("_epoch") - 1) * F.col("size"))
-    rows = rows.withColumn("_left", left)
-    cut = F.col("_left") < F.col("size")
+    size, taken = F.col(f"{prefix}size"), F.col(f"{prefix}taken")
+    last = F.sequence(F.lit(1), F.ceil(taken / size).cast("int"))
+    rows = mixed.where(taken > 0).withColumn("_mix_epoch", F.explode(last))
+    rows = rows.withColumn("_mix_left", F.least(size, taken - (F.col("_mix_epoch") - 1) * size))
+    cut = F.col("_mix_left") < size
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    head = F.array_join(F.slice(words, 1, F.col("_left").cast("int")), "")
-    rows = rows.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
+    head = F.array_join(F.slice(words, 1, F.col("_mix_left").cast("int")), "")
+    rows = rows.withColumn("_mix_cut", cut).withColumn("text", F.when(F.col("_mix_cut"), head).otherwise(F.col("text")))
     if "n_chars" in rows.columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.drop("_epoch", "_left")
+        rows = rows.withColumn("n_chars", F.when(F.col("_mix_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.drop("_mix_epoch", "_mix_left", "_mix_cut")

@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import stage
+from loanlens.llm.common import stage, with_id
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "structure", "gazetteer", "context", "border", "variety")
@@ -165,9 +166,9 @@ def proposals(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             spans = [[dict(zip(("kind", "start", "end", "base", "votes", "shape"), s, strict=True)) for s in propose(t)] for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "spans": spans})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "spans": spans})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, f"doc_id long, spans {SPAN}")
+    return with_id(docs, "doc_id", "text").mapInPandas(run, f"doc_id string, spans {SPAN}")
 
 
 def reliabilities(signs: np.ndarray, n: np.ndarray, turns: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -268,10 +269,11 @@ def detect(docs: DataFrame) -> DataFrame:
                              _line(every), len(every) - len(base)))
             names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
             out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            out.insert(0, "doc_id", b["doc_id"].to_numpy())
+            yield out
 
-    return found.mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    fields = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    return found.mapInPandas(run, fields).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -293,14 +295,16 @@ def redact(docs: DataFrame) -> DataFrame:
             at = max(at, end)
         return "".join(out) + text[at:]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            before = b["text"].tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # the other columns pass through as they are
+            before = b.column("text").to_pylist()
             after = [t if t is None else clean(t) for t in before]
-            b = b.assign(text=after)
+            new = {"text": after}
             if counted:
-                n = b["n_chars"].astype("Int64").to_numpy(dtype=object, na_value=None)
-                b["n_chars"] = pd.array([len(y) if x != y else k for x, y, k in zip(before, after, n, strict=True)], "Int64")
+                new["n_chars"] = [len(y) if x != y else k for x, y, k in zip(before, after, b.column("n_chars").to_pylist(), strict=True)]
+            for name, values in new.items():
+                i = b.schema.get_field_index(name)
+                b = b.set_column(i, b.schema.field(i), pa.array(values, b.schema.field(i).type))
             yield b
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import components, stage
+from loanlens.llm.common import components, stage, with_id
 
 BLOCK = 8192  # fingerprints of one bucket that meet in a task; larger buckets are cut into blocks
 CHUNK = 65_536  # shingle hashes whose bits are counted at once
@@ -56,9 +56,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return with_id(docs, "doc_id", "text").mapInPandas(run, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def bit_groups(like: np.ndarray, m: int) -> list[list[int]]:

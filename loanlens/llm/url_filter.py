@@ -21,7 +21,7 @@ from loanlens.llm.common import partitions
 SAMPLES_PER_RANGE = 100  # addresses looked at per range to place its borders; they decide no result
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-EVENT = "part int, hkey string, kind int, path string, page_id long, host string, n int, rule string, verdict string"
+EVENT = "part int, hkey string, kind int, path string, page_id string, host string, n int, rule string, verdict string"  # ids as texts: pandas makes floats of longs among nulls
 
 
 def host_of(url: Column) -> Column:
@@ -52,7 +52,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     """
     spark = pages.sparkSession
     n = partitions(spark)
-    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"),
+    urls = pages.select(F.col("page_id").cast("string").alias("page_id"), host_of(F.col("url")).alias("host"),
                         path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("hkey", host_key(F.col("host"))).withColumn("tie", F.xxhash64("page_id"))
     borders = _borders(urls, n)
@@ -67,7 +67,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
             keys = zip(b["hkey"], b["path"], b["tie"], strict=True)
             yield pd.DataFrame({
                 "part": [bisect_right(borders, k) for k in keys], "hkey": b["hkey"], "kind": 1, "path": b["path"],
-                "page_id": b["page_id"].astype("Int64"), "host": b["host"], "n": 0, "rule": None, "verdict": None,
+                "page_id": b["page_id"], "host": b["host"], "n": 0, "rule": None, "verdict": None,
             })
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,15 +82,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
             at = b.iloc[[k for _, k in rows]].reset_index(drop=True)
             yield pd.DataFrame({
                 "part": [p for p, _ in rows], "hkey": at["hkey"], "kind": 0, "path": at["path"],
-                "page_id": pd.array([None] * len(rows), "Int64"), "host": at["host"],
+                "page_id": None, "host": at["host"],
                 "n": at["host"].str.len() + at["path"].str.len(), "rule": at["host"] + at["path"],
                 "verdict": at["verdict"],
             })
 
     events = urls.mapInPandas(place, EVENT).unionByName(given.mapInPandas(spread, EVENT))
     dealt = events.repartitionById(n, F.col("part")).sortWithinPartitions("part", "hkey", "kind", "path")
-    return dealt.mapInPandas(lambda batches: _sweep(batches, default),
-                             "page_id long, host string, path string, rule string, verdict string")
+    swept = dealt.mapInPandas(lambda batches: _sweep(batches, default),
+                              "page_id string, host string, path string, rule string, verdict string")
+    return swept.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def _borders(urls: DataFrame, n: int) -> list[tuple]:
@@ -133,7 +134,7 @@ def _sweep(batches: Iterator[pd.DataFrame], default: str) -> Iterator[pd.DataFra
             out.append((page_id, name, path, found[3], found[4]))
         if out:
             page_ids, names, paths, rules, verdicts = zip(*out, strict=True)
-            yield pd.DataFrame({"page_id": pd.array(page_ids, "Int64"), "host": names, "path": paths,
+            yield pd.DataFrame({"page_id": pd.Series(page_ids, dtype=object), "host": names, "path": paths,
                                 "rule": pd.Series(rules, dtype=object), "verdict": verdicts})
 
 

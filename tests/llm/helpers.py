@@ -10,6 +10,6 @@ def documents(spark, rows):
 
 
 ODD = [
-    (1, None), (2, ""), (3, " \n\t "), (None, "no id here"), (4, "same text twice"), (4, "same text twice"),
+    (1, None), (2, ""), (2**60 + 1, "an id that no double holds"), (3, " \n\t "), (None, "no id here"), (4, "same text twice"), (4, "same text twice"),
     (5, "!!! 123 ???"), (6, "word " * 30_000), (7, "x" * 100_000), (8, "é\u00a0ß \u2028 Ωμ"), (9, "one"), (10, "two words"),
 ]

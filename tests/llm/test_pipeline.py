@@ -4,7 +4,6 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import xxhash
 from helpers import ODD, documents
 from test_mixing import plain_targets
@@ -23,7 +22,7 @@ def mix_key(doc_id, text):
 
 
 def plain_run(docs, model, classifier_of):
-    langs, scores = model.predict(pd.Series([t for _, t, _ in docs], dtype=object))
+    langs, scores = model.predict([t for _, t, _ in docs])
     docs = [d for d, lang, s in zip(docs, langs, scores, strict=True) if lang != "und" and s >= corpus_pipeline.MIN_LANGUAGE_SCORE]
     fp = {i: plain_fingerprint(t) for i, t, _ in docs}
     label = plain_components(set(fp.values()), 3)
@@ -81,7 +80,8 @@ def test_stages_bear_odd_rows(spark):
     now = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, "")
-        assert now.columns == docs.columns
+        assert now.schema == docs.schema
+        assert {(r.size, r.fp, r.score) for r in now.collect()} == {(-1, "x", "y")}
         now = spark.createDataFrame(now.collect(), docs.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() > 0
 
