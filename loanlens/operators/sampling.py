@@ -93,7 +93,7 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
     kind = df.schema[label].dataType.simpleString()
     rows = [(value, n / (len(sizes) * size)) for value, size in sizes.items()]
     weights = df.sparkSession.createDataFrame(rows, f"__label {kind}, `{name}` double")
-    return df.join(weights, F.col(label) == F.col("__label"), "left").drop("__label")
+    return df.join(F.broadcast(weights), F.col(label) == F.col("__label"), "left").drop("__label")  # one row per class
 
 
 def positive_weight(df: DataFrame, label: str) -> float:
