@@ -89,11 +89,10 @@ def fit(labelled: DataFrame, sample: int = 6000, landmarks: int = 160, ridge: fl
     if not langs:
         return Model([], np.zeros(0, int), np.zeros((0, 0), np.float32), np.zeros(0))
     each, marks = max(50, sample // len(langs)), max(2, landmarks // len(langs))
-    spark = labelled.sparkSession
-    share = [(lang, min(1.0, each / counts[lang])) for lang in langs]
-    shares = spark.createDataFrame(share, "lang string, share double")
-    unit = (F.shiftrightunsigned("order", 11) / float(1 << 53)).alias("unit")
-    chosen = labelled.where("text is not null").join(shares, "lang").select("text", "lang", "share", "order", unit).where("unit < share")
+    # one literal per language: a join would shuffle the texts
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, each / counts[lang]))])
+    unit = F.shiftrightunsigned("order", 11) / float(1 << 53)
+    chosen = labelled.where("lang is not null and text is not null").where(unit < F.element_at(share, F.col("lang")))
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
