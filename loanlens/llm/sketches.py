@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,110 +21,135 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import partitions
+from loanlens.llm.common import partitions, with_id
 
 CELLS = 24  # of the fingerprint; comparisons that need more make larger tables
-GROWTH = 4
+ROOM = 2  # cells per hash of both texts in the first larger table, and how much it grows from there
 LONG = 240  # characters from which a piece is cut at words
-MASK = (1 << 64) - 1
 
 # A piece ends where a line or a clause does, so edits change the pieces they touch and no others.
 PIECE = re.compile(r"[^\n]*?(?:[.!?,;:|]\s|\n|\Z)")
 WORDS = re.compile(r".*?(?:[aenst]\s+|\Z)", re.DOTALL)
 
 
-def digests(text: str) -> np.ndarray:
+class Pieces:
     """The hashes of a text's pieces; the n-th copy of a piece has a hash of its own."""
-    pieces = []
-    for p in PIECE.findall(text):
-        if len(p) > LONG:
-            pieces += WORDS.findall(p)
-        else:
-            pieces.append(p)
-    seen = Counter(s for p in pieces if (s := p.strip()))
+
+    def __init__(self, plain: np.ndarray, ends: np.ndarray):
+        self.plain, self.ends = plain, ends  # hashes in text order, and where the pieces end
+        order = np.argsort(plain, kind="stable")
+        ordered = plain[order]
+        first = np.ones(len(ordered), bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        at = np.arange(len(ordered))
+        copy = np.zeros(len(ordered), np.uint64)
+        copy[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+        self.hashes = _mix(plain + copy * np.uint64(0xA0761D6478BD642F))
+        self.places, self.check = _places(self.hashes), _check(self.hashes)
+
+    def __len__(self) -> int:
+        return len(self.plain)
+
+
+def read(text: str, start: int = 0) -> tuple[list[int], list[int]]:
+    """Hashes and ends of the pieces from `start`, where a piece begins."""
+    plain, ends, end = [], [], start
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(b, k) for s, n in seen.items() for b in (s.encode("utf-8", "surrogatepass"),) for k in range(n)], np.uint64)
+    for p in PIECE.findall(text, start):
+        end += len(p)
+        for part in WORDS.findall(p) if len(p) > LONG else (p,):
+            part = part.strip()
+            if part:
+                plain.append(digest(part.encode("utf-8", "surrogatepass")))
+                ends.append(end)  # parts of a long piece stand or fall together
+    return plain, ends
+
+
+def digests(text: str) -> Pieces:
+    plain, ends = read(text)
+    return Pieces(np.array(plain, np.uint64), np.array(ends, np.int64))
+
+
+def digests_of_edit(own: Pieces, text: str, same: int) -> Pieces:
+    """The pieces of a text whose first `same` characters are those of `own`: only the others are read anew."""
+    kept = int(np.searchsorted(own.ends, same, side="right"))
+    start = int(own.ends[kept - 1]) if kept else 0
+    plain, ends = read(text, start)
+    return Pieces(np.concatenate([own.plain[:kept], np.array(plain, np.uint64)]), np.concatenate([own.ends[:kept], np.array(ends, np.int64)]))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def _check(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-    return (h ^ (h >> np.uint64(29))) & np.uint64(0xFFFFFFFF)
+    return _mix(h + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)
 
 
-def _check_one(h: int) -> int:
-    h = ((h ^ (h >> 31)) * 0x9FB21C651E98DF25) & MASK
-    return (h ^ (h >> 29)) & 0xFFFFFFFF
+def _places(h: np.ndarray) -> np.ndarray:
+    """Where each hash goes in each third of a table, as a share of 2^20."""
+    return ((h[None, :] >> np.array([[0], [20], [40]], np.uint64)) & np.uint64(0xFFFFF)).astype(np.int64)
 
 
-def cells_of(h: np.ndarray, size: int) -> list[np.ndarray]:
-    """One cell in each third of the table."""
+def _cells(places: np.ndarray, size: int) -> np.ndarray:
     third = size // 3
-    return [((h >> np.uint64(20 * j)) & np.uint64(0xFFFFF)).astype(np.int64) * third // 0x100000 + j * third for j in range(3)]
+    return (places * third >> 20) + np.array([[0], [third], [2 * third]])
 
 
 class Table:
-    def __init__(self, hashes: np.ndarray, size: int = CELLS):
-        # the cells must not depend on the bits of the hash alone that a wide table would use up
-        self.size, at = size, np.concatenate(cells_of(_spread(hashes), size))
-        self.count = np.bincount(at, minlength=size).astype(np.int64)
+    def __init__(self, pieces: Pieces, size: int = CELLS):
+        at = _cells(pieces.places, size)
+        self.size, self.count = size, np.bincount(at.ravel(), minlength=size)
         self.sum, self.check = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        np.add.at(self.sum, at, np.tile(hashes, 3))
-        np.add.at(self.check, at, np.tile(_check(hashes), 3))
+        np.add.at(self.sum, at, pieces.hashes[None, :])
+        np.add.at(self.check, at, pieces.check[None, :])
 
     def text(self) -> str:
         parts = (self.count.astype("<u2"), self.sum.astype("<u8"), self.check.astype("<u4"))
         return base64.b64encode(b"".join(p.tobytes() for p in parts)).decode()
 
 
-def _spread(h: np.ndarray) -> np.ndarray:
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-def _spread_one(h: int) -> int:
-    h = (h * 0xD6E8FEB86659FD93) & MASK
-    return h ^ (h >> 32)
-
-
-def peel(a: Table, b: Table) -> tuple[list[int], list[int]] | None:
+def peel(a: Table, b: Table) -> tuple[np.ndarray, np.ndarray] | None:
     """The hashes that only `a` and only `b` hold; None if peeling gets stuck."""
-    count = (a.count - b.count).tolist()
-    total, check = (a.sum - b.sum).tolist(), (a.check - b.check).tolist()
-    third, only = a.size // 3, ([], [])
-    todo = [i for i, c in enumerate(count) if c in (1, -1)]
-    while todo:
-        i = todo.pop()
-        sign = count[i]
-        if sign not in (1, -1):
-            continue
-        h = total[i] if sign == 1 else -total[i] & MASK
-        g = _check_one(h)
-        if check[i] != (g if sign == 1 else -g & MASK):
-            continue
-        only[sign < 0].append(h)
-        s = _spread_one(h)
-        for j in range(3):
-            c = ((s >> 20 * j) & 0xFFFFF) * third // 0x100000 + j * third
-            count[c] -= sign
-            total[c] = (total[c] - sign * h) & MASK
-            check[c] = (check[c] - sign * g) & MASK
-            if count[c] in (1, -1):
-                todo.append(c)
-    return None if any(count) or any(total) or any(check) else only
-
-
-def difference(a: np.ndarray, b: np.ndarray, size: int = CELLS) -> tuple[list[int], list[int]]:
-    """The hashes that only `a` and only `b` hold, by ever larger tables; none holds a hash twice."""
-    while (found := peel(Table(a, size), Table(b, size))) is None:
-        size *= GROWTH
+    count, total, check = a.count - b.count, a.sum - b.sum, a.check - b.check
+    found = []
+    while True:
+        one = np.flatnonzero((count == 1) | (count == -1))
+        sign = count[one]
+        h = np.where(sign == 1, total[one], np.uint64(0) - total[one])
+        g = _check(h)
+        pure = check[one] == np.where(sign == 1, g, np.uint64(0) - g)
+        h, first = np.unique(h[pure], return_index=True)
+        if not len(h):
+            break
+        sign, g = sign[pure][first], g[pure][first]
+        found.append((h, sign))
+        at, unsigned = _cells(_places(h), a.size), sign.astype(np.uint64)  # -1 is 2^64 - 1, which subtracts
+        np.subtract.at(count, at, sign[None, :])
+        np.subtract.at(total, at, (h * unsigned)[None, :])
+        np.subtract.at(check, at, (g * unsigned)[None, :])
+    if count.any() or total.any() or check.any():
+        return None
+    h, sign = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0))
+    return h[sign == 1], h[sign == -1]
+
+
+def difference(a: Pieces, b: Pieces, tables: tuple[Table, Table] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that only `a` and only `b` hold, by larger tables where the small ones don't suffice."""
+    tables, size = tables or (Table(a), Table(b)), CELLS
+    while (found := peel(*tables)) is None:
+        size = max(ROOM * size, 3 * math.ceil(ROOM * (len(a) + len(b)) / 3))
+        tables = (Table(a, size), Table(b, size))
     return found
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: Pieces, b: Pieces, tables: tuple[Table, Table] | None = None) -> float:
     """Twice the pieces in common over the pieces of both; 1 for two texts without any."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    only_a, only_b = difference(a, b)
+    only_a, only_b = difference(a, b, tables)
     return 1 - (len(only_a) + len(only_b)) / (len(a) + len(b))
 
 
@@ -146,9 +171,9 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     of each range's first document goes to the range before.
     """
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    borders = [int(x) for x in rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)] if n > 1 else []
+    rows = with_id(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    borders = [int(x) for x in rows.where("doc_id is not null").approxQuantile("ord", [k / n for k in range(1, n)], 0.1 / n)] if n > 1 else []
     borders = sorted(set(borders))
     array = F.array(*[F.lit(x).cast("long") for x in borders])
     part = F.size(F.filter(array, lambda x: x <= F.col("ord"))) if borders else F.lit(0)
@@ -166,8 +191,9 @@ def compare_versions(docs: DataFrame) -> DataFrame:
         .select("p.to", "p.ahead", "ord", "doc_id", "text")
         .repartitionById(n, F.col("to")).sortWithinPartitions("to", "ahead", "ord", "text")
     )
-    return dealt.mapInPandas(_follow, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    done = dealt.mapInPandas(_follow, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
                                       "near_edited double, near_next double, pieces long")
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,20 +201,21 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last, done = None, False
     for b in batches:
         out = []
-        for ahead, doc, text in zip(b["ahead"], b["doc_id"].astype("Int64"), b["text"], strict=True):
+        for ahead, doc, text in zip(b["ahead"], b["doc_id"], b["text"], strict=True):
             if done:
                 break
-            now = (doc, text, digests(text))
+            own = digests(text)
+            now = (doc, text, own, Table(own))
             if last is not None:
-                out.append(_row(*last, text, now[2]))
+                out.append(_row(*last, *now[1:]))
             last, done = now, bool(ahead)
         if out:
-            out = pd.DataFrame(out, columns=names)
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield pd.DataFrame(out, columns=names)
 
 
-def _row(doc, text: str, own: np.ndarray, after: str, after_own: np.ndarray) -> tuple:
+def _row(doc, text: str, own: Pieces, table: Table, after: str, after_own: Pieces, after_table: Table) -> tuple:
     other = edited(text, after)
-    new = digests(other)
-    return (doc, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), Table(own).text(), Table(new).text(),
-            likeness(own, new), likeness(own, after_own), len(own))
+    new = digests_of_edit(own, other, len(text) - len(text) // 4)
+    changed = Table(new)
+    return (doc, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), table.text(), changed.text(),
+            likeness(own, new, (table, changed)), likeness(own, after_own, (table, after_table)), len(own))
