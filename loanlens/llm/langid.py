@@ -151,7 +151,11 @@ def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = model.predict(b.column("text").to_pylist())
+            langs, scores = [], []
+            for k in range(0, b.num_rows, BATCH):
+                some = model.predict(b.column("text").slice(k, BATCH).to_pylist())
+                langs += some[0]
+                scores += some[1]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*b.schema.names, lang, score])
 

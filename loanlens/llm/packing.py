@@ -16,16 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import stage, with_id
+from loanlens.llm.common import slices, stage
 
 GROUP_ROWS = 20_000  # pieces that are packed together
 CACHED = 200_000  # parts of words whose tokens a worker keeps
 MARKS = 1 << 22
 BATCH_CHARS = 4 << 20
-TOKENS = "doc_id string, piece int, start long, length long, ids_crc32 long"
+TOKENS = "doc_id long, piece int, start long, length long, ids_crc32 long"
+TOKEN_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 class Kept:
@@ -119,24 +121,24 @@ WORD = re.compile(r"[^\x20\x09-\x0d]+")
 def cut_pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document; null texts are empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows, texts, held = [], [], 0
-            pairs = list(zip(b["doc_id"], b["text"], strict=True))
-            for k, (_, text) in enumerate(pairs):
-                texts.append(text or "")
-                held += len(texts[-1])
-                if held < BATCH_CHARS and k + 1 < len(pairs):
-                    continue
-                for (doc, _), ids in zip(pairs[k + 1 - len(texts) : k + 1], token_bytes(texts, tokenizer), strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows, start = [], 0
+            texts = [t or "" for t in b["text"]]
+            while start < len(texts):
+                stop, held = start, 0
+                while stop < len(texts) and (stop == start or held + len(texts[stop]) <= BATCH_CHARS):
+                    held += len(texts[stop])
+                    stop += 1
+                for doc, ids in zip(b["doc_id"][start:stop], token_bytes(texts[start:stop], tokenizer), strict=True):
                     for piece, at in enumerate(range(0, len(ids), 4 * size)):
                         cut = ids[at : at + 4 * size]
                         rows.append((doc, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
-                texts, held = [], 0
-            names = [f.split()[0] for f in TOKENS.split(", ")]
-            yield pd.DataFrame(rows, columns=names)
+                start = stop
+            columns = [pa.array(c, pa.int32() if name == "piece" else pa.int64()) for name, c in zip(TOKEN_NAMES, zip(*rows, strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=TOKEN_NAMES)
 
-    return with_id(docs, "doc_id", "text").mapInPandas(run, TOKENS).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TOKENS)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

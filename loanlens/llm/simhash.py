@@ -14,11 +14,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import components, stage, with_id
+from loanlens.llm.common import components, slices, stage
 
 BLOCK = 8192  # fingerprints of one bucket that meet in a task; larger buckets are cut into blocks
 CHUNK = 65_536  # shingle hashes whose bits are counted at once
@@ -53,12 +54,12 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
             fp = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            yield pa.RecordBatch.from_arrays([pa.array(b["doc_id"], pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
 
-    return with_id(docs, "doc_id", "text").mapInPandas(run, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def bit_groups(like: np.ndarray, m: int) -> list[list[int]]:
