@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[dict[str, list]]:
-    """Arrow batches as columns of Python values, a few rows at a time: only their texts are held twice."""
-    for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows).to_pydict()
-
-
 def with_id(df: DataFrame, name: str, *others: str) -> DataFrame:
     """The id column as text, for pandas, which makes floats of longs that stand among nulls; and others."""
     return df.select(F.col(name).cast("long").cast("string").alias(name), *others)
