@@ -23,6 +23,8 @@ from loanlens.llm.common import stage
 GRAM_BITS = 16  # n-grams are hashed into this many bits
 PIECE = 1 << 20  # characters looked at at once; pieces overlap, so no n-gram is missed
 BATCH = 256
+STRANGE = 0.15  # share of unknown trigrams that a text of a learnt language may always have
+SLACK = 8  # and so many besides: a short text with an odd word
 UNKNOWN = "und"
 
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
@@ -55,11 +57,27 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def strangers(text: str, known: np.ndarray) -> tuple[int, int]:
+    """How many trigrams with a letter of the whole text are not known, and how many there are."""
+    unknown = total = 0
+    text = text.lower()
+    for start in range(0, max(len(text) - 2, 0), PIECE):
+        code = np.frombuffer(text[start : start + PIECE + 2].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _LETTER[np.minimum(code, 0xFFFF)] | (code > 0xFFFF)
+        code = np.where(letter, code, np.uint32(32))
+        gram = (code[:-2] * np.uint32(0x01000193) + code[1:-1]) * np.uint32(0x01000193) + code[2:]
+        gram = gram[letter[:-2] | letter[1:-1] | letter[2:]]
+        unknown += int((~known[(gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - GRAM_BITS)]).sum())
+        total += len(gram)
+    return unknown, total
+
+
 class Model:
     """Languages, the n-grams that landmarks hold, and one column of weights per language."""
 
-    def __init__(self, langs: list[str], active: np.ndarray, weights: np.ndarray, base: np.ndarray):
+    def __init__(self, langs: list[str], active: np.ndarray, weights: np.ndarray, base: np.ndarray, strange: np.ndarray | None = None):
         self.langs, self.active, self.weights, self.base = langs, active, weights, base
+        self.strange = np.ones(len(langs)) if strange is None else strange  # share of unknown trigrams allowed, by language
 
     def scores(self, seen: np.ndarray) -> np.ndarray:
         """One row per text, one column per language; about 1 for its own language and -1 for others."""
@@ -77,6 +95,13 @@ class Model:
                 langs[i], scores[i] = self.langs[j], float(np.clip((v + 1) / 2, 0, 1))
         return langs, scores
 
+    def familiar(self, text: str, lang: str) -> bool:
+        """Whether the text's trigrams, counted as often as they occur, are those of learnt texts."""
+        known = np.zeros(1 << GRAM_BITS, dtype=bool)
+        known[self.active] = True
+        unknown, total = strangers(text, known)
+        return unknown <= self.strange[self.langs.index(lang)] * total + SLACK
+
 
 def fit(labelled: DataFrame, sample: int = 6000, landmarks: int = 160, ridge: float = 1e-2) -> Model:
     """Learn from `labelled` (text, lang, order: a random long).
@@ -101,8 +126,9 @@ def fit(labelled: DataFrame, sample: int = 6000, landmarks: int = 160, ridge: fl
 
     sampled = stage(chosen.select("text", "lang", "order").mapInPandas(featurise, "lang string, order long, bits binary"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "bits"))
-    rows = sampled.withColumn("nth", nth).where(F.col("nth") <= marks).select("bits").collect()
+    rows = sampled.withColumn("nth", nth).where(F.col("nth") <= marks).select("lang", "bits").collect()
     mark = np.stack([_unpack(r.bits) for r in rows]).astype(np.float32)
+    strange = allowed_strange(mark, np.array([r.lang for r in rows]), langs)
     active = np.flatnonzero(mark.any(axis=0))
     mark = mark / np.sqrt(np.maximum(mark.sum(axis=1), 1))[:, None]
     mark = np.ascontiguousarray(mark[:, active])
@@ -127,7 +153,14 @@ def fit(labelled: DataFrame, sample: int = 6000, landmarks: int = 160, ridge: fl
     penalty = ridge * np.eye(phi.shape[1])
     penalty[-1, -1] = 0
     beta = np.linalg.solve(phi.T @ (phi * weight) / len(phi) + penalty / len(phi), phi.T @ (want * weight) / len(phi))
-    return Model(langs, active, (mark.T.astype(float) @ (white @ beta[:-1])).astype(np.float32), beta[-1])
+    return Model(langs, active, (mark.T.astype(float) @ (white @ beta[:-1])).astype(np.float32), beta[-1], strange)
+
+
+def allowed_strange(mark: np.ndarray, lang: np.ndarray, langs: list[str]) -> np.ndarray:
+    """The share of unknown trigrams that texts of each language may have: twice the share of n-grams
+    that no other landmark holds, as nine in ten of its landmarks have it at most; STRANGE at least."""
+    alone = (mark * (mark.sum(axis=0) == 1)).sum(axis=1) / np.maximum(mark.sum(axis=1), 1)
+    return np.array([max(STRANGE, 2 * np.quantile(alone[lang == x], 0.9)) if (lang == x).any() else 1.0 for x in langs])
 
 
 def _unpack(bits: bytes) -> np.ndarray:
@@ -140,6 +173,23 @@ def learn(docs: DataFrame, **options) -> Model:
     return fit(chosen.select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")).alias("order")), **options)
 
 
+def recognised(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
+    """The documents, unchanged, that are made of the trigrams of the language they score best for, with
+    `least` or more; null texts and texts without a letter are not among them.
+
+    Scores alone tell no stranger: the votes of K languages sum to 2 - K for any text, so the best
+    score is 1/K at least, and texts in an unlearned script score as high as clean ones.
+    """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            rows = zip(texts, *model.predict(texts), strict=True)
+            yield b.filter(pa.array([x != UNKNOWN and s >= least and model.familiar(t, x) for t, x, s in rows], pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of `docs` and the language and its score, under the given names; a column of theirs
     with such a name is replaced.
