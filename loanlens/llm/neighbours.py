@@ -73,12 +73,18 @@ def box_gap(low: np.ndarray, high: np.ndarray, point: np.ndarray) -> np.ndarray:
     return ((np.maximum(low - point, 0) + np.maximum(point - high, 0)) ** 2).sum(axis=-1)
 
 
+def noise(vector: np.ndarray, directions: np.ndarray) -> float:
+    """The square of a distance within which projections of equal vectors lie: sums differ in their
+    last digits with the routine that makes them, which depends on how many vectors meet."""
+    return float((len(vector) * 2.0**-49 * np.linalg.norm(vector) * np.linalg.norm(directions, axis=0).max()) ** 2)
+
+
 class Index:
     """One block: its vectors, their projections, and the kd-tree."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.points = vectors @ directions
+        self.points, self.directions = vectors @ directions, directions
         self.tree = Tree(self.points, LEAF)
 
     def search(self, own: int, vector: np.ndarray, point: np.ndarray, k: int, factor: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
@@ -86,18 +92,18 @@ class Index:
 
         `bound` is a squared distance within which k candidates are known to be.
         """
-        lead = box_gap(self.tree.low, self.tree.high, point)
+        lead, near = box_gap(self.tree.low, self.tree.high, point), noise(vector, self.directions)
         order = np.argsort(lead, kind="stable")
         ids, best, worst = np.zeros(0, np.int64), np.zeros(0), bound
         pool_row, pool = np.zeros(0, np.int64), np.zeros(0)
         for n, leaf in enumerate(order):
-            if lead[leaf] > factor * worst:
+            if lead[leaf] > factor * worst + near:
                 break
             rows = self.tree.rows[leaf]
             pool_row = np.concatenate([pool_row, rows])
             pool = np.concatenate([pool, ((self.points[rows] - point) ** 2).sum(axis=1)])
             horizon = lead[order[n + 1]] if n + 1 < len(order) else np.inf
-            out = pool <= min(horizon, factor * worst)  # no unopened leaf holds a nearer one
+            out = pool <= min(horizon, factor * worst + near)  # no unopened leaf holds a nearer one
             rows, pool_row, pool = pool_row[out], pool_row[~out], pool[~out]
             rows = rows[self.ids[rows] != own]
             if len(rows):
@@ -191,7 +197,7 @@ def _of_length(rows: DataFrame, length: int, n: int, k: int, m: int, chance: flo
             for own, v in zip(b["vec_id"], b["v"], strict=True):
                 near = np.sort(((some - v) ** 2).sum(axis=1)[some_ids != own])
                 bound = near[k - 1] if len(near) >= k else np.inf
-                open_ = np.flatnonzero(box_gap(low, high, v @ directions) <= factor * bound)
+                open_ = np.flatnonzero(box_gap(low, high, v @ directions) <= factor * bound + noise(v, directions))
                 blocks = [first[leaves[x]] + c for x in open_ for c in range(cuts[x])]
                 yield pd.DataFrame({"block": blocks, "asks": 1, "vec_id": own, "v": [v] * len(blocks), "bound": bound})
 

@@ -56,3 +56,23 @@ def test_few_and_none(spark):
 @pytest.mark.parametrize("m, p, want", [(2, 0.95, 5.991), (8, 0.98, 18.168), (10, 0.5, 9.342)])
 def test_chi_square(m, p, want):
     assert abs(neighbours.chi_square_quantile(m, p) - want) < 0.002
+
+
+@pytest.mark.parametrize("block", [8192, 60])
+def test_a_third_of_equal_vectors(spark, block):
+    rng = np.random.default_rng(4)
+    same = rng.standard_normal(64).astype(np.float32).tolist()
+    rows = [(i, same if i % 3 == 0 else rng.standard_normal(64).astype(np.float32).tolist()) for i in range(6000)]
+    got = run(spark, rows, (F.col("vec_id") % 3 == 0) & (F.col("vec_id") % 50 == 0), block=block)
+    least = [3 * n for n in range(11)]
+    assert got == [(q, n, i, 0.0) for q in range(0, 6000, 150) for n, i in enumerate([i for i in least if i != q][:10], 1)]
+
+
+def test_equal_vectors_inside_a_block():
+    rng = np.random.default_rng(4)
+    vectors = np.where(np.arange(3000)[:, None] % 3 == 0, rng.standard_normal(64), rng.standard_normal((3000, 64)))
+    directions = np.random.default_rng(5).standard_normal((64, 8))
+    index = neighbours.Index(np.arange(3000), vectors, directions)
+    for own in range(0, 300, 3):
+        ids, best = index.search(own, vectors[own], vectors[own] @ directions, 10, 18.2, 0.0)
+        assert len(ids) == 10 and not best.any()
