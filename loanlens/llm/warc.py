@@ -16,6 +16,7 @@ from loanlens.llm.common import partitions, stage
 
 # Headers that a 304 answer updates in the stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age", "warning")
+BASE = ("warc_date", "record_id", "etag", "modified")  # what tells full responses of one address apart, in their order
 TRACKING = r"^(utm_[^=]*|gclid|fbclid|ref|sessionid|sid)(=.*)?$"
 
 
@@ -50,7 +51,7 @@ def opaque(tag: Column) -> Column:
 def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED) -> DataFrame:
     """Every record with what it resolves to: record_id, canonical, verdict, refers_to, headers, payload.
 
-    `records` has record_id (unique), url, warc_date (any type that orders), warc_type, status,
+    `records` has record_id, url, warc_date (any type that orders), warc_type, status,
     headers (map of texts) and payload.  Full responses are those of type `response` with status 200
     and a payload; revisits have type `revisit`.  The verdict is
 
@@ -63,30 +64,34 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED)
     A resolved revisit gets the response's payload, and the response's headers updated by its own
     permitted ones; other records keep their own.  refers_to is the response's record_id, also for
     `changed`.  Null addresses and null dates resolve nothing (`missing`) and are resolved to by
-    nothing; null headers count as none; repeated record_ids are not allowed among full responses.
-    Other columns are not looked at.
+    nothing; null headers count as none.  Other columns are not looked at.
+
+    Every row is returned once, also where rows or record_ids repeat: each revisit is judged by its
+    own address, date and validators.  Of full responses with one address, date and record_id the one
+    with the greatest entity tag, then date of last modification, counts, and of those that have
+    these in common too the least payload, then the least headers.
     """
     n = partitions(records.sparkSession)
     heads = lower_names(F.col("headers"))
     rows = records.select("record_id", canonical(F.col("url")).alias("canonical"), "warc_date", "warc_type", "status",
                           heads.alias("headers"), "payload")
+    rows = rows.withColumn("etag", opaque(F.element_at("headers", "etag"))).withColumn("modified", F.element_at("headers", "last-modified"))
     full = F.coalesce((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("payload").isNotNull(), F.lit(False))
     revisit = F.coalesce(F.col("warc_type") == "revisit", F.lit(False))
     dated = F.col("canonical").isNotNull() & F.col("warc_date").isNotNull()
-    narrow = rows.where(dated & (full | revisit)).select(
-        "canonical", "warc_date", "record_id", full.alias("is_full"),
-        opaque(F.element_at("headers", "etag")).alias("etag"), F.element_at("headers", "last-modified").alias("modified"),
-    )
-    order = ("warc_date", "is_full", "record_id")  # at one date revisits come before responses
+    key = ("canonical", "warc_date", "record_id", "etag", "modified")  # all that a verdict depends on
+    narrow = rows.where(dated & (full | revisit)).select(*key, full.alias("is_full")).distinct()
+    # at one date revisits come before responses
+    order = ("warc_date", "is_full", "record_id", "etag", "modified")
     ranged = narrow.repartitionByRange(n, "canonical", *order).withColumn("range", F.spark_partition_id())
     ranged = stage(ranged)
-    value = F.when(F.col("is_full"), F.struct("record_id", "etag", "modified"))
+    value = F.when(F.col("is_full"), F.struct(*BASE))
     ends = stage(ranged.groupBy("range").agg(
         F.min("canonical").alias("first"), F.max("canonical").alias("last"),
-        F.max(F.when(F.col("is_full"), F.struct("canonical", *order[::2], "etag", "modified"))).alias("top"),
+        F.max(F.when(F.col("is_full"), F.struct("canonical", *BASE))).alias("top"),
     ))
     # the response that a range's last address ends with, if it has one there
-    of_last = F.when(F.col("top.canonical") == F.col("last"), F.struct("top.record_id", "top.etag", "top.modified"))
+    of_last = F.when(F.col("top.canonical") == F.col("last"), F.struct(*[f"top.{c}" for c in BASE]))
     marks = ends.select(F.col("first").alias("at"), "range", F.lit(0).alias("closes"), F.lit(None).cast(_type(ranged)).alias("value")).union(
         ends.select(F.col("last").alias("at"), "range", F.lit(1).alias("closes"), of_last.cast(_type(ranged))))
     carried = marks.withColumn("carry", F.last("value", ignorenulls=True).over(
@@ -101,23 +106,35 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED)
     tags, dates = F.col("etag") == F.col("base.etag"), F.col("modified") == F.col("base.modified")
     agree = F.coalesce(tags, dates, F.col("etag").isNull() & F.col("modified").isNull())
     verdict = F.when(F.col("base").isNull(), "missing").when(agree, "resolved").otherwise("changed")
-    found = found.select("record_id", verdict.alias("verdict"), F.col("base.record_id").alias("refers_to"))
-    asked = rows.where(revisit).join(found, "record_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("missing")))
-    sources = rows.where(full).select(F.col("record_id").alias("refers_to"), F.col("headers").alias("base_headers"),
-                                      F.col("payload").alias("base_payload"))
+    found = found.select(*[F.col(c).alias(f"own_{c}") for c in key], verdict.alias("verdict"), F.col("base").alias("base"))
+    asked = rows.where(revisit).join(found, _same(key, "own_"), "left").withColumn("verdict", F.coalesce("verdict", F.lit("missing")))
+    asked = asked.withColumn("refers_to", F.col("base.record_id"))
+    entries = F.array_sort(F.map_entries("headers"))
+    sources = rows.where(full & dated).groupBy(*[F.col(c).alias(f"base_{c}") for c in key]).agg(
+        F.min(F.struct("payload", entries.alias("entries"))).alias("source"))
+    sources = sources.withColumn("base_headers", F.map_from_entries("source.entries")).withColumn("base_payload", F.col("source.payload"))
     fresh = F.map_filter("headers", lambda k, v: k.isin(*permitted))
     kept = F.map_filter("base_headers", lambda k, v: ~F.map_contains_key(fresh, k))
     names = ("record_id", "canonical", "verdict", "refers_to", "headers", "payload")
-    resolved = asked.where("verdict = 'resolved'").drop("payload").join(sources, "refers_to").withColumn(
+    whole = _same(("canonical",), "base_") & _same(BASE, "base_", "base.")
+    resolved = asked.where("verdict = 'resolved'").drop("payload").join(sources, whole).withColumn(
         "headers", F.map_concat(kept, fresh)).withColumnRenamed("base_payload", "payload")
     unasked = rows.where(~revisit).withColumn("verdict", F.when(full, "full").otherwise("other")).withColumn(
         "refers_to", F.lit(None).cast(rows.schema["record_id"].dataType))
     return resolved.select(*names).union(asked.where("verdict != 'resolved'").select(*names)).union(unasked.select(*names))
 
 
+def _same(names: tuple[str, ...], prefix: str, of: str = "") -> Column:
+    """Equal in all of some columns, where nulls equal each other."""
+    same = F.lit(True)
+    for c in names:
+        same &= F.col(of + c).eqNullSafe(F.col(prefix + c))
+    return same
+
+
 def _type(ranged: DataFrame) -> str:
     of = {f.name: f.dataType.simpleString() for f in ranged.schema.fields}
-    return f"struct<record_id:{of['record_id']},etag:string,modified:string>"
+    return f"struct<{','.join(f'{c}:{of[c]}' for c in BASE)}>"
 
 
 def page_captures(pages: DataFrame) -> DataFrame:

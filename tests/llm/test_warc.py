@@ -88,3 +88,25 @@ def test_odd_records(spark):
 ])
 def test_canonical(spark, url, want):
     assert spark.range(1).select(warc.canonical(F.lit(url).cast("string")).alias("c")).first().c == want
+
+
+def test_repeated_rows(spark):
+    full = (1, "http://a.net/", 1, "response", 200, {"ETag": "1"}, "one")
+    revisit = (2, "http://a.net/", 2, "revisit", 304, {"ETag": "1"}, None)
+    other = (3, "http://a.net/", 3, "request", 200, None, "ask")
+    lost = (4, None, 3, "revisit", 304, None, None)
+    rows = [full] * 7 + [revisit] * 40 + [other] * 3 + [lost] * 5
+    got = sorted((r.record_id, r.verdict, r.refers_to, r.payload) for r in warc.resolve_revisits(frame(spark, rows)).collect())
+    assert got == [(1, "full", None, "one")] * 7 + [(2, "resolved", 1, "one")] * 40 + [(3, "other", None, "ask")] * 3 + [(4, "missing", None, None)] * 5
+
+
+def test_repeated_ids_of_different_rows(spark):
+    rows = [
+        (1, "http://a.net/", 1, "response", 200, {"ETag": "1"}, "two"), (1, "http://a.net/", 1, "response", 200, {"ETag": "1"}, "one"),
+        (1, "http://b.net/", 1, "response", 200, {"ETag": "5"}, "other site"),
+        (2, "http://a.net/", 2, "revisit", 304, {"ETag": "1"}, None), (2, "http://a.net/", 2, "revisit", 304, {"ETag": "9"}, None),
+        (2, "http://b.net/", 2, "revisit", 304, {"ETag": "5"}, None), (2, "http://c.net/", 2, "revisit", 304, None, None),
+    ]
+    got = [(r.canonical, r.verdict, r.refers_to, r.payload) for r in warc.resolve_revisits(frame(spark, rows)).collect() if r.record_id == 2]
+    assert sorted(got, key=str) == [
+        ("a.net/", "changed", 1, None), ("a.net/", "resolved", 1, "one"), ("b.net/", "resolved", 1, "other site"), ("c.net/", "missing", None, None)]
