@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import dialogue, langid, mixing, neighbours, packing, pii, simhash, sketches, url_filter, warc, wrappers
+from loanlens.llm import dialogue, langid, mixing, neighbours, packing, pii, simhash, sketches, spelling, url_filter, warc, wrappers
 from loanlens.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_forms(table(spark, sf_dir, "documents"))
+
+
 def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
     return dialogue.repair_report(dialogue.damaged(given), given)
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
     "op13_dialogue": op13_dialogue,
 }
 
