@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import dialogue, langid, mixing, neighbours, packing, pii, simhash, sketches, spelling, url_filter, warc, wrappers
+from loanlens.llm import dialogue, langid, mixing, neighbours, packing, pii, quality, simhash, sketches, spelling, url_filter, warc, wrappers
 from loanlens.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_forms(table(spark, sf_dir, "documents"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
     return dialogue.repair_report(dialogue.damaged(given), given)
@@ -83,6 +88,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_packing": op10_packing,
     "op11_spelling": op11_spelling,
+    "op12_quality": op12_quality,
     "op13_dialogue": op13_dialogue,
 }
 
