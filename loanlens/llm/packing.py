@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from loanlens.llm.common import stage, with_id
 
 GROUP_ROWS = 20_000  # pieces that are packed together
-CACHED = 200_000  # parts of words whose tokens a worker keeps
+CACHED = 300_000  # parts of words whose tokens a worker keeps
 MARKS = 1 << 22
 BATCH_CHARS = 4 << 20
 TOKENS = "doc_id string, piece int, start long, length long, ids_crc32 long"
@@ -35,16 +35,17 @@ class Kept:
         self.tokens: dict[str, bytes] = {}
         self.met = bytearray(MARKS)
 
-    def keep(self, new: dict[str, bytes]) -> None:
-        if len(self.tokens) > CACHED:
+    def drop(self, new: dict[str, bytes]) -> None:
+        """Forget those of the new parts that were not met before."""
+        if len(self.tokens) > CACHED + len(new):
             self.__init__()
+            return
         tokens, met = self.tokens, self.met
-        for part, ids in new.items():
+        for part in new:
             mark = hash(part) % MARKS
-            if met[mark]:
-                tokens[part] = ids
-            else:
+            if not met[mark]:
                 met[mark] = 1
+                del tokens[part]
 
 
 def _tokenizer(path: str):
@@ -70,11 +71,11 @@ def token_bytes(texts: list[str], path: str, end: int = 0) -> list[bytes]:
     tokenizer, kept = _tokenizer(path)
     last = int(end).to_bytes(4, "little")
     cut = [_parts(t) for t in texts]
-    found = [list(map(kept.tokens.get, ps)) for ps in cut]
-    new = _encode(tokenizer, {p for ps, vs in zip(cut, found, strict=True) if None in vs for p, v in zip(ps, vs, strict=True) if v is None})
-    out = [b"".join([*(vs if None not in vs else [new[p] if v is None else v for p, v in zip(ps, vs, strict=True)]), last])
-           for ps, vs in zip(cut, found, strict=True)]
-    kept.keep(new)
+    new = _encode(tokenizer, set().union(*cut).difference(kept.tokens))
+    kept.tokens.update(new)
+    look_up = kept.tokens.__getitem__
+    out = [b"".join(map(look_up, ps)) + last for ps in cut]
+    kept.drop(new)
     return out
 
 
