@@ -9,6 +9,7 @@ other such partitions, and best-fit decreasing runs again; a round counts only i
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -58,18 +59,24 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     held = tokenizers.__dict__.setdefault("_loanlens_held", {})
     if path not in held:
-        held[path] = (tokenizers.Tokenizer.from_file(path), Kept())
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        known = [rules[k] for k in ("normalizer", "pre_tokenizer")] == [NORMALIZER, CUTTER] and all(t["content"].startswith("<|") for t in rules["added_tokens"])
+        held[path] = (tokenizers.Tokenizer.from_file(path), Kept() if known else None)
     return held[path]
 
 
 def token_bytes(texts: list[str], path: str, end: int = 0) -> list[bytes]:
     """Each text's ids as little-endian 32-bit numbers, `end` last.
 
-    The tokenizer cuts a text into parts that it encodes one by one, so a text's ids are those of
-    its parts, one after the other, and parts met before are looked up.
+    A tokenizer with the rules NORMALIZER and CUTTER cuts a text into parts that it encodes one by
+    one, so a text's ids are those of its parts, one after the other, and parts met before are looked
+    up.  Any other tokenizer encodes whole texts.
     """
     tokenizer, kept = _tokenizer(path)
     last = int(end).to_bytes(4, "little")
+    if kept is None:
+        return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + last for t in texts]
     cut = [_parts(t) for t in texts]
     new = _encode(tokenizer, set().union(*cut).difference(kept.tokens))
     kept.tokens.update(new)
@@ -110,6 +117,11 @@ def _encode(tokenizer, parts: set[str]) -> dict[str, bytes]:
     return out
 
 
+# The rules of a tokenizer file by which its words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 # Characters that nothing but lower case changes before a text is cut into parts.
 PLAIN = re.compile("[\x20-\x7e\x09-\x0dÀ-ÖØ-öø-įı-ſ]*")
 # Fixed value: the parts of a plain text in lower case.

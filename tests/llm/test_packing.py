@@ -36,6 +36,18 @@ def check(rows, docs, size):
     return len(bins), sum(p[3] for p in pieces)
 
 
+def test_tokenizers_with_other_rules():
+    from tokenizers import Tokenizer
+
+    texts = ["Two Words,  don't\n12 ", "", "Größe <|endoftext|> x", "ab" * 40]
+    for name, looked_up in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = tokenizer_path(name)
+        own = Tokenizer.from_file(path)
+        want = [[*own.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert [np.frombuffer(b, "<u4").tolist() for b in packing.token_bytes(texts, path)] == want
+        assert (packing._tokenizer(path)[1] is not None) == looked_up
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = packing.pack_documents(docs, tokenizer_path()).collect()
