@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.llm import langid, mixing, packing, pii, similar
+from loanlens.llm import langid, mixing, packing, pii, simhash
 from loanlens.llm.queries import tokenizer_path
 from loanlens.sources.tables import shared_folder
 
@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that share 0.8 or more of their five-word shingles the document with the smallest id stays."""
-    return similar.keep_first(docs)
+    """Of documents whose 64-bit fingerprints link at three bits or fewer, the one with the smallest id stays."""
+    return simhash.keep_first(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
