@@ -181,13 +181,14 @@ def recognised(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
     score is 1/K at least, and texts in an unlearned script score as high as clean ones.
     """
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:  # only the texts are sent, and only the answers come back
+            texts = b.tolist()
             rows = zip(texts, *model.predict(texts), strict=True)
-            yield b.filter(pa.array([x != UNKNOWN and s >= least and model.familiar(t, x) for t, x, s in rows], pa.bool_()))
+            yield pd.Series([x != UNKNOWN and s >= least and model.familiar(t, x) for t, x, s in rows], dtype=bool)
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.where(known("text"))
 
 
 def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:

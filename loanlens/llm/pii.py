@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -284,8 +283,6 @@ def redact(docs: DataFrame) -> DataFrame:
     name of the first.
     """
     model = learn(stage(proposals(docs)))
-    counted = "n_chars" in docs.columns
-
     def clean(text: str) -> str:
         names = ("kind", "start", "end", "base", "votes", "shape")
         out, at = [], 0
@@ -295,16 +292,16 @@ def redact(docs: DataFrame) -> DataFrame:
             at = max(at, end)
         return "".join(out) + text[at:]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # the other columns pass through as they are
-            before = b.column("text").to_pylist()
-            after = [t if t is None else clean(t) for t in before]
-            new = {"text": after}
-            if counted:
-                new["n_chars"] = [len(y) if x != y else k for x, y, k in zip(before, after, b.column("n_chars").to_pylist(), strict=True)]
-            for name, values in new.items():
-                i = b.schema.get_field_index(name)
-                b = b.set_column(i, b.schema.field(i), pa.array(values, b.schema.field(i).type))
-            yield b
-
-    return docs.mapInArrow(run, docs.schema)
+    @F.pandas_udf("string")
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([t if t is None else clean(t) for t in b.tolist()], dtype=object)
+
+    new = "_clean"
+    while new in docs.columns:
+        new += "_"
+    out = docs.withColumn(new, cleaned("text"))
+    if "n_chars" in docs.columns:
+        changed = ~F.col(new).eqNullSafe(F.col("text"))
+        out = out.withColumn("n_chars", F.when(changed, F.length(new).cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(new)).select(*[F.col(f"`{c}`") for c in docs.columns])

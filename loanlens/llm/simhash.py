@@ -328,10 +328,21 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; documents without an id stay.
+    """One document of each component stays, unchanged.
 
-    Rows that repeat the smallest id are told apart by nothing and stay one by one.
+    The row with the smallest doc_id stays; rows without an id come last, and equal ids are told apart
+    by a hash of the text, then by their place in the staged table.  So repeated rows and copies
+    without an id count like any others.  Null texts link like empty ones; no rows give no rows.
     """
-    kept = near_duplicates(docs.where("doc_id is not null"), distance)
-    gone = stage(kept.where("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    whole = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(whole.select(F.col(row).alias("doc_id"), "text"), distance)
+    found = found.select(F.col("doc_id").alias(row), F.col("component_id").alias("group"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"), F.col(row).alias("row"))
+    ranked = stage(whole.select(row, order.alias("order")).join(found, row))
+    best = ranked.groupBy("group").agg(F.min("order").alias("order")).select(F.col("order.row").alias(row))
+    # the rows that go are fewer than those that stay, so they are what may be broadcast
+    gone = stage(ranked.select(row).join(best, row, "left_anti"))
+    return whole.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,8 @@ def mix_key(doc_id, text):
 
 def plain_run(docs, model, classifier_of):
     langs, scores = model.predict([t for _, t, _ in docs])
-    docs = [d for d, lang, s in zip(docs, langs, scores, strict=True) if lang != "und" and s >= corpus_pipeline.MIN_LANGUAGE_SCORE]
+    docs = [d for d, lang, s in zip(docs, langs, scores, strict=True)
+            if lang != "und" and s >= corpus_pipeline.MIN_LANGUAGE_SCORE and model.familiar(d[1], lang)]
     fp = {i: plain_fingerprint(t) for i, t, _ in docs}
     label = plain_components(set(fp.values()), 3)
     least = {}

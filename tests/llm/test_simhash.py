@@ -110,7 +110,13 @@ def test_one_of_each_group_stays(spark):
     docs = documents(spark, ODD)
     kept = simhash.keep_first(docs)
     assert kept.columns and set(kept.columns) == set(docs.columns)
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 4, 5, 6, 7, 8, 9, 10, 2**60 + 1]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 5, 6, 7, 8, 9, 10, 2**60 + 1]
+    assert [r.text for r in kept.collect() if r.doc_id is None] == ["no id here"]
+
+
+def test_copies_without_an_id_are_told_apart(spark):
+    docs = documents(spark, [(None, "same words as these"), (None, "same words as these"), (3, "other words than those"), (None, "other words than those")])
+    assert sorted((str(r.doc_id), r.text) for r in simhash.keep_first(docs).collect()) == [("3", "other words than those"), ("None", "same words as these")]
 
 
 def test_no_documents(spark):
