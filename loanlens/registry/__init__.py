@@ -10,6 +10,7 @@ from loanlens.registry import (
     bureau,
     clients,
     evaluation,
+    explaining,
     modelling,
     preparation,
     previous,
@@ -18,7 +19,7 @@ from loanlens.registry import (
     scoring,
 )
 
-MODULES = (previous, bureau, clients, profiling, preparation, evaluation, resampling, modelling, scoring)
+MODULES = (previous, bureau, clients, profiling, preparation, evaluation, resampling, modelling, explaining, scoring)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

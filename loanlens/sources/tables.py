@@ -88,6 +88,13 @@ def shared_folder(spark: SparkSession) -> str:
 _staged: list[tuple[SparkSession, str]] = []
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared folder; it is removed when the program ends, or by `release`."""
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
