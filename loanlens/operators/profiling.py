@@ -14,6 +14,7 @@ from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -250,6 +251,12 @@ def average_ranks(df: DataFrame, columns: list[str], ids: list[str], hot_share:
     ranks = value_ranks(df, columns, coded=True).select(
         "column", "value", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("rank"),
         (F.col("n") >= F.col("total_n") * hot_share).alias("hot"))
+    return _ranked_cells(df, columns, ids, ranks).groupBy(*ids).agg(
+        *[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)])
+
+
+def _ranked_cells(df: DataFrame, columns: list[str], ids: list[str], ranks: DataFrame) -> DataFrame:
+    """ids, column, rank of every cell that has a value; `ranks` has column, value, rank, hot."""
     ranks = stage(ranks)
     cells = [F.struct(F.lit(i).alias("column"), (F.col(c).cast("double") + 0.0).alias("value")) for i, c in enumerate(columns)]
     long = df.select(*ids, F.explode(F.array(*cells)).alias("cell")).select(*ids, "cell.*")
@@ -258,35 +265,62 @@ def average_ranks(df: DataFrame, columns: list[str], ids: list[str], hot_share:
     rest = ranks.filter(~F.col("hot")).select("column", "value", "rank")
     cold = long.join(hot, ["column", "value"], "left_anti").join(rest, ["column", "value"])
     names = [*ids, "column", "rank"]
-    known = long.join(hot, ["column", "value"]).select(*names)
-    ranked = known.unionByName(cold.select(*names)).groupBy(*ids).agg(
-        *[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)])
-    return ranked
+    return long.join(hot, ["column", "value"]).select(*names).unionByName(cold.select(*names))
 
 
-def spearman_pairs(df: DataFrame, columns: list[str], ids: list[str]) -> DataFrame:
-    """Rank correlation of every ordered pair over the rows where both are present.
+def spearman_pairs(df: DataFrame, columns: list[str], ids: list[str], hot_share: float = 0.001) -> DataFrame:
+    """Rank correlation of every ordered pair over the rows where both are present; null without spread.
 
-    Ranks are taken among those rows, so columns with missing cells are ranked anew with each
-    column or pair of columns whose gaps they meet; columns without any are ranked once.
+    Ranks are taken among those rows.  One plan serves all pairs: next to how many rows have a value,
+    it is counted in how many of them each column with gaps is present, and running sums over the
+    values give the value's rank among the rows of any other column.  So a cell has as many ranks as
+    there are columns with gaps, and one without.  `ids` identify a row.
     """
-    counts = df.agg(F.count(F.lit(1)), *[F.count(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))) for c in columns]).first()
-    gaps = [c for c, n in zip(columns, counts[1:]) if n < counts[0]]
-    whole = [c for c in columns if c not in gaps]
-    found = [_rank_pairs(df, whole, ids)] if whole else []
-    for i, c in enumerate(gaps):
-        there = df.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
-        own = _rank_pairs(there, [*whole, c], ids)
-        found.append(own.filter((F.col("left") == c) | (F.col("right") == c)))
-        for d in gaps[i + 1:]:
-            both = _rank_pairs(there.filter(F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double"))), [c, d], ids)
-            found.append(both.filter(F.col("left") != F.col("right")))
-    return reduce(DataFrame.unionByName, found)
-
-
-def _rank_pairs(df: DataFrame, columns: list[str], ids: list[str]) -> DataFrame:
-    """The ranks are stored, as the correlation reads them more than once."""
-    return pearson_pairs(stage(average_ranks(df, columns, ids)), columns)
+    there = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns]
+    counts = df.agg(F.count(F.lit(1)), *[F.count_if(t) for t in there]).first()
+    gaps = [i for i, n in enumerate(counts[1:]) if n < counts[0]]
+    ranked = value_ranks(df, columns, coded=True, sums={f"with_{i}": there[i].cast("long") for i in gaps})
+    # the mean rank is half of all rows and one: centred ranks sum to 0
+    centred = [F.col(f"before_{m}") + F.col(m) / 2.0 - F.col(f"total_{m}") / 2.0 for m in ["n", *[f"with_{i}" for i in gaps]]]
+    ranks = ranked.select("column", "value", F.array(*centred).alias("rank"), (F.col("n") >= F.col("total_n") * hot_share).alias("hot"))
+    rows = _ranked_cells(df, columns, ids, ranks).groupBy(*ids).agg(F.collect_list(F.struct("column", "rank")).alias("cells"))
+    among = np.zeros(len(columns), int)  # which of a cell's ranks counts the rows of a column
+    among[gaps] = np.arange(1, len(gaps) + 1)
+    sums = rows.select("cells").mapInArrow(_rank_sums(among), "a int, b int, n long, xx double, yy double, xy double")
+    total = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "xx", "yy", "xy")])
+    corr = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy"))))
+    names = F.array(*[F.lit(c) for c in columns])
+    return total.select(F.get(names, "a").alias("left"), F.get(names, "b").alias("right"),
+                        F.when(corr.isNotNull(), F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0))).alias("corr"))
+
+
+def _rank_sums(among: np.ndarray):
+    """Sums over the rows of each pair (a, b): of a's rank among b's rows, of b's among a's, squared and multiplied."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, width = len(among), int(among.max(initial=0)) + 1
+        total, count = np.zeros((3, p, p)), np.zeros((p, p), np.int64)
+        step = max(1, (1 << 21) // max(1, p * p))
+        for batch in batches:
+            for k in range(0, batch.num_rows, step):
+                cells = batch.column("cells").slice(k, step)
+                size = np.diff(cells.offsets.to_numpy())
+                flat = cells.flatten()
+                row, column = np.repeat(np.arange(len(size)), size), flat.field("column").to_numpy()
+                rank, there = np.zeros((len(size), p, width)), np.zeros((len(size), p))
+                rank[row, column] = flat.field("rank").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                there[row, column] = 1
+                x = rank[:, :, among] * there[:, None, :]
+                y = x.transpose(0, 2, 1)
+                total += np.stack([(x * x).sum(axis=0), (y * y).sum(axis=0), (x * y).sum(axis=0)])
+                count += np.rint(there.T @ there).astype(np.int64)
+        a, b = np.divmod(np.arange(p * p), p)
+        xx, yy, xy = total.reshape(3, -1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(count.ravel()), pa.array(xx), pa.array(yy), pa.array(xy)],
+            names=["a", "b", "n", "xx", "yy", "xy"])
+
+    return run
 
 
 def strong_pairs(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:

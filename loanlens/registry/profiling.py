@@ -90,6 +90,15 @@ def spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profiling.spearman_pairs(_filled(spark, sf_dir), RANKED, ["SK_ID_CURR"]))
 
 
+GAPPED = ["AMT_ANNUITY", "DAYS_EMPLOYED", "CNT_CHILDREN", "CNT_FAM_MEMBERS", "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3",
+          "AMT_REQ_CREDIT_BUREAU_WEEK", "OBS_30_CNT_SOCIAL_CIRCLE", "DEF_30_CNT_SOCIAL_CIRCLE", "AMT_CREDIT", "DAYS_BIRTH"]
+
+
+def spearman_gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlations of columns with gaps, each pair ranked among the clients who have both."""
+    return rounded(profiling.spearman_pairs(Lending(spark, sf_dir).clients, GAPPED, ["SK_ID_CURR"]))
+
+
 def strong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profiling.strong_pairs(profiling.spearman_pairs(_filled(spark, sf_dir), RANKED, ["SK_ID_CURR"]), 0.95))
 
@@ -97,7 +106,7 @@ def strong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     missing_share, missing_share_over, missing_by_row, missing_by_row_subset, missing_pattern, distinct_values,
     describe_numeric, category_counts, default_rate_by_category, histogram_auto, histogram_by_target, box_stats,
-    group_means, crosstab_share, pearson_pairs, spearman_pairs, strong_pairs)}
+    group_means, crosstab_share, pearson_pairs, spearman_pairs, spearman_gap_pairs, strong_pairs)}
 
 
 # ---- the same results in SQL ----
@@ -178,6 +187,12 @@ left join prev_apps p on p.NAME_YIELD_GROUP = y.NAME_YIELD_GROUP and p.NAME_CONT
 group by y.NAME_YIELD_GROUP, x.NAME_CONTRACT_STATUS, y.n""", "prev_apps"),
     "pearson_pairs": with_views(_corr_sql(["DAYS_CREDIT", "DAYS_CREDIT_ENDDATE", "DAYS_ENDDATE_FACT", "DAYS_CREDIT_UPDATE"], "bureau"), "bureau"),
     "spearman_pairs": with_views("with " + FILLED + "\n" + _corr_sql(RANKED, "ranks"), "clients"),
+    "spearman_gap_pairs": with_views("with " + ",\n".join(
+        f"""p_{i}_{j} as (select rank() over (order by {a}) + (count(*) over (partition by {a}) - 1) / 2e0 as x,
+ rank() over (order by {b}) + (count(*) over (partition by {b}) - 1) / 2e0 as y from clients where {a} is not null and {b} is not null)"""
+        for i, a in enumerate(GAPPED) for j, b in enumerate(GAPPED) if i <= j) + "\n" + "\nunion all ".join(
+        f"""select '{a}' as "left", '{b}' as "right", round(corr(x, y) + 1e-10, 6) + 0e0 as corr from p_{min(i, j)}_{max(i, j)}"""
+        for i, a in enumerate(GAPPED) for j, b in enumerate(GAPPED)), "clients"),
     "strong_pairs": with_views("with " + FILLED + ",\npairs as (" + _corr_sql(RANKED, "ranks")
                                + """)\nselect * from pairs where abs(corr) > 0.95 and "left" <> "right" """, "clients"),
 }

@@ -111,3 +111,36 @@ def test_wide_correlations_with_gaps(spark):
         for r in got.itertuples():
             expected = want.loc[r.left, r.right]
             assert np.isnan(r.corr) == np.isnan(expected) and (np.isnan(expected) or r.corr == pytest.approx(expected))
+
+
+def test_rank_correlations_of_many_columns_with_gaps_are_one_plan(spark):
+    """60 columns, each with gaps of its own, ties and infinite values: equal to ranking each pair's rows anew."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(150, 4))
+    columns = [f"c{k}" for k in range(60)]
+    pdf = pd.DataFrame({c: (base[:, k % 4] + rng.normal(size=150)).round(k % 3) for k, c in enumerate(columns)})
+    for k, c in enumerate(columns):
+        pdf.loc[rng.random(150) < 0.02 * (k % 7 + 1), c] = np.nan
+    pdf.loc[3, "c0"], pdf.loc[4, "c1"] = np.inf, -np.inf
+    df = spark.createDataFrame(pdf.assign(id=range(150)))
+    calls = []
+    original = profiling.value_ranks
+    profiling.value_ranks = lambda *a, **b: calls.append(1) or original(*a, **b)
+    try:
+        found = profiling.spearman_pairs(df, columns, ["id"])
+    finally:
+        profiling.value_ranks = original
+    assert len(calls) == 1
+    got = found.toPandas().pivot(index="left", columns="right", values="corr")
+    want = pdf.replace([np.inf, -np.inf], [1e9, -1e9]).corr(method="spearman")
+    assert np.allclose(got.loc[columns, columns].to_numpy(float), want.to_numpy(), atol=1e-9)
+
+
+def test_rank_correlations_of_odd_tables(spark):
+    schema = "id int, a double, b double, c double"
+    df = spark.createDataFrame([(1, 1.0, None, 7.0), (2, 2.0, None, 7.0), (3, None, 3.0, 7.0), (4, 4.0, 1.0, None)], schema)
+    got = {(r.left, r.right): r.corr for r in profiling.spearman_pairs(df, ["a", "b", "c"], ["id"]).collect()}
+    assert len(got) == 9 and got["a", "a"] == 1.0 and got["b", "b"] == 1.0
+    assert [got[k] for k in (("a", "b"), ("b", "a"), ("c", "c"), ("a", "c"))] == [None] * 4
+    empty = profiling.spearman_pairs(df.limit(0), ["a", "b"], ["id"]).collect()
+    assert all(r.corr is None for r in empty)
