@@ -18,11 +18,13 @@ from pyspark.sql import types as T
 
 from loanlens.functions.nulls import UNKNOWN, numeric_columns, string_columns
 from loanlens.functions.ordering import quantiles
+from loanlens.operators.dictionary import build_dictionary
 from loanlens.operators.profiling import unpivot
 
 # Categories with a natural order.
 WEEKDAYS = ["MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY"]
 EDUCATION = ["Lower secondary", "Secondary / secondary special", "Incomplete higher", "Higher education", "Academic degree"]
+LITERALS = 10_000  # categories that a fitted model carries as literals
 FIXED_ORDERS = {"WEEKDAY_APPR_PROCESS_START": WEEKDAYS, "NAME_EDUCATION_TYPE": EDUCATION}
 
 
@@ -97,15 +99,17 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
     return out
 
 
-def level_counts(df: DataFrame, columns: list[str]) -> dict[str, dict[str | None, int]]:
+def level_counts(df: DataFrame, columns: list[str], most: int = LITERALS) -> dict[str, dict[str | None, int]]:
     """Rows per category of each text column, in lexical order.
 
-    The categories become part of the fitted model, as an indexer's labels are: one row per category
-    reaches the driver.
+    The categories become part of the fitted model, as an indexer's labels are, so they must be `most`
+    or fewer in all; more are an error, and columns with more are numbered by `dictionary.encode`.
     """
     if not columns:
         return {}
-    found = unpivot(df, columns).groupBy("column", "value").count().collect()
+    found = unpivot(df, columns).groupBy("column", "value").count().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} categories in {columns}: number them with a dictionary table")
     out: dict[str, dict[str | None, int]] = {c: {} for c in columns}
     for column, value, n in sorted(found, key=lambda r: (r[0], r[1] is None, r[1] or "")):
         out[column][value] = n
@@ -127,14 +131,18 @@ def ordinal_sql(c: str, levels: list[str], missing: str) -> str:
     return f"case when `{c}` is null then {missing} when {place} = 0 then {unknown} else cast({place} - 1 as double) end"
 
 
-def fit_preprocessor(df: DataFrame, blocks: Blocks, keep_columns: bool = False) -> PipelineModel:
+def fit_preprocessor(df: DataFrame, blocks: Blocks, keep_columns: bool = False, dictionary: str | None = None) -> PipelineModel:
     """Learn all blocks from one frame and return the pipeline that applies them.
 
     The output has the input columns and `features`; `keep_columns` also keeps the treated columns,
-    which are named `<block>__<column>`.
+    which are named `<block>__<column>`.  With `dictionary`, a path, the categories of `ordinal` and
+    `ordinal_mean` are written there as a table that the pipeline joins, any number of them; without,
+    they are part of the pipeline, up to LITERALS.
     """
     stats = moments(df, [*blocks.std, *blocks.log_robust, *blocks.log, *blocks.mean])
-    levels = level_counts(df, [*blocks.one_hot, *blocks.ordinal, *blocks.ordinal_mean])
+    ordinals = [*blocks.ordinal, *blocks.ordinal_mean]
+    levels = level_counts(df, [*blocks.one_hot, *([] if dictionary else ordinals)])
+    listed = _write_dictionary(df, ordinals, dictionary) if dictionary and ordinals else {}
 
     def imputed(c: str) -> str:
         return mean_impute_sql(c, stats[c]["mean"])
@@ -152,15 +160,19 @@ def fit_preprocessor(df: DataFrame, blocks: Blocks, keep_columns: bool = False)
         "log": {c: logged[c] for c in blocks.log},
         "weekday_ord": {c: _fixed_order_sql(c, WEEKDAYS) for c in blocks.weekday_ord},
         "edu_ord": {c: _fixed_order_sql(c, EDUCATION) for c in blocks.edu_ord},
-        "ordinal": {c: ordinal_sql(c, _present(levels[c]), "cast(null as double)") for c in blocks.ordinal},
-        "ordinal_mean": {c: ordinal_sql(c, _present(levels[c]), _number(_mean_code(levels[c]))) for c in blocks.ordinal_mean},
+        "ordinal": {c: _joined_sql(c, "cast(null as double)") if listed else ordinal_sql(c, _present(levels[c]), "cast(null as double)")
+                    for c in blocks.ordinal},
+        "ordinal_mean": {c: _joined_sql(c, _number(listed[c])) if listed else ordinal_sql(c, _present(levels[c]), _number(_mean_code(levels[c])))
+                         for c in blocks.ordinal_mean},
         "mean": {c: imputed(c) for c in blocks.mean},
         "passthrough": {c: _double(c) for c in blocks.passthrough},
     }
     selected = [f"{e} as `{block}__{c}`" for block, columns in made.items() for c, e in columns.items()]
     selected += [f"coalesce(`{c}`, {_text(UNKNOWN)}) as `text__{c}`" for c in blocks.one_hot]
     stages: list[Transformer] = [SQLTransformer(statement=f"select *, {', '.join(selected)} from __THIS__")]
-    spare = [f"text__{c}" for c in blocks.one_hot] + [f"index__{c}" for c in blocks.one_hot]
+    if listed:
+        stages.insert(0, SQLTransformer(statement=_join_sql(ordinals, dictionary)))
+    spare = [f"text__{c}" for c in blocks.one_hot] + [f"index__{c}" for c in blocks.one_hot] + [f"code__{c}" for c in listed]
     if blocks.one_hot:
         indexers = [
             StringIndexerModel.from_labels(
@@ -183,6 +195,25 @@ def fit_preprocessor(df: DataFrame, blocks: Blocks, keep_columns: bool = False)
     return PipelineModel(stages)
 
 
+def _write_dictionary(df: DataFrame, columns: list[str], path: str) -> dict[str, float | None]:
+    """Write the columns' categories and codes; the mean code of each column's rows."""
+    build_dictionary(df, columns).select("column", "value", F.col("code").cast("double").alias("code"), "n").write.mode("overwrite").partitionBy("column").parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    means = {r["column"]: r["mean"] for r in stored.groupBy("column").agg((F.sum(F.col("code") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
+    return {c: means.get(c) for c in columns}
+
+
+def _join_sql(columns: list[str], path: str) -> str:
+    """Spark broadcasts a column's part of the dictionary where it is small, and splits frequent categories where not."""
+    joins = [f"left join (select value, code from parquet.`{path}` where column = {_text(c)}) d{i} on t.`{c}` = d{i}.value" for i, c in enumerate(columns)]
+    return f"select t.*, {', '.join(f'd{i}.code as `code__{c}`' for i, c in enumerate(columns))} from __THIS__ t {' '.join(joins)}"
+
+
+def _joined_sql(c: str, missing: str) -> str:
+    unknown = f"cast(raise_error(concat({_text(f'unknown category in {c}: ')}, `{c}`)) as double)"
+    return f"case when `{c}` is null then {missing} when `code__{c}` is null then {unknown} else `code__{c}` end"
+
+
 def _present(counts: dict[str | None, int]) -> list[str]:
     return [v for v in counts if v is not None]
 

@@ -6,11 +6,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.operators import preprocess, sampling
+from loanlens.functions.nulls import UNKNOWN
+from loanlens.operators import dictionary, preprocess, sampling
 from loanlens.operators.preprocess import Blocks
 from loanlens.operators.previous import any_eq, loan_installment_features
 from loanlens.registry.common import Lending, rounded, rsql
-from loanlens.sources.views import with_views
+from loanlens.sources.views import table, with_views
 
 EXT = ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
 SCALED = ["DAYS_BIRTH", "AMT_ANNUITY", "EXT_SOURCE_1"]
@@ -88,6 +89,30 @@ def encode_for_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select(*[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in out.columns]))
 
 
+CODED = ["c_name", "c_mktsegment"]
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column with a category per row, one with five, where a tenth is missing."""
+    segment = F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("c_mktsegment")
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name", segment)
+
+
+def dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of a column in which every row has its own category, numbered and joined without sending the dictionary."""
+    rows = _customers(spark, sf_dir)
+    return dictionary.encode(rows, dictionary.build_dictionary(rows, CODED), CODED, ["c_custkey"], broadcast_rows=0)
+
+
+def dictionary_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one-hot slots set for each row, and their names; a missing category is one of its own."""
+    rows = _customers(spark, sf_dir)
+    listed = dictionary.build_dictionary(rows, CODED, missing=UNKNOWN)
+    long = dictionary.one_hot(rows, listed, CODED, ["c_custkey"], missing=UNKNOWN).select("c_custkey", F.explode("slots").alias("slot"))
+    names = dictionary.with_slots(listed, CODED).select("slot", F.concat("column", F.lit("_"), "value").alias("feature"))
+    return long.join(names, "slot")
+
+
 NARROWED = ["DAYS_BIRTH", "AMT_CREDIT", "CNT_CHILDREN", "EXT_SOURCE_1", "OCCUPATION_TYPE", "CODE_GENDER"]
 
 
@@ -132,7 +157,7 @@ def undersample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     mean_impute, mode_impute, standard_scale, log_robust_scale, log_impute, ordinal_fixed, ordinal_learned_impute,
-    one_hot_levels, feature_vector, encode_for_correlation, categorical_dataset, narrow_types, class_weights,
+    one_hot_levels, feature_vector, dictionary_codes, dictionary_slots, encode_for_correlation, categorical_dataset, narrow_types, class_weights,
     stratified_split_counts, fold_counts, undersample_counts)}
 
 
@@ -198,6 +223,12 @@ f as (
  union all select SK_ID_CURR, 6 + w, 'EXT_SOURCE_2', coalesce(EXT_SOURCE_2, e) from clients, s
  union all select SK_ID_CURR, 7 + w, 'REGION_POPULATION_RELATIVE', REGION_POPULATION_RELATIVE from clients, s)
 select SK_ID_CURR, cast(slot as int) as slot, feature, round(value + 1e-10, 6) + 0e0 as value from f where value <> 0""", "clients"),
+    "dictionary_codes": """with c as (select c_custkey, c_name, case when c_custkey % 10 <> 0 then c_mktsegment end as c_mktsegment from customer)
+select *, dense_rank() over (order by c_name) - 1 as c_name_code,
+ case when c_mktsegment is not null then dense_rank() over (order by c_mktsegment nulls last) - 1 end as c_mktsegment_code from c""",
+    "dictionary_slots": """with c as (select c_custkey, c_name, case when c_custkey % 10 <> 0 then c_mktsegment else 'UNKNOWN' end as c_mktsegment from customer)
+select c_custkey, dense_rank() over (order by c_name) - 1 as slot, 'c_name_' || c_name as feature from c
+union all select c_custkey, (select count(distinct c_name) from c) + dense_rank() over (order by c_mktsegment) - 1, 'c_mktsegment_' || c_mktsegment from c""",
     "encode_for_correlation": with_views(f"""with late as (
  select a.SK_ID_CURR, max(case when DAYS_ENTRY_PAYMENT > DAYS_INSTALMENT then 1e0 else 0e0 end) as flag
  from prev_apps a left join installments i on i.SK_ID_PREV = a.SK_ID_PREV group by 1),
