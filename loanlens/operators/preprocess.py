@@ -20,11 +20,13 @@ from loanlens.functions.nulls import UNKNOWN, numeric_columns, string_columns
 from loanlens.functions.ordering import quantiles
 from loanlens.operators.dictionary import build_dictionary
 from loanlens.operators.profiling import unpivot
+from loanlens.sources.tables import scratch_folder
 
 # Categories with a natural order.
 WEEKDAYS = ["MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY"]
 EDUCATION = ["Lower secondary", "Secondary / secondary special", "Incomplete higher", "Higher education", "Academic degree"]
-LITERALS = 10_000  # categories that a fitted model carries as literals
+LITERALS = 1_000  # ordinal categories that a fitted model carries as literals; more are a table that it joins
+LABELS = 100_000  # categories that may become labels of a fitted model at all
 FIXED_ORDERS = {"WEEKDAY_APPR_PROCESS_START": WEEKDAYS, "NAME_EDUCATION_TYPE": EDUCATION}
 
 
@@ -99,17 +101,24 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
     return out
 
 
-def level_counts(df: DataFrame, columns: list[str], most: int = LITERALS) -> dict[str, dict[str | None, int]]:
+def level_counts(df: DataFrame, columns: list[str], most: int = LABELS) -> dict[str, dict[str | None, int]]:
     """Rows per category of each text column, in lexical order.
 
     The categories become part of the fitted model, as an indexer's labels are, so they must be `most`
     or fewer in all; more are an error, and columns with more are numbered by `dictionary.encode`.
     """
+    found = _few_levels(df, columns, most)
+    if found is None:
+        raise ValueError(f"over {most} categories in {columns}: number them with a dictionary table")
+    return found
+
+
+def _few_levels(df: DataFrame, columns: list[str], most: int) -> dict[str, dict[str | None, int]] | None:
     if not columns:
         return {}
     found = unpivot(df, columns).groupBy("column", "value").count().limit(most + 1).collect()
     if len(found) > most:
-        raise ValueError(f"over {most} categories in {columns}: number them with a dictionary table")
+        return None
     out: dict[str, dict[str | None, int]] = {c: {} for c in columns}
     for column, value, n in sorted(found, key=lambda r: (r[0], r[1] is None, r[1] or "")):
         out[column][value] = n
@@ -136,12 +145,19 @@ def fit_preprocessor(df: DataFrame, blocks: Blocks, keep_columns: bool = False,
 
     The output has the input columns and `features`; `keep_columns` also keeps the treated columns,
     which are named `<block>__<column>`.  With `dictionary`, a path, the categories of `ordinal` and
-    `ordinal_mean` are written there as a table that the pipeline joins, any number of them; without,
-    they are part of the pipeline, up to LITERALS.
+    `ordinal_mean` are written there as a table that the pipeline joins, any number of them.  Without,
+    up to LITERALS are part of the pipeline; for more the table lives as long as the program, so a
+    pipeline that is to be saved needs a path of its own.
     """
     stats = moments(df, [*blocks.std, *blocks.log_robust, *blocks.log, *blocks.mean])
     ordinals = [*blocks.ordinal, *blocks.ordinal_mean]
-    levels = level_counts(df, [*blocks.one_hot, *([] if dictionary else ordinals)])
+    levels = level_counts(df, blocks.one_hot)
+    if ordinals and not dictionary:
+        few = _few_levels(df, ordinals, LITERALS)
+        if few is None:
+            dictionary = f"{scratch_folder(df.sparkSession)}/dictionary"
+        else:
+            levels |= few
     listed = _write_dictionary(df, ordinals, dictionary) if dictionary and ordinals else {}
 
     def imputed(c: str) -> str:
