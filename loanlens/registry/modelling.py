@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.functions.nulls import string_columns
-from loanlens.operators import attribution, evaluation, models, preprocess, sampling
+from loanlens.operators import attribution, boosting, evaluation, models, preprocess, sampling
 from loanlens.plans import modelling as plan
 from loanlens.registry.common import Lending
 from loanlens.sources.tables import stage
@@ -123,6 +123,30 @@ def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("trial", "roc_auc", *[F.col("parameters")[name].alias(name) for name in space])
 
 
+def second_order_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out loss after every round of second-order boosting, and the rounds kept: the fit ends five rounds after its best one."""
+    df = labelled(spark, sf_dir)
+    columns = _tree_columns(df)
+    train, validation = _split(df)
+    inputs, bins = models.tree_inputs(train, columns)
+    weighted = sampling.balanced_weights(inputs.transform(train), "label")
+    params = boosting.Params(learning_rate=0.3, reg_lambda=1.0, reg_alpha=0.5, min_split_gain=0.1)
+    model = boosting.fit_second_order(weighted, inputs.transform(validation), "label", rounds=30, weight="weight", params=params, bins=bins, patience=5)
+    rows = [(i, loss, i <= model.kept, len(model.nodes[i - 1]) if i <= model.kept else None) for i, loss in enumerate(model.losses, start=1)]
+    return spark.createDataFrame(rows, "round int, held_out_loss double, kept boolean, nodes int")
+
+
+def halving_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200 points of all nine dimensions on a stratified 30 % of the rows, by rungs; ranges are scaled to the table's rows."""
+    df = labelled(spark, sf_dir)
+    sample, _ = sampling.stratified_split(df, "label", ID, test_size=0.7)
+    columns = _tree_columns(df)
+    inputs, bins = models.tree_inputs(sample, columns)
+    ready = stage(sampling.balanced_weights(inputs.transform(sample).select("SK_ID_CURR", "label", "features"), "label"))
+    return boosting.halving_search(ready, "label", ID, trials=200, k=3, rounds=1, bins=bins, weight="weight",
+                                   space=boosting.scaled_space(ready.count() * 2 // 3))
+
+
 def linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean attribution size of every assembled feature in a linear model trained on undersampled rows."""
     ready = _vectors(spark, sf_dir)
@@ -169,6 +193,6 @@ def redundant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    model_auc_grid, model_scores, boosting_auc, boosting_refit, cv_scores, random_search, linear_importance,
+    model_auc_grid, model_scores, boosting_auc, boosting_refit, cv_scores, random_search, second_order_rounds, halving_search, linear_importance,
     permutation_importance, drop_and_refit, recursive_elimination, redundant_pairs)}
 SQL: dict[str, str] = {}
