@@ -143,7 +143,7 @@ def halving_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = _tree_columns(df)
     inputs, bins = models.tree_inputs(sample, columns)
     ready = stage(sampling.balanced_weights(inputs.transform(sample).select("SK_ID_CURR", "label", "features"), "label"))
-    return boosting.halving_search(ready, "label", ID, trials=200, k=3, rounds=1, bins=bins, weight="weight",
+    return boosting.halving_search(ready, "label", ID, trials=200, k=3, rounds=1, bins=bins, weight="weight", parallelism=8,
                                    space=boosting.scaled_space(ready.count() * 2 // 3))
 
 
