@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanlens.functions.nulls import UNKNOWN
 from loanlens.operators import dictionary, preprocess, sampling
 from loanlens.operators.preprocess import Blocks
 from loanlens.operators.previous import any_eq, loan_installment_features
 from loanlens.registry.common import Lending, rounded, rsql
+from loanlens.sources.tables import read_csv_checked, scratch_folder
 from loanlens.sources.views import table, with_views
 
 EXT = ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
@@ -113,6 +115,25 @@ def dictionary_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.join(names, "slot")
 
 
+def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as delimited text, with cells spoilt by a rule, and read back: cells rejected by column and reason, and cells read."""
+    key = F.col("c_custkey")
+    spoilt = table(spark, sf_dir, "customer").select(
+        F.when(key % 17 == 3, F.concat(F.lit("no. "), key.cast("string"))).otherwise(key.cast("string")).alias("c_custkey"),
+        F.when(key % 13 == 5, F.concat("c_nationkey", F.lit(".5"))).when(key % 13 == 6, F.lit("NA")).otherwise(F.col("c_nationkey").cast("string")).alias("c_nationkey"),
+        F.when(key % 11 == 4, F.lit("-")).otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"),
+        F.when(key % 7 == 1, F.lit("70000")).otherwise(F.lit("7")).alias("small"), "c_mktsegment")
+    path = f"{scratch_folder(spark)}/customers"
+    spoilt.write.option("header", True).csv(path)
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_nationkey", T.IntegerType()), T.StructField("c_acctbal", T.DoubleType()),
+                           T.StructField("small", T.ShortType()), T.StructField("c_mktsegment", T.StringType())])
+    read = read_csv_checked(spark, path, schema, most_rejected=0.2)
+    counts = read.rejects.groupBy("column", "reason").agg(F.count(F.lit(1)).alias("n"))
+    cells = read.rows.agg(*[F.count(f.name).alias(f.name) for f in schema.fields])
+    present = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit("read").alias("reason"), F.col(f.name).alias("n")) for f in schema.fields])
+    return counts.unionByName(cells.select(F.explode(present).alias("x")).select("x.*"))
+
+
 NARROWED = ["DAYS_BIRTH", "AMT_CREDIT", "CNT_CHILDREN", "EXT_SOURCE_1", "OCCUPATION_TYPE", "CODE_GENDER"]
 
 
@@ -157,7 +178,7 @@ def undersample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     mean_impute, mode_impute, standard_scale, log_robust_scale, log_impute, ordinal_fixed, ordinal_learned_impute,
-    one_hot_levels, feature_vector, dictionary_codes, dictionary_slots, encode_for_correlation, categorical_dataset, narrow_types, class_weights,
+    one_hot_levels, feature_vector, dictionary_codes, dictionary_slots, csv_rejects, encode_for_correlation, categorical_dataset, narrow_types, class_weights,
     stratified_split_counts, fold_counts, undersample_counts)}
 
 
@@ -229,6 +250,16 @@ select *, dense_rank() over (order by c_name) - 1 as c_name_code,
     "dictionary_slots": """with c as (select c_custkey, c_name, case when c_custkey % 10 <> 0 then c_mktsegment else 'UNKNOWN' end as c_mktsegment from customer)
 select c_custkey, dense_rank() over (order by c_name) - 1 as slot, 'c_name_' || c_name as feature from c
 union all select c_custkey, (select count(distinct c_name) from c) + dense_rank() over (order by c_mktsegment) - 1, 'c_mktsegment_' || c_mktsegment from c""",
+    "csv_rejects": """with c as (select *, c_custkey % 17 = 3 as k, c_custkey % 13 = 5 as f, c_custkey % 13 = 6 as m, c_custkey % 11 = 4 as b, c_custkey % 7 = 1 as s from customer)
+select * from (select 'c_custkey' as "column", 'not a number' as reason, count(*) as n from c where k
+union all select 'c_nationkey', 'a fraction in an integer column', count(*) from c where f
+union all select 'c_acctbal', 'not a number', count(*) from c where b
+union all select 'small', 'out of range', count(*) from c where s) where n > 0
+union all select 'c_custkey', 'read', count(*) from c where not k
+union all select 'c_nationkey', 'read', count(*) from c where not f and not m
+union all select 'c_acctbal', 'read', count(c_acctbal) from c where not b
+union all select 'small', 'read', count(*) from c where not s
+union all select 'c_mktsegment', 'read', count(c_mktsegment) from c""",
     "encode_for_correlation": with_views(f"""with late as (
  select a.SK_ID_CURR, max(case when DAYS_ENTRY_PAYMENT > DAYS_INSTALMENT then 1e0 else 0e0 end) as flag
  from prev_apps a left join installments i on i.SK_ID_PREV = a.SK_ID_PREV group by 1),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,89 @@ def _typed(field: T.StructField):
     return number.cast(field.dataType)
 
 
+@dataclass
+class CheckedRead:
+    """Typed rows; the cells that could not be read (file, row, column, text, reason); and how many cells there are of each."""
+
+    rows: DataFrame
+    rejects: DataFrame
+    cells_given: int
+    cells_rejected: int
+
+
+def read_csv_checked(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    most_rejected: float = 0.01,
+    index_column: bool = False,
+    index_name: str | None = None,
+    row_name: str | None = None,
+) -> CheckedRead:
+    """Read like `read_csv`, and keep what does not fit instead of making it null unseen.
+
+    A cell is rejected if it is no number in a number column, a fraction in an integer column, or out
+    of the column's range; a record that ends early rejects its missing cells (text null), a longer one
+    the cells beyond the last column (column `#n`, from 1).  Rejected cells are null in the rows.  Given
+    are one cell for each record and column of the file, and those beyond.  Where more than
+    `most_rejected` of them are rejected, the read fails and says where.  The file is read once and
+    stored; `row_name` keeps the number by which rejects name a row.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    spare = [f"__{i}" for i in range(len(header))]  # headers may be empty or repeat
+    text = T.StructType([T.StructField(c, T.StringType()) for c in [*spare, "__record"]])
+    raw = spark.read.option("header", True).option("columnNameOfCorruptRecord", "__record").schema(text).csv(path)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__row"))
+    # only records of another length have a text here; commas inside quotes don't count
+    parts = F.split("__record", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    raw = raw.withColumn("__parts", F.when(F.col("__record").isNotNull(), parts))
+    raw = raw.withColumn("__length", F.when(F.col("__parts").isNull(), len(header)).otherwise(F.size("__parts")))
+    place = {name: i for i, name in reversed(list(enumerate(header)))}
+    if index_column:
+        place.pop(header[0], None)
+        if index_name:
+            place[index_name] = 0
+    known = [f for f in schema.fields if f.name in place]
+    bad, typed = [], []
+    for f in known:
+        cell = T.StructField(spare[place[f.name]], f.dataType)
+        value = _typed(cell)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            value = F.when(~F.isnan(value), value)
+        typed.append(value.alias(f.name))
+        reason = F.when(F.lit(place[f.name]) >= F.col("__length"), "missing from a short record").otherwise(_reason(cell))
+        bad.append(F.struct(F.lit(f.name).alias("column"), F.col(cell.name).alias("text"), reason.alias("reason")))
+    beyond = F.when(F.col("__length") > len(header), F.transform(
+        F.slice("__parts", len(header) + 1, F.greatest(F.col("__length") - len(header), F.lit(0))),
+        lambda x, i: F.struct(F.concat(F.lit("#"), (i + len(header) + 1).cast("string")).alias("column"), x.alias("text"), F.lit("beyond the last column").alias("reason"))))
+    none = F.array().cast("array<struct<column:string,text:string,reason:string>>")
+    found = F.concat(F.filter(F.array(*bad), lambda x: x["reason"].isNotNull()) if bad else none, F.coalesce(beyond, none))
+    stored = stage(raw.select(*typed, "__file", "__row", found.alias("__rejects"), F.greatest(F.col("__length") - len(header), F.lit(0)).alias("__beyond")))
+    rejects = stored.select(F.col("__file").alias("file"), F.col("__row").alias("row"), F.explode("__rejects").alias("x")).select("file", "row", "x.*")
+    n, extra, rejected = stored.agg(F.count(F.lit(1)), F.sum("__beyond"), F.sum(F.size("__rejects"))).first()
+    given, rejected = n * len(known) + (extra or 0), rejected or 0
+    if rejected > most_rejected * given:
+        worst = rejects.groupBy("column", "reason").count().orderBy(F.desc("count"), "column", "reason").limit(10).collect()
+        told = "; ".join(f"{r['column']}: {r['count']} x {r['reason']}" for r in worst)
+        raise ValueError(f"{rejected} of {given} cells of {path} can't be read ({told})")
+    kept = [c for c in stored.columns if not c.startswith("__")]
+    rows = stored.select(*[F.col(f"`{c}`") for c in kept], *([F.col("__row").alias(row_name)] if row_name else []))
+    return CheckedRead(rows, rejects, given, rejected)
+
+
+def _reason(field: T.StructField):
+    """Why a cell is not of its type; null if it is, or is missing."""
+    cell = F.when(~F.trim(F.col(field.name)).isin(MISSING_TOKENS), F.trim(F.col(field.name)))
+    if isinstance(field.dataType, T.StringType):
+        return F.lit(None).cast("string")
+    number = cell.try_cast("double")
+    wrong = F.when(cell.isNull(), None).when(number.isNull(), "not a number")
+    if isinstance(field.dataType, T.IntegralType):
+        wrong = wrong.when(cell.try_cast("decimal(38,10)").isNotNull() & (number != F.floor(number)), "a fraction in an integer column")
+        wrong = wrong.when(_typed(field).isNull(), "out of range")
+    return wrong.cast("string")
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
