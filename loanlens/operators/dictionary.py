@@ -10,7 +10,6 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.operators.profiling import unpivot
 from loanlens.sources.tables import stage
 
 BROADCAST_ROWS = 100_000  # a larger dictionary is not sent to the tasks
@@ -23,19 +22,40 @@ def build_dictionary(df: DataFrame, columns: list[str], missing: str | None = No
     A null counts as the category `missing`, or as none.  `hot` marks the categories that fill at least
     HOT_SHARE of a column's cells.  The result is stored.
     """
-    value = F.col("value") if missing is None else F.coalesce("value", F.lit(missing))
-    counts = unpivot(df, columns).select("column", value.alias("value")).where("value is not null").groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n"))
-    ranges = counts.repartitionByRange("column", "value").sortWithinPartitions("column", "value")
-    rows = stage(ranges.select(F.monotonically_increasing_id().alias("at"), "column", "value", "n"))
-    rows = rows.withColumn("part", F.shiftright("at", 33))
-    # one row per range, and per column that starts in it
-    parts = rows.groupBy("part", "column").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("cells"))
-    up, whole = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("column")
-    parts = parts.select("part", "column", "first", F.coalesce(F.sum("size").over(up), F.lit(0)).alias("before"), F.sum("cells").over(whole).alias("cells"))
-    coded = rows.join(F.broadcast(parts), ["part", "column"])
-    return stage(coded.select(
-        "column", "value", (F.col("before") + F.col("at") - F.col("first")).alias("code"), "n", (F.col("n") >= HOT_SHARE * F.col("cells")).alias("hot")))
+    cell = lambda c: F.col(f"`{c}`").cast("string") if missing is None else F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(missing))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), cell(c).alias("value")) for c in columns])
+    counts = df.select(F.explode(cells).alias("cell")).select("cell.*").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    numbers = numbered(counts, ["value"], "code", "column", {"cells": "n"})
+    return stage(numbers.select("column", "value", "code", "n", (F.col("n") >= HOT_SHARE * F.col("cells")).alias("hot")))
+
+
+def numbered(df: DataFrame, order: list[str], name: str, within: str | None = None, sums: dict[str, str] | None = None) -> DataFrame:
+    """`df` with the place of each row (a long from 0) in the given order, within each value of a column.
+
+    Rows are ordered by ranges; one row per range, and per value that starts in it, is summed up.
+    `sums` adds the total of a column within that value, under a name.  Rows that are equal in the
+    order get different places.
+    """
+    group, sums = within or "__all", sums or {}
+    rows = df if within else df.withColumn(group, F.lit(0))
+    keys = [*([within] if within else []), *order]
+    ranges = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = stage(ranges.withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    parts = rows.groupBy("__part", group).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__size"), *[F.sum(c).alias(t) for t, c in sums.items()])
+    whole = Window.partitionBy(group)
+    up = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("__part", group, "__first", F.coalesce(F.sum("__size").over(up), F.lit(0)).alias("__before"), *[F.sum(t).over(whole).alias(t) for t in sums])
+    # as many rows as there are ranges and values to number within: the latter are columns' names
+    found = rows.join(F.broadcast(parts), ["__part", group])
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__before") + F.col("__at") - F.col("__first")).alias(name), *sums)
+
+
+def counted_up(df: DataFrame, count: int, name: str, block: int = 4096) -> DataFrame:
+    """Every row once for each number below `count`; no array is longer than `block` or count / block."""
+    blocks = df.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(max(0, (count - 1) // block)))))
+    end = F.least(F.col("__block") * block + block - 1, F.lit(count - 1))
+    out = blocks.withColumn(name, F.explode(F.sequence((F.col("__block") * block).cast("long"), end.cast("long")))).drop("__block")
+    return out if count else out.limit(0)
 
 
 def dictionary_sizes(dictionary: DataFrame, columns: list[str]) -> dict[str, int]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from loanlens.functions.nulls import numeric_columns, string_columns
 from loanlens.functions.ordering import quantiles, value_ranks
+from loanlens.operators.dictionary import counted_up, numbered
 from loanlens.sources.tables import stage
 
 # workers run the kernel below without having the package installed
@@ -118,9 +119,8 @@ def histogram(df: DataFrame, column: str, bins: str | int = "auto", hue: str | N
     counts = present.groupBy(*group, place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     if empty:
         grid = df.sparkSession.range(count).select(F.col("id").alias("bin"))
-        if hue:  # every hue needs every bin; the bins come from a range, so tasks share them
-            hues = present.select(hue).distinct().withColumn("__one", F.lit(1))
-            grid = grid.withColumn("__one", F.lit(1)).join(hues, "__one").drop("__one")
+        if hue:  # every hue counts up its bins
+            grid = counted_up(present.select(hue).distinct(), count, "bin")
         counts = grid.join(counts, [*group, "bin"], "left")
     return counts.select(
         *group, "bin",
@@ -187,16 +187,30 @@ def crosstab_wide(df: DataFrame, rows: str, columns: str) -> DataFrame:
     return wide.select(rows, *[(F.col(f"`{c}`").cast("double") / total).alias(c) for c in names])
 
 
+def crosstab_pairs(df: DataFrame, rows: str, columns: str) -> DataFrame:
+    """rows, columns, n, share: the pairs that occur, with their share of the row category.
+
+    As large as the pairs that occur, whatever the numbers of categories; a row category's total meets
+    its pairs by a join on the category.  Rows without one of the two are left out.
+    """
+    pairs = df.filter(F.col(rows).isNotNull() & F.col(columns).isNotNull()).groupBy(rows, columns).agg(F.count(F.lit(1)).alias("n"))
+    totals = pairs.groupBy(rows).agg(F.sum("n").alias("__total"))
+    return pairs.join(totals, rows).select(rows, columns, "n", (F.col("n").cast("double") / F.col("__total")).alias("share"))
+
+
 def crosstab_share(df: DataFrame, rows: str, columns: str) -> DataFrame:
-    """The same table in long form, for any number of categories: the counted pairs fill in the
-    categories that a row category goes without."""
-    pairs = df.filter(F.col(rows).isNotNull() & F.col(columns).isNotNull()).groupBy(rows, columns).agg(
-        F.count(F.lit(1)).alias("__n"))
-    every = pairs.agg(F.collect_set(columns).alias("__every")).withColumn("__one", F.lit(1))  # the columns of the table
-    totals = pairs.groupBy(rows).agg(F.sum("__n").alias("__total")).withColumn("__one", F.lit(1))
-    grid = totals.join(every, "__one").select(rows, "__total", F.explode("__every").alias(columns))
-    share = F.coalesce("__n", F.lit(0)).cast("double") / F.col("__total")
-    return grid.join(pairs, [rows, columns], "left").select(rows, columns, share.alias("share"))
+    """The same table with the pairs that do not occur, whose share is 0: rows x columns of them.
+
+    Column categories are numbered by ranges, and every row category counts up to their number; no
+    task holds the categories of a column.
+    """
+    pairs = stage(crosstab_pairs(df, rows, columns).select(rows, columns, "share"))
+    coded = stage(numbered(pairs.select(columns).distinct(), [columns], "__code"))
+    count = coded.count()
+    grid = counted_up(pairs.select(rows).distinct(), count, "__code")
+    known = pairs.join(coded, columns).select(rows, "__code", "share")
+    found = grid.join(known, [rows, "__code"], "left").join(coded, "__code")
+    return found.select(rows, columns, F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -71,6 +71,11 @@ def crosstab_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profiling.crosstab_share(Lending(spark, sf_dir).prev_apps, "NAME_YIELD_GROUP", "NAME_CONTRACT_STATUS"))
 
 
+def crosstab_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the pairs that occur, for a column with hundreds of categories."""
+    return rounded(profiling.crosstab_pairs(Lending(spark, sf_dir).prev_apps, "SELLERPLACE_AREA", "NAME_CONTRACT_STATUS"))
+
+
 def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profiling.pearson_pairs(Lending(spark, sf_dir).bureau, [
         "DAYS_CREDIT", "DAYS_CREDIT_ENDDATE", "DAYS_ENDDATE_FACT", "DAYS_CREDIT_UPDATE"]))
@@ -106,7 +111,7 @@ def strong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     missing_share, missing_share_over, missing_by_row, missing_by_row_subset, missing_pattern, distinct_values,
     describe_numeric, category_counts, default_rate_by_category, histogram_auto, histogram_by_target, box_stats,
-    group_means, crosstab_share, pearson_pairs, spearman_pairs, spearman_gap_pairs, strong_pairs)}
+    group_means, crosstab_share, crosstab_pairs, pearson_pairs, spearman_pairs, spearman_gap_pairs, strong_pairs)}
 
 
 # ---- the same results in SQL ----
@@ -185,6 +190,9 @@ from w, (select distinct TARGET from clients) t, unnest(range(20)) as g(i) left
 from (select NAME_YIELD_GROUP, count(*) as n from prev_apps group by 1) y cross join (select distinct NAME_CONTRACT_STATUS from prev_apps) x
 left join prev_apps p on p.NAME_YIELD_GROUP = y.NAME_YIELD_GROUP and p.NAME_CONTRACT_STATUS = x.NAME_CONTRACT_STATUS
 group by y.NAME_YIELD_GROUP, x.NAME_CONTRACT_STATUS, y.n""", "prev_apps"),
+    "crosstab_pairs": with_views("""select SELLERPLACE_AREA, NAME_CONTRACT_STATUS, count(*) as n,
+ round(count(*) / cast(sum(count(*)) over (partition by SELLERPLACE_AREA) as double) + 1e-10, 6) + 0e0 as share
+from prev_apps where SELLERPLACE_AREA is not null and NAME_CONTRACT_STATUS is not null group by 1, 2""", "prev_apps"),
     "pearson_pairs": with_views(_corr_sql(["DAYS_CREDIT", "DAYS_CREDIT_ENDDATE", "DAYS_ENDDATE_FACT", "DAYS_CREDIT_UPDATE"], "bureau"), "bureau"),
     "spearman_pairs": with_views("with " + FILLED + "\n" + _corr_sql(RANKED, "ranks"), "clients"),
     "spearman_gap_pairs": with_views("with " + ",\n".join(

@@ -144,3 +144,18 @@ def test_rank_correlations_of_odd_tables(spark):
     assert [got[k] for k in (("a", "b"), ("b", "a"), ("c", "c"), ("a", "c"))] == [None] * 4
     empty = profiling.spearman_pairs(df.limit(0), ["a", "b"], ["id"]).collect()
     assert all(r.corr is None for r in empty)
+
+
+def test_sparse_crosstab_of_very_many_categories(spark):
+    """100,000 x 100,000 categories and few pairs: as many rows as pairs occur."""
+    df = spark.range(150_000).select((F.col("id") % 100_000).alias("r"), F.concat(F.lit("c"), (F.col("id") * 7 % 100_003).cast("string")).alias("c"))
+    got = profiling.crosstab_pairs(df, "r", "c")
+    assert got.count() == 150_000 and got.agg(F.sum("share")).first()[0] == pytest.approx(100_000)
+    few = profiling.crosstab_pairs(spark.createDataFrame([("x", 1), ("x", 1), ("x", 2), ("y", None), (None, 2)], "r string, c int"), "r", "c")
+    assert {(r.r, r.c): (r.n, r.share) for r in few.collect()} == {("x", 1): (2, 2 / 3), ("x", 2): (1, 1 / 3)}
+
+
+def test_absent_pairs_keep_the_categories_type(spark):
+    df = spark.createDataFrame([(1, 2.5), (1, 7.0), (3, 7.0)], "r int, c double")
+    assert {(r.r, r.c): r.share for r in profiling.crosstab_share(df, "r", "c").collect()} == {(1, 2.5): 0.5, (1, 7.0): 0.5, (3, 2.5): 0.0, (3, 7.0): 1.0}
+    assert profiling.crosstab_share(df.limit(0), "r", "c").collect() == []
