@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 TIE_STEP = Decimal(10 ** 20)
 RANGE_ROWS = 65_536
 RANGES = 256
+MOST_RANGES = 4096
 
 
 def first_at_latest(value: Column, month: Column, tie: Column) -> Column:
@@ -54,8 +55,10 @@ def range_splits(df: DataFrame, columns: list[str], ranges: int | None = None) -
     """Value boundaries that cut each column into ranges of similar row counts.
 
     One pass for all columns finds the row count and up to RANGES boundaries each; tables with more
-    than RANGES * RANGE_ROWS rows take a second pass for as many as their rows ask for.  The
-    boundaries are approximate, which only affects balance: results are exact for any boundaries.
+    than RANGES * RANGE_ROWS rows take a second pass for as many as their rows ask for, up to
+    MOST_RANGES, so that what the driver holds does not grow with the rows.  Beyond, ranges get
+    longer, and tasks order them by spilling.  The boundaries are approximate, which only affects
+    balance: results are exact for any boundaries.
     """
     values = [F.col(c).cast("double") for c in columns]
 
@@ -63,13 +66,12 @@ def range_splits(df: DataFrame, columns: list[str], ranges: int | None = None) -
         return [i / n for i in range(1, n)]
 
     found = df.agg(F.count(F.lit(1)), *[F.percentile_approx(v, probabilities(RANGES), 4 * RANGES) for v in values]).first()
-    wanted = ranges or max(2, found[0] // RANGE_ROWS + 1)
+    wanted = min(ranges or max(2, found[0] // RANGE_ROWS + 1), MOST_RANGES)
     cuts = [c or [] for c in found[1:]]
     if wanted <= RANGES:
         cuts = [[c[(len(c) + 1) * i // wanted - 1] for i in range(1, wanted)] if c else [] for c in cuts]
     else:
-        named = df.select([v.alias(str(i)) for i, v in enumerate(values)])
-        cuts = named.approxQuantile(named.columns, probabilities(wanted), 1.0 / (2 * wanted))
+        cuts = [c or [] for c in df.agg(*[F.percentile_approx(v, probabilities(wanted), 4 * wanted) for v in values]).first()]
     inf = float("inf")
     splits = {}
     for name, own in zip(columns, cuts):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions.ordering import hash_order
+from loanlens.operators.evaluation import roc_auc_by
 from loanlens.operators.models import ROUNDS, auc, fit_boosting
 from loanlens.sources.tables import stage
 
@@ -54,18 +55,23 @@ def permutation_importance(
 ) -> DataFrame:
     """Loss of ROC area when one column's values are dealt out anew: (feature, importance), largest first.
 
-    Row number p of one hash order receives the value of row number p of another, so every value is
-    used once and any rerun deals the same way.
+    Row number p of one hash order receives the values of row number p of another, so every value is
+    used once and any rerun deals the same way.  Each row is scored as it is and once per column, in
+    one pass, and the areas of all columns come from one ranking, so the number of jobs does not grow
+    with the columns.
     """
-    whole = df.withColumn("__all", F.lit(1))
-    seats = stage(hash_order(whole, "__all", ids, seed, "__seat").drop("__all"))
-    base = auc(model, seats, label)
-    rows = []
-    for i, c in enumerate(columns, start=1):
-        dealt = hash_order(whole.select("__all", *ids, c), "__all", ids, seed + i, "__seat").select(
-            "__seat", F.col(c).alias("__value"))
-        shuffled = seats.join(dealt, "__seat").withColumn(c, F.col("__value")).drop("__value")
-        rows.append((c, float(base - auc(model, shuffled, label))))
+    whole = stage(df.withColumn("__all", F.lit(1)))
+    seats = hash_order(whole, "__all", ids, seed, "__seat").drop("__all")
+    dealt = hash_order(whole.select("__all", *ids, *columns), "__all", ids, seed + 1, "__seat").select(
+        "__seat", *[F.col(c).alias(f"__dealt_{i}") for i, c in enumerate(columns)])
+    both = stage(seats.join(dealt, "__seat").drop("__seat"))
+    variants = both.withColumn("__variant", F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1))))  # -1: as it is
+    place = {c: i for i, c in enumerate(columns)}
+    permuted = variants.select("__variant", *[
+        F.when(F.col("__variant") == place[c], F.col(f"__dealt_{place[c]}")).otherwise(F.col(c)).alias(c) if c in place else F.col(c) for c in df.columns])
+    scores = stage(model.transform(permuted).select("__variant", label, vector_to_array("probability")[1].alias("__score")))
+    areas = {r["__variant"]: r["roc_auc"] for r in roc_auc_by(scores, "__variant", label, "__score").collect()}  # one per column
+    rows = [(c, float(areas[-1] - areas[i])) for i, c in enumerate(columns)]
     out = df.sparkSession.createDataFrame(rows, "feature string, importance double")
     return out.orderBy(F.desc("importance"), "feature")
 

@@ -38,9 +38,9 @@ def threshold_scores(df: DataFrame, label: str, probability: str) -> DataFrame:
         share(tp, tp + fp).alias("precision"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def _ranked_scores(df: DataFrame, label: str, score: str, previous: bool = False) -> DataFrame:
+def _ranked_scores(df: DataFrame, label: str, score: str, previous: bool = False, by: list[str] | None = None) -> DataFrame:
     """Distinct scores with their positive rows and the rows and positives below them."""
-    return value_ranks(df, [score], sums={"pos": F.col(label).cast("long")}, previous=previous)
+    return value_ranks(df, [score], by=by, sums={"pos": F.col(label).cast("long")}, previous=previous)
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -48,12 +48,20 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
     The area is read from average ranks of the distinct scores (the Mann-Whitney statistic).
     """
-    ranked = _ranked_scores(df, label, score)
+    return _area(_ranked_scores(df, label, score).groupBy())
+
+
+def roc_auc_by(df: DataFrame, group: str, label: str, score: str) -> DataFrame:
+    """The area of each group's rows, all from one ranking: (group, roc_auc)."""
+    return _area(_ranked_scores(df, label, score, by=[group]).groupBy(group), group)
+
+
+def _area(ranked: GroupedData, *keys: str) -> DataFrame:
     rank = F.col("before_n") + (F.col("n") + 1) / 2.0
     sums = ranked.agg(
         F.sum(F.col("pos") * rank).alias("ranks"), F.max("total_pos").cast("double").alias("p"),
         (F.max("total_n") - F.max("total_pos")).cast("double").alias("q"))
-    return sums.select(F.try_divide(
+    return sums.select(*keys, F.try_divide(
         F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2.0, F.col("p") * F.col("q")).alias("roc_auc"))
 
 

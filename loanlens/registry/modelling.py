@@ -157,9 +157,9 @@ def linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss of area when a column's values are dealt out anew."""
+    """Loss of area when a column's values are dealt out anew; all columns."""
     df = labelled(spark, sf_dir)
-    columns = ["EXT_SOURCE_2", "AVG_EXT_SOURCE", "AMT_CREDIT", "CODE_GENDER", "HAD_DPD_PREV"]
+    columns = _tree_columns(df)
     train, validation = _split(df)
     model = models.fit_boosting(train, validation, "label", columns, rounds=10)
     return attribution.permutation_importance(model, validation, "label", ID, columns)
