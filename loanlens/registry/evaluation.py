@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.operators import attribution, evaluation
+from loanlens.operators import attribution, evaluation, models
 from loanlens.registry.common import Lending, rounded, rsql
 from loanlens.sources.views import with_views
 
@@ -27,6 +27,19 @@ def roc_auc_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.roc_auc(_scored(spark, sf_dir), "label", "score"))
 
 
+SCORES = ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
+
+
+def score_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean area over three folds of each external score as a model of its own, best first; a missing score counts as 0.5."""
+    clients = Lending(spark, sf_dir).clients
+    cells = F.array(*[F.struct(F.lit(c).alias("model"), F.coalesce(c, F.lit(0.5)).alias("score")) for c in SCORES])
+    long = clients.select((F.col("SK_ID_CURR") % 3).alias("fold"), F.col("TARGET").alias("label"), F.explode(cells).alias("x"))
+    long = long.select(F.struct("x.model", "fold").alias("part"), "label", "x.score")
+    areas = evaluation.roc_auc_by(long, "part", "label", "score").select("part.model", "part.fold", "roc_auc")
+    return rounded(models.mean_scores(areas))
+
+
 def roc_curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curve from its starting point on, whose threshold is infinite."""
     return rounded(evaluation.roc_curve(_scored(spark, sf_dir), "label", "score"))
@@ -47,7 +60,7 @@ def mean_abs_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    confusion_matrix, threshold_scores, roc_auc_exact, roc_curve_points, linear_attribution, mean_abs_attribution)}
+    score_comparison, confusion_matrix, threshold_scores, roc_auc_exact, roc_curve_points, linear_attribution, mean_abs_attribution)}
 
 
 # ---- the same results in SQL ----
@@ -77,6 +90,12 @@ k as (select *, lead(bend_tp) over v <> 0 or lead(bend_fp) over v <> 0 as bends
 select 0e0 as fpr, 0e0 as tpr, cast('inf' as double) as threshold
 union all select {rsql(fpr="fp / cast(nq as double)", tpr="tp / cast(np as double)", threshold="score")} from k
 where nth = 1 or nth = points or bends""", "clients"),
+    "score_comparison": with_views("with long as (" + "\nunion all ".join(
+        f"select '{c}' as model, SK_ID_CURR % 3 as fold, TARGET as label, coalesce({c}, 0.5) as score from clients" for c in SCORES) + """),
+r as (select model, fold, label, rank() over (partition by model, fold order by score) + (count(*) over (partition by model, fold, score) - 1) / 2e0 as place from long),
+a as (select model, fold, (sum(place) filter (where label = 1) - count(*) filter (where label = 1) * (count(*) filter (where label = 1) + 1) / 2e0)
+ / (count(*) filter (where label = 1) * cast(count(*) filter (where label = 0) as double)) as roc_auc from r group by 1, 2)
+select model, round(avg(roc_auc) + 1e-10, 6) + 0e0 as roc_auc from a group by 1""", "clients"),
     "linear_attribution": with_views(f"select SK_ID_CURR, {rsql(**PHI)} from clients", "clients"),
     "mean_abs_attribution": with_views("\nunion all ".join(
         f"select '{c}' as feature, round(avg(abs({e})) + 1e-10, 6) as importance from clients" for c, e in PHI.items()), "clients"),

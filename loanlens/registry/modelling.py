@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.functions.nulls import string_columns
+from loanlens.functions.nulls import columns_named, string_columns
 from loanlens.operators import attribution, boosting, evaluation, models, preprocess, sampling
 from loanlens.plans import modelling as plan
 from loanlens.registry.common import Lending
@@ -26,8 +26,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(matrix.withColumn("label", low.cast("int")))
 
 
+# The columns of each treatment.
 def _blocks(df: DataFrame) -> preprocess.Blocks:
-    flags = [c for c in string_columns(df) if c.endswith(("_PREV", "_BUREAU"))]
+    flags = columns_named(df.select(string_columns(df)), ends=("_PREV", "_BUREAU"))
     return preprocess.updated_blocks(
         log_robust=["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "DEBT_TO_INCOME", "INCOME_PER_ANNUITY_UNIT",
                     "APPLICATION_COUNT_PREV", "AVERAGE_AMT_CREDIT_PREV", "AVERAGE_INSTALLMENT_PREV", "DPD_COUNT",

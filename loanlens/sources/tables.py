@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -159,16 +160,27 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: the application's checkpoint directory.
 
     That is what the application set itself, else what `spark.checkpoint.dir` names.  Where neither
-    is set, a folder in the warehouse is used, which is shared like the tables in it.
+    is set, a folder in the warehouse is used, which is shared like the tables in it.  A warehouse on
+    one machine's disk serves only where all tasks run there; on several machines it is an error.
     """
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if is_local_path(spark.conf.get("spark.sql.warehouse.dir")) and not runs_on_one_machine(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
+def is_local_path(path: str) -> bool:
+    return path.startswith("file:") or "://" not in path
+
+
+def runs_on_one_machine(master: str) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 _staged: list[tuple[SparkSession, str]] = []
 
 
