@@ -26,6 +26,7 @@ from loanlens.sources.tables import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 2048
+MOST_PIVOTS = 8192
 CHUNK = 512
 
 
@@ -76,7 +77,7 @@ def _search(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n_points")).join(
         queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n_queries")), "cell"
     ).select("cell", blocks.alias("blocks"), chunks.alias("chunks"))
-    cells = F.broadcast(cells)  # one row per pivot, the root of the number of vectors
+    cells = F.broadcast(cells)  # one row per pivot, MOST_PIVOTS at most
     place = F.xxhash64("vid")
     # both sides may come from one frame: renaming gives the left side columns of its own
     left = queries.select(*[F.col(c).alias(c) for c in ("vid", "features", "cell")]).join(cells, "cell").select(
@@ -112,10 +113,12 @@ def nearest_vectors(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """The k nearest other vectors of each vector: (vid, other, copies, distance, place).
 
     There are as many pivots as the root of the number of vectors, so cells grow no faster than
-    their number; the pivots' matrix and one row per cell are all that reaches the driver.
+    their number, and MOST_PIVOTS at most; the pivots' matrix and one row per cell are all that
+    reaches the driver and is broadcast.  With more than MOST_PIVOTS ** 2 vectors cells grow, and are
+    cut into more blocks.
     """
     total = vectors.count()
-    wanted = max(1, int(total ** 0.5))
+    wanted = min(max(1, int(total ** 0.5)), MOST_PIVOTS)
     picked = vectors.orderBy(F.xxhash64(F.lit(seed), "features"), "vid").limit(wanted).select("features").collect()
     pivots = np.array([r["features"] for r in picked], dtype="float64").reshape(len(picked), -1)
 
