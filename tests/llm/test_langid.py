@@ -62,3 +62,29 @@ def test_odd_rows(spark, sf_dir):
 def test_nothing_to_learn(spark):
     docs = documents(spark, [(1, "some text"), (2, None, "en"), (3, "")])
     assert {(r.lang_pred, r.score) for r in langid.identify(docs, langid.learn(docs)).collect()} == {("und", 0.0)}
+
+
+def test_scores_match_a_plain_kernel_machine(spark, sf_dir):
+    """Kernel, whitening of the landmarks, ridge regression and scores, each written out, against the folded matrix."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null and text is not null").collect()
+    rows = [(r.text, r.lang, (r.doc_id * 7919) % 1_000_003) for r in docs]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string, order long"), landmarks=40)
+    sets = [set(np.flatnonzero(langid.grams(t)).tolist()) for t, _, _ in rows]
+    langs = sorted({lang for _, lang, _ in rows})
+    marks = []
+    for lang in langs:
+        own = sorted((order, k) for k, (_, x, order) in enumerate(rows) if x == lang)
+        marks += [k for _, k in own[: max(2, 40 // len(langs))]]
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+    among = np.array([[kernel(sets[i], sets[j]) for j in marks] for i in marks])
+    to_marks = np.array([[kernel(s, sets[j]) for j in marks] for s in sets])
+    value, vector = np.linalg.eigh(among)
+    keep = value > 1e-6 * value.max()
+    phi = np.hstack([to_marks @ vector[:, keep] / np.sqrt(value[keep]), np.ones((len(rows), 1))])
+    want = np.array([[1.0 if lang == x else -1.0 for x in langs] for _, lang, _ in rows])
+    share = np.array([len(rows) / len(langs) / sum(x == lang for _, x, _ in rows) for _, lang, _ in rows])[:, None]
+    penalty = 1e-2 * np.eye(phi.shape[1])
+    penalty[-1, -1] = 0
+    beta = np.linalg.solve(phi.T @ (phi * share) + penalty, phi.T @ (want * share))
+    got = model.scores(np.stack([langid.grams(t) for t, _, _ in rows]))
+    assert model.langs == langs and np.abs(got - phi @ beta).max() < 1e-4
