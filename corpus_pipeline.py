@@ -1,19 +1,18 @@
 """From raw documents to packed training sequences.
 
 Each stage reads all that the one before it kept, and writes all that it keeps, as Parquet in the
-shared folder.
+shared folder; what they wrote goes when the program ends, or by `tables.release`.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loanlens.llm import langid, mixing, packing, pii, simhash
 from loanlens.llm.queries import tokenizer_path
-from loanlens.sources.tables import shared_folder
+from loanlens.sources.tables import scratch_folder
 
 MIN_LANGUAGE_SCORE = 0.25  # never undercut with up to four languages; unknown trigrams tell strangers, see langid
 
@@ -57,7 +56,7 @@ ORACLE_SQL = None  # hashing, learning and tokenizing have no SQL; tests compare
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
     for name, stage in STAGES:
-        path = os.path.join(shared_folder(spark), f"{name.replace(' ', '-')}-{uuid.uuid4().hex}")
+        path = os.path.join(scratch_folder(spark), name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
