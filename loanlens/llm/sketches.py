@@ -89,13 +89,13 @@ def _check(h: np.ndarray) -> np.ndarray:
 
 
 def _places(h: np.ndarray) -> np.ndarray:
-    """Where each hash goes in each third of a table, as a share of 2^20."""
-    return ((h[None, :] >> np.array([[0], [20], [40]], np.uint64)) & np.uint64(0xFFFFF)).astype(np.int64)
+    """Where each hash goes in each third of a table, as a share of 2^32, which no table outgrows."""
+    return np.stack([h & np.uint64(0xFFFFFFFF), h >> np.uint64(32), _mix(h ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)]).astype(np.int64)
 
 
 def _cells(places: np.ndarray, size: int) -> np.ndarray:
     third = size // 3
-    return (places * third >> 20) + np.array([[0], [third], [2 * third]])
+    return (places * third >> 32) + np.array([[0], [third], [2 * third]])
 
 
 class Table:

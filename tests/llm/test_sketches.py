@@ -65,3 +65,13 @@ def test_order_and_copies_of_pieces_count():
     a, b = sketches.digests("one. two. two. "), sketches.digests("two. one. ")
     assert len(a) == 3 and len(b) == 2 and sketches.likeness(a, b) == pytest.approx(0.8)
     assert sketches.Table(sketches.digests("x. y.")).text() == sketches.Table(sketches.digests("x. y.")).text()
+
+
+def test_three_million_differences_peel():
+    """Places must spread over large tables, or a larger one never helps."""
+    rng = np.random.default_rng(1)
+    plain = rng.integers(0, 1 << 63, 3_000_000, np.uint64)
+    pieces = lambda h: sketches.Pieces(h, np.arange(len(h), dtype=np.int64))
+    a, b = pieces(plain), pieces(plain[:5])
+    only_a, only_b = sketches.difference(a, b)
+    assert len(only_a) == len(np.unique(plain)) - 5 and not len(only_b)
