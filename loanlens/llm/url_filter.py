@@ -3,8 +3,9 @@
 A host is read from its last label (`a.example.net` becomes `net.example.a.`), so that a rule for a
 host and its subdomains is one interval of keys.  Addresses and rules are cut into the same key
 ranges and every range is swept once in key order: a stack holds the host rules that are open at
-the current key, nested as their intervals are, and within a host a second stack holds the path
-prefixes that are open at the current path.
+the current key, nested as their intervals are.  A host's path rules come sorted, too; a second stack
+tells which of them lie around each other, so a path finds its rules from the last one it sorts after,
+and a host under many rules costs its addresses, not its rules.
 """
 
 from __future__ import annotations
@@ -104,33 +105,51 @@ def _borders(urls: DataFrame, n: int) -> list[tuple]:
     return sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
 
 
+class PathRules:
+    """The path rules of one host, added in the order of their paths; each knows the rule around it."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.around: list[int] = []
+        self.best: list[tuple] = []  # of a rule and all rules around it
+        self.nested: list[int] = []  # the rules that hold the last one
+
+    def add(self, path: str, rule: tuple) -> None:
+        if self.paths and self.paths[-1] == path:
+            self.best[-1] = max(self.best[-1], rule)
+            return
+        while self.nested and not path.startswith(self.paths[self.nested[-1]]):
+            self.nested.pop()
+        outer = self.nested[-1] if self.nested else -1
+        self.nested.append(len(self.paths))
+        self.paths.append(path)
+        self.around.append(outer)
+        self.best.append(rule if outer < 0 else max(rule, self.best[outer]))
+
+    def find(self, path: str) -> tuple | None:
+        """The best rule that the path starts with: the last one that sorts up to it, or one around that."""
+        k = bisect_right(self.paths, path) - 1
+        while k >= 0 and not path.startswith(self.paths[k]):
+            k = self.around[k]
+        return self.best[k] if k >= 0 else None
+
+
 def _sweep(batches: Iterator[pd.DataFrame], default: str) -> Iterator[pd.DataFrame]:
-    part, hosts, open_paths, waiting, host = None, [], [], [], None
+    part, hosts = None, []
     for b in batches:
         out = []
         for p, hkey, kind, path, page_id, name, length, rule, verdict in b.itertuples(index=False, name=None):
             if p != part:
-                part, hosts, host = p, [], None
+                part, hosts = p, []
             while hosts and not hkey.startswith(hosts[-1][0]):
                 hosts.pop()
             if kind == 0:
                 if not hosts or hosts[-1][0] != hkey:
-                    hosts.append((hkey, []))
-                hosts[-1][1].append((path, length, len(hkey), verdict == "block", rule, verdict))
-                host = None
+                    hosts.append((hkey, PathRules()))
+                hosts[-1][1].add(path, (length, len(hkey), verdict == "block", rule, verdict))
                 continue
-            if hkey != host:  # open the path rules of the hosts on the stack
-                host, open_paths = hkey, []
-                waiting = sorted((r for _, rules in hosts for r in rules), reverse=True)
-            while waiting and waiting[-1][0] <= path:
-                r = waiting.pop()
-                while open_paths and not r[0].startswith(open_paths[-1][0]):
-                    open_paths.pop()
-                best = max(r[1:], open_paths[-1][1]) if open_paths else r[1:]
-                open_paths.append((r[0], best))
-            while open_paths and not path.startswith(open_paths[-1][0]):
-                open_paths.pop()
-            found = open_paths[-1][1] if open_paths else (None, None, None, None, default)
+            fitting = [r for _, rules in hosts if (r := rules.find(path))]
+            found = max(fitting) if fitting else (None, None, None, None, default)
             out.append((page_id, name, path, found[3], found[4]))
         if out:
             page_ids, names, paths, rules, verdicts = zip(*out, strict=True)
