@@ -202,7 +202,9 @@ def _of_length(rows: DataFrame, length: int, n: int, k: int, m: int, chance: flo
                 yield pd.DataFrame({"block": blocks, "asks": 1, "vec_id": own, "v": [v] * len(blocks), "bound": bound})
 
     both = placed.mapInPandas(file, fields).union(placed.where("q").select("vec_id", "v").mapInPandas(ask, fields))
-    dealt = both.repartition(partitions(spark), "block").sortWithinPartitions("block", "asks", "vec_id")
+    # blocks are dealt by number: hashing would put several of them into one task and none into others
+    tasks = max(1, min(partitions(spark), sum(cuts)))
+    dealt = both.repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int")).sortWithinPartitions("block", "asks", "vec_id")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block_id, ids, parts, index = None, [], [], None
