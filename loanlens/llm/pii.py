@@ -13,6 +13,7 @@ combinations, whatever the number of documents, so the driver learns from that t
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -50,10 +51,15 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ZONE = re.compile(r"[0-9+][\x20().0-9+-]*")  # holds any match of the three
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-SPELLED_AT = re.compile(r"\x20?[\[(](?:at|AT)[\])]\x20?")
-SPELLED_REST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]+)+")
-LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-LOOSE = re.compile(r"[(]?[0-9](?:[\x20().-]{0,2}[0-9])++")
+# The loose patterns.  An address whose `at` or dots are spelled out, or stand apart; a plain `at` only before
+# a spelled-out dot.  Numbers in other groups, after other separators, or with their dots in brackets.
+SPELLED_AT = re.compile(r"\x20?[\[({](?:at|AT|At|@)[\])}]\x20?|\x20(?:at|AT)\x20(?=[A-Za-z0-9-]++\x20(?:dot|DOT)\x20)|(?<=[A-Za-z0-9])\x20@\x20?(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\x20(?=[A-Za-z0-9])")
+SPELLED_DOT = re.compile(r"\x20?[\[({](?:dot|DOT|Dot|\.)[\])}]\x20?|\x20(?:dot|DOT)\x20")
+SPELLED_REST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|" + SPELLED_DOT.pattern + r")[A-Za-z0-9-]++)+")
+BROKEN_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\x20?[\[({](?:dot|DOT|\.)[\])}]\x20?|\x20(?:dot|DOT)\x20)[0-9]{1,3}){3}(?![0-9])")
+IP6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+LOOSE = re.compile(r"[(]?[0-9](?:[\x20().\-/ ‐-– ]{0,3}[0-9])++")
+DATE = re.compile(r"(?<![0-9])(?:(?:19|20)[0-9]{2}[./\x20-][01]?[0-9][./\x20-][0-3]?[0-9]|[0-3]?[0-9][./\x20-][0-3]?[0-9][./\x20-](?:19|20)[0-9]{2})(?![0-9])")
 DIGIT = re.compile(r"[0-9]")
 WORDS = re.compile(r"[^\W_]+(?:-[^\W_]+)?")
 
@@ -100,52 +106,80 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Proposals beside the certain spans; none overlaps one of those."""
-    out = []
+    out, last = [], 0
     for m in SPELLED_AT.finditer(text):
-        before, after = LOCAL_END.search(text[max(0, m.start() - 64) : m.start()]), SPELLED_REST.match(text, m.end())
-        if before and after:
-            out.append((0, m.start() - len(before[0]), after.end()))
-    for zone in ZONE.finditer(text):
-        if zone.end() - zone.start() >= 7:
-            for m in LOOSE.finditer(text, *zone.span()):
-                d = len(digits_of(m[0]))
-                if m[0].count(".") >= 3 and d <= 12:
-                    out.append((1, *m.span()))
-                elif 13 <= d <= 19:
-                    out.append((2, *m.span()))
-                elif 8 <= d <= 12 and d < len(m[0]):
-                    out.append((3, *m.span()))
-    taken = sorted((s, e) for _, s, e in base)
+        start = m.start()
+        while start > last and LOCAL.match(text, start - 1):
+            start -= 1
+        after = SPELLED_REST.match(text, m.end()) if start < m.start() else None
+        if after:
+            out.append((0, start, after.end()))
+        last = after.end() if after else m.end()
+    out += [(1, *m.span()) for m in BROKEN_IP.finditer(text)]
+    out += [(1, *m.span()) for m in IP6.finditer(text) if m[0].count(":") == 7 or m[0].count("::") == 1]
+    for m in LOOSE.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
+        d = len(digits_of(m[0]))
+        if m[0].count(".") >= 3 and d <= 12:
+            out.append((1, *m.span()))
+        elif 13 <= d <= 19:
+            out.append((3 if m[0].startswith("00") and d <= 17 else 2, *m.span()))
+        elif 8 <= d <= 12 and d < len(m[0]):
+            out.append((3, *m.span()))
+    taken, at = sorted((s, e) for _, s, e in base), 0
     kept = []
     for kind, s, e in sorted(set(out), key=lambda x: x[1]):
-        while taken and taken[0][1] <= s:
-            taken.pop(0)
-        if not taken or taken[0][0] >= e:
+        while at < len(taken) and taken[at][1] <= s:
+            at += 1
+        if at == len(taken) or taken[at][0] >= e:
             kept.append((kind, s, e))
     return kept
 
 
+def plain_form(span: str) -> str:
+    """An address or number as it is usually written: `at` and dots that are spelled out become signs."""
+    return SPELLED_DOT.sub(".", SPELLED_AT.sub("@", span))
+
+
+def _dated(text: str, start: int, end: int) -> bool:
+    """Whether a number is, or begins or ends with, a date."""
+    return any(m.start() <= 1 or m.end() >= end - start - 1 for m in DATE.finditer(text[start:end]))
+
+
+def _is_ip6(span: str) -> bool:
+    try:
+        return ipaddress.IPv6Address(span) is not None
+    except ValueError:
+        return False
+
+
 def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[str, str]:
     """One sign per labeler (+ for, - against, 0 abstains), and the span's shape."""
     span = text[start:end]
     d = digits_of(span)
-    domain = re.split(r"@|[\[(](?:at|AT)[\])]", span)[-1] if kind == 0 else ""
-    tld = re.split(r"\.|[\])]", domain)[-1].strip().lower() if kind == 0 else ""
-    parts = [p for p in span.split(".") if p] if kind == 1 else []
-    structure = (
-        tld.isalpha() and len(tld) >= 2 if kind == 0 else len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
-        if kind == 1 else luhn(d) if kind == 2 else 10 <= len(d) <= 13
-    )
-    listed = (
-        tld in TLDS if kind == 0 else bool(parts) and parts[0] not in ("0", "00", "000") if kind == 1 else d.startswith(CARD_HEADS)
-        if kind == 2 else any(d.startswith(c) for c in CALLING_CODES) if base else None
-    )
+    if kind == 0:
+        tld = plain_form(span).rpartition("@")[2].rpartition(".")[2].lower()
+        structure, listed = tld.isalpha() and len(tld) >= 2, tld in TLDS
+    elif kind == 1 and ":" in span:
+        structure, listed = _is_ip6(span), span[:2].lower() in ("20", "24", "26", "28", "2a", "2c", "fd", "fe")
+    elif kind == 1:
+        parts = plain_form(span).split(".")
+        structure = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        listed = parts[0] not in ("", "0", "00", "000")
+    elif kind == 2:
+        structure, listed = luhn(d), d.startswith(CARD_HEADS)
+    else:
+        structure = 9 <= len(d.removeprefix("00")) <= 13 and not (not base and _dated(text, start, end))
+        abroad = base or d.startswith("00")
+        listed = any(d.removeprefix("00").startswith(c) for c in CALLING_CODES) if abroad else None
     words = WORDS.findall(text[max(0, start - CONTEXT) : start].lower())[-4:]
     cue = 1 if any(w in CUES[KINDS[kind]] for w in words) else -1 if any(w in COUNTER_CUES for w in words) else 0
     left, right = text[start - 1 : start], text[end : end + 1]
     free = not (left.isalnum() or left in ("_", "-", "#", "$", "€") and left) and not (right.isalnum() or right in ("_", "%") and right)
     varied = len(set(d)) > 2 if kind else len(span) >= 6
-    signs = (1 if base else 0, 1 if structure else -1, 0 if listed is None else 1 if listed else -1, cue, 1 if free else -1, 1 if varied else -1)
+    pattern = 1 if base else -1 if kind == 3 and not span.startswith(("0", "(")) else 0
+    signs = (pattern, 1 if structure else -1, 0 if listed is None else 1 if listed else -1, cue, 1 if free else -1, 1 if varied else -1)
     shape = f"{min(len(d), 20)}.{min(len(span) - len(d), 12) if kind else 0}"
     return "".join("-0+"[s + 1] for s in signs), shape
 
