@@ -13,40 +13,41 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.llm.common import stage, with_id
 
 GROUP_ROWS = 20_000  # pieces that are packed together
-CACHED = 300_000  # parts of words whose tokens a worker keeps
-MARKS = 1 << 22
+CACHED = 150_000  # parts of words whose tokens a worker keeps, in each of two generations
 BATCH_CHARS = 4 << 20
 TOKENS = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 class Kept:
-    """Tokens of parts that were met in two batches; once met, a part leaves a mark by its hash."""
+    """Tokens of parts of words, in two generations: when the younger is full it becomes the older, and
+    what was not asked for since then is forgotten."""
 
-    def __init__(self):
-        self.tokens: dict[str, bytes] = {}
-        self.met = bytearray(MARKS)
+    def __init__(self, encode: Callable[[list[str]], dict[str, bytes]]):
+        self.encode = encode
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def drop(self, new: dict[str, bytes]) -> None:
-        """Forget those of the new parts that were not met before."""
-        if len(self.tokens) > CACHED + len(new):
-            self.__init__()
-            return
-        tokens, met = self.tokens, self.met
-        for part in new:
-            mark = hash(part) % MARKS
-            if not met[mark]:
-                met[mark] = 1
-                del tokens[part]
+    def tokens(self, parts: list[str]) -> list[bytes]:
+        """The tokens of different parts; those not kept are encoded."""
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        asked = [p for p in parts if p not in young]
+        young.update({p: old[p] for p in asked if p in old})
+        young.update(self.encode([p for p in asked if p not in old]))
+        return [young[p] for p in parts]
 
 
 def _tokenizer(path: str):
@@ -61,8 +62,9 @@ def _tokenizer(path: str):
     if path not in held:
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
+        whole = tokenizers.Tokenizer.from_file(path)
         known = [rules[k] for k in ("normalizer", "pre_tokenizer")] == [NORMALIZER, CUTTER] and all(t["content"].startswith("<|") for t in rules["added_tokens"])
-        held[path] = (tokenizers.Tokenizer.from_file(path), Kept() if known else None)
+        held[path] = (whole, Kept(PartTokenizer(whole, path)) if known and len(whole.encode(BORDER, add_special_tokens=False).ids) == 1 else None)
     return held[path]
 
 
@@ -78,12 +80,18 @@ def token_bytes(texts: list[str], path: str, end: int = 0) -> list[bytes]:
     if kept is None:
         return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + last for t in texts]
     cut = [_parts(t) for t in texts]
-    new = _encode(tokenizer, set().union(*cut).difference(kept.tokens))
-    kept.tokens.update(new)
-    look_up = kept.tokens.__getitem__
-    out = [b"".join(map(look_up, ps)) + last for ps in cut]
-    kept.drop(new)
-    return out
+    coded = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
+    part = coded.indices.to_numpy()
+    tokens = kept.tokens(coded.dictionary.to_pylist())
+    # every part's ids stand in `ids` from `first` on; `at` lists where those of all texts are found
+    ids = np.frombuffer(b"".join(tokens), "<u4")
+    count = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
+    first, n = np.cumsum(count) - count, count[part]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(first[part] - ends[:-1], n) + np.arange(ends[-1])
+    found = ids[at].tobytes()
+    edges = (4 * ends[np.cumsum([0, *map(len, cut)])]).tolist()
+    return [found[a:b] + last for a, b in pairwise(edges)]
 
 
 def _parts(text: str) -> list[str]:
@@ -100,23 +108,33 @@ def _parts(text: str) -> list[str]:
     return out
 
 
-def _encode(tokenizer, parts: set[str]) -> dict[str, bytes]:
-    out, many = {}, []
-    for p in parts:
-        if PART.fullmatch(p):
-            many.append(p)
-        else:
-            out[p] = np.array(tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    for k in range(0, len(many), 1024):
-        block = many[k : k + 1024]
-        found = tokenizer.encode(" ".join(block), add_special_tokens=False)
-        ids, of = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
-        ends = (4 * np.searchsorted(of, np.arange(len(block) + 1))).tolist()
-        for p, a, b in zip(block, ends, ends[1:], strict=False):
-            out[p] = ids[a:b]
-    return out
+class PartTokenizer:
+    """Encodes many parts in one call.  Parts in lower case need no normaliser, and white space cuts them."""
+
+    def __init__(self, whole, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.lean = whole, Tokenizer.from_file(path)
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.border = whole.encode(BORDER, add_special_tokens=False).ids[0]
+
+    def __call__(self, parts: list[str]) -> dict[str, bytes]:
+        out, many = {}, []
+        for p in parts:
+            if PART.fullmatch(p) and p != BORDER:
+                many.append(p)
+            else:
+                out[p] = np.array(self.whole.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        for k in range(0, len(many), 512):
+            block = many[k : k + 512]
+            ids = np.array(self.lean.encode_batch_fast([f" {BORDER} ".join(block)], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.border)).tolist()
+            out.update(zip(block, [raw[a + 4 : b] for a, b in pairwise([-4, *ends, len(raw)])], strict=True))
+        return out
 
 
+BORDER = "0"  # a part of one token that stands between others; no other part holds this character
 # The rules of a tokenizer file by which its words can be encoded one by one.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 CUTTER = {"type": "Sequence", "pretokenizers": [
