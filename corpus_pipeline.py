@@ -53,12 +53,22 @@ STAGES = [
 ORACLE_SQL = None  # hashing, learning and tokenizing have no SQL; tests compare with a plain version
 
 
+# Texts that travel to a Python worker at once; the workers and the JVM share an executor's memory.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    for name, stage in STAGES:
-        path = os.path.join(scratch_folder(spark), name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        for name, stage in STAGES:
+            path = os.path.join(scratch_folder(spark), name.replace(" ", "-"))
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return docs
 
 
