@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from loanlens.llm.common import stage, with_id
 
 GROUP_ROWS = 20_000  # pieces that are packed together
-CACHED = 150_000  # parts of words whose tokens a worker keeps, in each of two generations
-BATCH_CHARS = 4 << 20
+CACHED = 100_000  # parts of words whose tokens a worker keeps, in each of two generations
+BATCH_CHARS = 1 << 20
 TOKENS = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
@@ -62,9 +62,10 @@ def _tokenizer(path: str):
     if path not in held:
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
-        whole = tokenizers.Tokenizer.from_file(path)
         known = [rules[k] for k in ("normalizer", "pre_tokenizer")] == [NORMALIZER, CUTTER] and all(t["content"].startswith("<|") for t in rules["added_tokens"])
-        held[path] = (whole, Kept(PartTokenizer(whole, path)) if known and len(whole.encode(BORDER, add_special_tokens=False).ids) == 1 else None)
+        del rules
+        parts = PartTokenizer(path) if known else None
+        held[path] = (None, Kept(parts)) if known and len(parts.border) == 1 else (tokenizers.Tokenizer.from_file(path), None)
     return held[path]
 
 
@@ -111,25 +112,35 @@ def _parts(text: str) -> list[str]:
 class PartTokenizer:
     """Encodes many parts in one call.  Parts in lower case need no normaliser, and white space cuts them."""
 
-    def __init__(self, whole, path: str):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.lean = whole, Tokenizer.from_file(path)
+        self.path, self.whole, self.lean = path, None, Tokenizer.from_file(path)
         self.lean.normalizer = normalizers.Sequence([])
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.border = whole.encode(BORDER, add_special_tokens=False).ids[0]
+        self.border = self.lean.encode(BORDER, add_special_tokens=False).ids
+
+    def other(self, part: str) -> list[int]:
+        """The ids of a part that needs all the rules; the tokenizer is loaded when one is met."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole.encode(part, add_special_tokens=False).ids
 
     def __call__(self, parts: list[str]) -> dict[str, bytes]:
         out, many = {}, []
         for p in parts:
-            if PART.fullmatch(p) and p != BORDER:
+            if p == BORDER:
+                out[p] = np.array(self.border, "<u4").tobytes()
+            elif PART.fullmatch(p):
                 many.append(p)
             else:
-                out[p] = np.array(self.whole.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                out[p] = np.array(self.other(p), "<u4").tobytes()
         for k in range(0, len(many), 512):
             block = many[k : k + 512]
             ids = np.array(self.lean.encode_batch_fast([f" {BORDER} ".join(block)], add_special_tokens=False)[0].ids, "<u4")
-            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.border)).tolist()
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.border[0])).tolist()
             out.update(zip(block, [raw[a + 4 : b] for a, b in pairwise([-4, *ends, len(raw)])], strict=True))
         return out
 
