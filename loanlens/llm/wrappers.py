@@ -16,7 +16,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from math import isqrt
 
 import pandas as pd
 import xxhash
@@ -28,7 +28,6 @@ from loanlens.llm.url_filter import host_of
 
 GROUP_PAGES = 500  # pages, then wrappers, that are aligned in one task
 TEMPLATE_PAGES = 10  # a host with fewer pages proves no template text
-COMPARED = 4_000_000  # pairs of tokens that are compared one by one, between two anchors
 PERIOD = 24  # tokens of a repeated group, at most
 
 # Elements and the words in class, id and role that are not main text.
@@ -184,8 +183,8 @@ def matching(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
     """Blocks (place in a, place in b, length) of equal tokens, in order.
 
     Equal ends go first, then tokens that occur once in both lists hold the lists together, in the
-    longest row that rises in both; what lies between is compared token by token.  Where that is over
-    COMPARED pairs, nothing between is equal: the wrapper gets more optional items, no text goes.
+    longest row that rises in both; of what lies between, of any length, the longest common row of
+    tokens is equal.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -200,15 +199,58 @@ def matching(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
     anchors = _rising([(i, at[t]) for i, t in enumerate(a[low[0] : high[0]], low[0]) if t in at])
     i, j = low
     for x, y in [*anchors, high]:
-        if i < x and j < y and (x - i) * (y - j) <= COMPARED:
-            blocks = SequenceMatcher(None, a[i:x], b[j:y], autojunk=False).get_matching_blocks()
-            out += [(i + m.a, j + m.b, m.size) for m in blocks if m.size]
+        if i < x and j < y:
+            out += [(i + p, j + q, n) for p, q, n in _common(a[i:x], b[j:y])]
         if (x, y) != high:
             out.append((x, y, 1))
         i, j = x + 1, y + 1
     return [*out, (*high, tail)] if tail else out
 
 
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+    """Blocks of a longest common subsequence.
+
+    A number's bits hold a row of the table of lengths, one bit per token of `a` (Hyyrö, "Bit-parallel
+    LCS-length computation revisited", AWOCA 2004): 0 where the length grows.  Rows are kept in steps
+    of the root of their number; those between are worked out again on the way back, so two pages of
+    100,000 tokens take some 10 MB.
+    """
+    places: dict[str, int] = {}
+    for i, token in enumerate(a):
+        places[token] = places.get(token, 0) | 1 << i
+    full, step = (1 << len(a)) - 1, max(1, isqrt(len(b)))
+
+    def rows(v: int, start: int, end: int) -> Iterator[int]:
+        for token in b[start:end]:
+            u = v & places.get(token, 0)
+            v = ((v + u) | (v - u)) & full
+            yield v
+
+    kept = [full]  # the row before every step-th token
+    for start in range(0, len(b), step):
+        v = kept[-1]
+        for v in rows(v, start, start + step):
+            pass
+        kept.append(v)
+    out: list[tuple[int, int, int]] = []
+    x, y = len(a), len(b)
+    while x and y:
+        start = (y - 1) // step * step
+        held = [r.to_bytes(len(a) // 8 + 1, "little") for r in (kept[start // step], *rows(kept[start // step], start, y))]
+        while x and y > start:
+            if held[y - start][(x - 1) >> 3] >> (x - 1 & 7) & 1:
+                x -= 1
+            elif held[y - start - 1][(x - 1) >> 3] >> (x - 1 & 7) & 1:
+                x, y = x - 1, y - 1
+                if out and out[-1][:2] == (x + 1, y + 1):
+                    out[-1] = (x, y, out[-1][2] + 1)
+                else:
+                    out.append((x, y, 1))
+            else:
+                y -= 1
+    return out[::-1]
+
+
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest row of pairs whose second numbers rise, too."""
     ends: list[int] = []
