@@ -77,6 +77,15 @@ def loan_card_features(credit_card: DataFrame) -> DataFrame:
     )
 
 
+LOANS_PER_TASK = 50_000
+
+
+def _join_tasks(prev_apps: DataFrame) -> int:
+    """LOANS_PER_TASK loans in a task on average: the joins sort all their sides at once, so what a task
+    holds must not grow with the table."""
+    return max(prev_apps.sparkSession.sparkContext.defaultParallelism, -(-prev_apps.count() // LOANS_PER_TASK))
+
+
 # Which histories report each shared feature, most trusted first.
 SOURCES_BY_TRUST = {
     "UNDERPAID": ["inst", "card"],
@@ -104,10 +113,11 @@ def loan_features(
         "pos": loan_pos_features(pos_cash, tie),
         "card": loan_card_features(credit_card),
     }
-    joined = prev_apps
+    tasks = _join_tasks(prev_apps)
+    joined = prev_apps.repartition(tasks, "SK_ID_PREV")
     for name, side in sides.items():
         shared = {c: f"__{name}_{c}" for c in side.columns if c in SOURCES_BY_TRUST}
-        joined = joined.join(side.withColumnsRenamed(shared), "SK_ID_PREV", "left")
+        joined = joined.join(side.withColumnsRenamed(shared).repartition(tasks, "SK_ID_PREV"), "SK_ID_PREV", "left")
     combined = {c: F.coalesce(*[F.col(f"__{s}_{c}") for s in order]) for c, order in SOURCES_BY_TRUST.items()}
     spare = [f"__{s}_{c}" for c, order in SOURCES_BY_TRUST.items() for s in order]
     return joined.withColumns(combined).drop(*spare)
