@@ -20,7 +20,7 @@ from loanlens.functions.nulls import UNKNOWN, numeric_columns, string_columns
 from loanlens.functions.ordering import quantiles
 from loanlens.operators.dictionary import build_dictionary
 from loanlens.operators.profiling import unpivot
-from loanlens.sources.tables import scratch_folder
+from loanlens.sources.tables import scratch_folder, stage
 
 # Categories with a natural order.
 WEEKDAYS = ["MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY"]
@@ -284,9 +284,11 @@ def encode_for_correlation(
     """All columns as numbers: dummies, ordered categories, YES/NO as 1/0, missing numbers as the mean.
 
     `ordinal` columns without a fixed order get their lexical position, null staying null.  Other
-    text columns must hold YES, NO or numbers.  `ids` pass through untouched.
+    text columns must hold YES, NO or numbers.  `ids` pass through untouched.  The rows are stored
+    first: categories and means are learned in passes of their own, which must not compute them again.
     """
     ids = ids or []
+    df = stage(df)
     ordinal = ["CODE_GENDER", "NAME_EDUCATION_TYPE", "WEEKDAY_APPR_PROCESS_START"] if ordinal is None else ordinal
     texts = [c for c in string_columns(df) if c not in one_hot and c not in ordinal and c not in ids]
     numbers = [c for c in numeric_columns(df) if c not in ids]
