@@ -276,9 +276,21 @@ class SecondOrderFit:
             self.model.kept = self.trained
 
 
-def fit_second_order(train: DataFrame, validation: DataFrame | None, label: str, rounds: int = 2000, **options) -> SecondOrderModel:
-    """Train until `patience` rounds bring no lower loss on the validation rows, or for `rounds`."""
-    return SecondOrderFit(train, validation, label, **options).train(rounds)
+def fit_second_order(
+    train: DataFrame | Rows, validation: DataFrame | Rows | None, label: str, rounds: int = 2000, weight: str | None = None,
+    params: Params | None = None, bins: int = 32, seed: int = 0, patience: int = 100, ids: list[str] | None = None
+) -> SecondOrderModel:
+    """Train until `patience` rounds bring no lower loss on the validation rows, or for `rounds`.
+
+    Rows are stored as bin numbers once and every level of a tree is one pass over them (see `together`);
+    `SecondOrderFit` reads the vectors again for every level, and walks the trees since margins were written.
+    """
+    own = train if isinstance(train, Rows) else store_rows(train, label, weight, ids)
+    held = validation if validation is None or isinstance(validation, Rows) else store_rows(validation, label)
+    together = Together(own, held, [params or Params()], [seed], bins, patience)
+    together.train(rounds)
+    fit = together.fits[0]
+    return SecondOrderModel(together.base, fit.nodes[: fit.kept], fit.losses, fit.kept)
 
 
 # Ranges of the hyper-parameter search (kind, low, high).

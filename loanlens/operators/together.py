@@ -124,6 +124,7 @@ class Fit:
     kept: int = 0
     losses: list[float] = field(default_factory=list)
     recent: list[dict] = field(default_factory=list)
+    nodes: list[list[dict]] = field(default_factory=list)  # of all trees, as rows of `trees.NODES`
 
 
 def _leaves(tree: dict[int, tuple], codes: np.ndarray) -> np.ndarray:
@@ -147,19 +148,24 @@ def _margin(start: np.ndarray, recent: list[tuple], codes: np.ndarray) -> np.nda
 def _batches(batches: Iterator[pa.RecordBatch], width: int):
     for b in batches:
         if b.num_rows:
-            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), "<u2").reshape(-1, width)
+            texts = b.column("codes")  # all of one length, end to end
+            first = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset]
+            codes = np.frombuffer(texts.buffers()[2], "<u2", len(texts) * width, first).reshape(-1, width)
             yield b, codes, _wide(b.column("margins"))
 
 
 class Together:
-    """Fits on the rows of `train`, judged on those of `held` (see `boosting.Rows`), which go on in step."""
+    """Fits on the rows of `train`, judged on those of `held` (see `boosting.Rows`), which go on in step.
+
+    Without `held` no round is better than the last.
+    """
 
     def __init__(self, train, held, params: list, seeds: list[int], bins: int, patience: int):
         share = min(max(train.share, 1e-9), 1 - 1e-9)
-        base = math.log(share / (1 - share))
+        self.base = base = math.log(share / (1 - share))
         self.borders = slot_borders(train.frame, bins)
         self.sizes = [c if isinstance(c, int) else len(c) + 1 for c in self.borders]
-        self.frames = [coded(r.frame, self.borders, base, len(params)) for r in (train, held)]
+        self.frames = [None if r is None else coded(r.frame, self.borders, base, len(params)) for r in (train, held)]
         self.fits = [Fit(p, s, i) for i, (p, s) in enumerate(zip(params, seeds, strict=True))]
         self.patience, self.bins = patience, max(self.sizes, default=1)
 
@@ -205,10 +211,15 @@ class Together:
                     grown[f.place]["open"] = {k: d for k, d in grown[f.place]["open"].items() if k not in grown[f.place]["asked"]}
         for f in active:
             g = grown[f.place]
-            f.recent.append(self._values(g, f.params, settled))
+            nodes, values = self._values(g, f.params, settled)
+            f.recent.append((g["tree"], values))
+            f.nodes.append([{"tree": f.trained, **{k: v for k, v in n.items() if k != "leaf"}} for _, n in sorted(nodes.items())])
             f.trained += 1
-        losses = self._losses(active)
+        losses = self._losses(active) if self.frames[1] is not None else {}
         for f in active:
+            if not losses:
+                f.kept = f.trained
+                continue
             f.losses.append(losses[f.place])
             if min(f.losses) == f.losses[-1] and f.losses.index(f.losses[-1]) == f.trained - 1:
                 f.kept = f.trained
@@ -219,7 +230,7 @@ class Together:
         return next(f for f in self.fits if f.place == place)
 
     def _values(self, g: dict, params, settled) -> tuple:
-        """The tree with the value of every node, after its splits are judged."""
+        """The tree's nodes after its splits are judged, and the value at every number of a grown leaf."""
         nodes, order = {}, {}
         leaf = {"slot": -1, "threshold": None, "low_categories": None, "categories": -1}
 
@@ -228,17 +239,23 @@ class Together:
             order[at] = k
             own = nodes[at] = {"node": at, "low_child": -1, "high_child": -1, "leaf": None, **leaf}
             if k in g["tree"]:
+                slot, lows, *_ = g["tree"][k]
+                own["slot"], border = int(slot), self.borders[slot]
+                if isinstance(border, int):
+                    own["low_categories"], own["categories"] = np.flatnonzero(lows).astype(float).tolist(), border
+                else:
+                    own["threshold"] = float(border[np.flatnonzero(lows)[-1]])
                 own["low_child"], own["high_child"] = visit(g["tree"][k][2]), visit(g["tree"][k][3])
             else:
                 own["leaf"] = k
             return at
 
         visit(0)
-        _, values = settled(nodes, {k: g["sums"].get(k, (0.0, 0.0, 0.0)) for k in order.values()}, params)
+        nodes, values = settled(nodes, {k: g["sums"].get(k, (0.0, 0.0, 0.0)) for k in order.values()}, params)
         out = np.zeros(g["next"])
         for k, v in values.items():
             out[k] = v
-        return g["tree"], out
+        return nodes, out
 
     def _parts(self, todo: list[Fit], grown: dict) -> Iterator[list[Fit]]:
         """Fits whose sums a task can hold at once; `asked` are the leaves each looks at in this pass."""
@@ -270,18 +287,19 @@ class Together:
                 for place, seed, number, subsample, recent, tree, asked, slots in jobs:
                     keep = np.flatnonzero(unit(rows, seed, number) < subsample) if subsample < 1 else np.arange(len(rows))
                     own = codes[keep]
-                    leaf = np.searchsorted(asked, _leaves(tree, own))
+                    ends = _leaves(tree, own)
+                    leaf = np.searchsorted(asked, ends)
                     leaf[leaf == len(asked)] = 0
-                    here = np.asarray(asked)[leaf] == _leaves(tree, own)
+                    here = np.asarray(asked)[leaf] == ends
                     keep, own, leaf = keep[here], own[here], leaf[here]
                     p = 1 / (1 + np.exp(-_margin(margins[keep, place], recent, own)))
                     g, h = w[keep] * (p - y[keep]), np.maximum(w[keep] * p * (1 - p), 1e-16)
-                    cell = ((leaf[:, None] * len(slots) + np.arange(len(slots))) * bins + own[:, slots]).ravel()
-                    size = len(asked) * len(slots) * bins
-                    sums = total.setdefault(place, np.zeros((3, size)))
-                    sums[0] += np.bincount(cell, np.repeat(g, len(slots)), size)
-                    sums[1] += np.bincount(cell, np.repeat(h, len(slots)), size)
-                    sums[2] += np.bincount(cell, minlength=size)
+                    sums = total.setdefault(place, np.zeros((3, len(asked), len(slots), bins)))
+                    size, first = len(asked) * bins, leaf * bins
+                    for i, column in enumerate(own[:, slots].T):
+                        cell = first + column
+                        for m, each in enumerate((g, h, None)):
+                            sums[m, :, i] += np.bincount(cell, each, size).reshape(-1, bins)
             fits, found = list(total), [total[k].tobytes() for k in total]
             yield pa.RecordBatch.from_arrays([pa.array(fits, pa.int32()), pa.array(found, pa.binary())], names=["fit", "sums"])
 
@@ -312,8 +330,9 @@ class Together:
             return pd.DataFrame(out, columns=["fit", "node", "g", "h", "n", "slot", "lows", "gl", "hl", "nl"])
 
         sums = self.frames[0].mapInArrow(add, "fit int, sums binary")
-        return sums.groupBy("fit").applyInPandas(
-            choose, "fit int, node int, g double, h double, n double, slot int, lows array<int>, gl double, hl double, nl double").orderBy("fit", "node").collect()
+        found = sums.groupBy("fit").applyInPandas(
+            choose, "fit int, node int, g double, h double, n double, slot int, lows array<int>, gl double, hl double, nl double").collect()
+        return sorted(found, key=lambda r: (r["fit"], r["node"]))
 
     def _losses(self, active: list[Fit]) -> dict[int, float]:
         """Weighted mean log loss of each fit on the held-out rows."""
@@ -356,6 +375,6 @@ class Together:
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("codes", "label", "weight", "row")], pa.ListArray.from_arrays(ends, pa.array(now.ravel()))],
                                                  names=["codes", "label", "weight", "row", "margins"])
 
-        self.frames = [stage(f.mapInArrow(run, "codes binary, label double, weight double, row long, margins array<double>")) for f in self.frames]
+        self.frames = [None if f is None else stage(f.mapInArrow(run, "codes binary, label double, weight double, row long, margins array<double>")) for f in self.frames]
         for i, f in enumerate(self.fits):
             f.place, f.recent = i, []

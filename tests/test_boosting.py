@@ -52,6 +52,29 @@ def test_leaf_values_are_newton_steps(spark):
     assert np.allclose(got, margin, atol=1e-9)
 
 
+def test_a_round_is_a_pass_for_each_level(spark):
+    """Few jobs a round, none for the splits' samples; a table of few values gives the trees that are grown one by one."""
+    from test_together import coarse
+
+    train, held = coarse(spark, 400, 3), coarse(spark, 200, 4)
+
+    def jobs(rounds: int) -> int:
+        spark.sparkContext.setJobGroup(f"second order {rounds}", "")
+        boosting.fit_second_order(train, held, "label", rounds=rounds, params=Params(max_depth=2, min_data_in_leaf=5))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"second order {rounds}"))
+
+    assert jobs(5) - jobs(2) <= 3 * (3 * 2 + 1)  # two levels and the loss, each with one shuffle
+    params = Params(learning_rate=0.4, max_depth=3, min_data_in_leaf=5, reg_lambda=1.0)
+    model = boosting.fit_second_order(train, held, "label", rounds=4, params=params)
+    one = boosting.SecondOrderFit(train, held, "label", params=params)
+    one.train(4)
+    assert model.losses == pytest.approx(one.model.losses, abs=1e-9)
+    x = np.array([r.features.toArray() for r in held.select("features").collect()])
+    for a, b in zip(model.nodes, one.model.nodes, strict=False):
+        assert np.allclose(boosting._walk({n["node"]: n for n in a}, x), boosting._walk({n["node"]: n for n in b}, x), atol=1e-9)
+
+
 def test_gain_floor_and_leaf_limit():
     """A tree of four leaves: the weak split goes by the floor, the next weakest by the limit."""
     leaf = lambda node, number: {"node": node, "low_child": -1, "high_child": -1, "slot": -1, "threshold": None, "low_categories": None, "categories": -1, "leaf": number}
