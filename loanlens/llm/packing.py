@@ -43,11 +43,14 @@ class Kept:
         """The tokens of different parts; those not kept are encoded."""
         if len(self.young) > CACHED:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        asked = [p for p in parts if p not in young]
-        young.update({p: old[p] for p in asked if p in old})
-        young.update(self.encode([p for p in asked if p not in old]))
-        return [young[p] for p in parts]
+        found = list(map(self.young.get, parts))
+        asked = [p for p, f in zip(parts, found, strict=True) if f is None]
+        if not asked:
+            return found
+        new = {p: self.old[p] for p in asked if p in self.old}
+        new |= self.encode([p for p in asked if p not in new])
+        self.young.update(new)
+        return [new[p] if f is None else f for p, f in zip(parts, found, strict=True)]
 
 
 def _tokenizer(path: str):
@@ -80,8 +83,14 @@ def token_bytes(texts: list[str], path: str, end: int = 0) -> list[bytes]:
     last = int(end).to_bytes(4, "little")
     if kept is None:
         return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + last for t in texts]
-    cut = [_parts(t) for t in texts]
-    coded = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
+    plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+    order = sorted(range(len(texts)), key=lambda i: not plain[i])  # the plain texts, then the others
+    parts, sizes = plain_parts([texts[i] for i in order if plain[i]])
+    others = [_parts(texts[i]) for i in order if not plain[i]]
+    if others:
+        parts = pa.concat_arrays([parts, pa.array(chain.from_iterable(others), pa.large_string())])
+        sizes = np.concatenate([sizes, [len(o) for o in others]])
+    coded = parts.dictionary_encode()
     part = coded.indices.to_numpy()
     tokens = kept.tokens(coded.dictionary.to_pylist())
     # every part's ids stand in `ids` from `first` on; `at` lists where those of all texts are found
@@ -91,15 +100,42 @@ def token_bytes(texts: list[str], path: str, end: int = 0) -> list[bytes]:
     ends = np.concatenate([[0], np.cumsum(n)])
     at = np.repeat(first[part] - ends[:-1], n) + np.arange(ends[-1])
     found = ids[at].tobytes()
-    edges = (4 * ends[np.cumsum([0, *map(len, cut)])]).tolist()
-    return [found[a:b] + last for a, b in pairwise(edges)]
+    edges = (4 * ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]).tolist()
+    out = [b""] * len(texts)
+    for i, (a, b) in zip(order, pairwise(edges), strict=True):
+        out[i] = found[a:b] + last
+    return out
+
+
+def plain_parts(texts: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """What PART finds in plain texts in lower case, one after the other, and each text's number of parts.
+
+    All texts are cut at once: a part starts where the kind of character changes, at every digit, and
+    after an apostrophe with its ending.  Beyond ASCII, plain texts have letters only.
+    """
+    raw = [t.lower().encode() for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b"\n\n"]), np.uint8)
+    kind = KIND[data]
+    starts = (kind != np.concatenate([[0], kind[:-1]])) & (kind != SPACE)
+    starts |= kind == DIGIT
+    marks = np.flatnonzero((data == ord("'")) & starts)
+    one, two = data[marks + 1], data[marks + 1].astype(np.int64) << 8 | data[marks + 2]
+    size = np.where(np.isin(one, ENDINGS[0]), 1, np.where(np.isin(two, ENDINGS[1]), 2, 0))
+    marks, size = marks[size > 0], size[size > 0]
+    starts[marks + 1] = False
+    after = marks + 1 + size
+    starts[after[kind[after] == LETTER]] = True
+    kept = kind != SPACE
+    body, first = data[kept], np.flatnonzero(starts[kept])
+    offsets = np.append(first, len(body)).astype(np.int64)
+    parts = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(body))
+    ends = np.cumsum([0, *[len(r) + 1 for r in raw]])
+    return parts, np.diff(np.searchsorted(np.flatnonzero(starts), ends))
 
 
 def _parts(text: str) -> list[str]:
-    """The parts of plain texts, in lower case.  Of other texts the words between white space, which
-    the tokenizer drops; those of plain characters are cut into parts, others are left as they are."""
-    if PLAIN.fullmatch(text) and "<|" not in text:
-        return PART.findall(text.lower())
+    """Of texts that are not plain the words between white space, which the tokenizer drops; those of
+    plain characters are cut into parts in lower case, others are left as they are."""
     out = []
     for word in WORD.findall(text):
         if PLAIN.fullmatch(word) and "<|" not in word:  # which may be a special token
@@ -156,6 +192,10 @@ PLAIN = re.compile("[\x20-\x7e\x09-\x0dÀ-ÖØ-öø-įı-ſ]*")
 # Fixed value: the parts of a plain text in lower case.
 PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ſ]+|[0-9]|[!-/:-@\[-`{-~]+")
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
+SPACE, DIGIT, SIGN, LETTER = range(4)
+KIND = np.array([SPACE if b in b" \t\n\x0b\x0c\r" else DIGIT if chr(b) in "0123456789" else LETTER if b > 127 or chr(b).isalpha() else SIGN for b in range(256)], np.uint8)
+# Fixed value: the endings after an apostrophe, of one letter and of two.
+ENDINGS = [ord(c) for c in "stmd"], [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")]
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:

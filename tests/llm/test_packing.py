@@ -98,3 +98,14 @@ def test_bounds_hold(seed):
         order = np.argsort(offsets[bins == b])
         n = lengths[bins == b][order]
         assert (offsets[bins == b][order] == np.cumsum(n) - n).all() and n.sum() <= size
+
+
+def test_plain_texts_are_cut_at_once_like_one_by_one():
+    rng = random.Random(4)
+    pieces = ["'", "''", "'s", "'re", "'ll", "'ve", "don't", "rest", "s", "re", "l", "v", "e", "m", "d", "t", "7", "42", "É", "ñu", "Ø", " ", "\n", "\t", "-", "!", "a", "Z"]
+    texts = ["", "'", "'s", "x'", "it's's 're-'rest ''s 9's", *["".join(rng.choices(pieces, k=rng.randint(1, 30))) for _ in range(3000)]]
+    assert all(packing.PLAIN.fullmatch(t) for t in texts)
+    parts, sizes = packing.plain_parts(texts)
+    want = [packing.PART.findall(t.lower()) for t in texts]
+    assert parts.to_pylist() == [p for w in want for p in w] and sizes.tolist() == [len(w) for w in want]
+    assert packing.plain_parts([])[0].to_pylist() == [] and packing.plain_parts(["", " "])[1].tolist() == [0, 0]
