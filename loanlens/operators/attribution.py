@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions.ordering import hash_order
 from loanlens.operators.evaluation import roc_auc_by
-from loanlens.operators.models import ROUNDS, auc, fit_boosting
+from loanlens.operators.models import ROUNDS, auc, fit_boosting, input_slots
 from loanlens.sources.tables import stage
 
 
@@ -58,22 +58,46 @@ def permutation_importance(
     Row number p of one hash order receives the values of row number p of another, so every value is
     used once and any rerun deals the same way.  Each row is scored as it is and once per column, in
     one pass, and the areas of all columns come from one ranking, so the number of jobs does not grow
-    with the columns.
+    with the columns.  Where every column has a vector slot of its own, rows become vectors once and
+    a variant replaces a slot; other models get whole rows.
     """
+    slots = input_slots(model)
+    ranked = _slot_scores(model, df, label, ids, [slots[c] for c in columns], seed) if set(columns) <= set(slots) else _row_scores(model, df, label, ids, columns, seed)
+    areas = {r["__variant"]: r["roc_auc"] for r in roc_auc_by(stage(ranked), "__variant", label, "__score").collect()}  # one per column
+    rows = [(c, float(areas[-1] - areas[i])) for i, c in enumerate(columns)]
+    out = df.sparkSession.createDataFrame(rows, "feature string, importance double")
+    return out.orderBy(F.desc("importance"), "feature")
+
+
+def _variants(count: int) -> Column:
+    return F.explode(F.sequence(F.lit(-1), F.lit(count - 1))).alias("__variant")  # -1: as it is
+
+
+def _slot_scores(model: PipelineModel, df: DataFrame, label: str, ids: list[str], slots: list[int], seed: int) -> DataFrame:
+    """__variant, label, __score of every row and variant, where variant i has slot `slots[i]` dealt anew."""
+    vectors = PipelineModel(model.stages[:-1]).transform(df).withColumn("__own", vector_to_array("features"))
+    whole = stage(vectors.select(*ids, label, "__own", F.lit(1).alias("__all")))
+    seats = hash_order(whole, "__all", ids, seed, "__seat").select("__seat", label, "__own")
+    dealt = hash_order(whole.drop(label), "__all", ids, seed + 1, "__seat").select("__seat", F.col("__own").alias("__dealt"))
+    both = stage(seats.join(dealt, "__seat").drop("__seat"))
+    slot = F.get(F.array(*[F.lit(s) for s in slots]), F.col("__variant"))
+    replaced = F.concat(F.slice("__own", F.lit(1), slot), F.array(F.get("__dealt", slot)), F.slice("__own", slot + 2, F.size("__own")))
+    permuted = both.select("*", _variants(len(slots))).withColumn("__features", F.when(F.col("__variant") < 0, F.col("__own")).otherwise(replaced))
+    ready = permuted.select("__variant", label, array_to_vector("__features").alias("features"))
+    return model.stages[-1].transform(ready).select("__variant", label, vector_to_array("probability")[1].alias("__score"))
+
+
+def _row_scores(model: Model, df: DataFrame, label: str, ids: list[str], columns: list[str], seed: int) -> DataFrame:
+    """The same for any model, by rows of raw columns."""
     whole = stage(df.withColumn("__all", F.lit(1)))
     seats = hash_order(whole, "__all", ids, seed, "__seat").drop("__all")
     dealt = hash_order(whole.select("__all", *ids, *columns), "__all", ids, seed + 1, "__seat").select(
         "__seat", *[F.col(c).alias(f"__dealt_{i}") for i, c in enumerate(columns)])
     both = stage(seats.join(dealt, "__seat").drop("__seat"))
-    variants = both.withColumn("__variant", F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1))))  # -1: as it is
     place = {c: i for i, c in enumerate(columns)}
-    permuted = variants.select("__variant", *[
+    permuted = both.select("*", _variants(len(columns))).select("__variant", *[
         F.when(F.col("__variant") == place[c], F.col(f"__dealt_{place[c]}")).otherwise(F.col(c)).alias(c) if c in place else F.col(c) for c in df.columns])
-    scores = stage(model.transform(permuted).select("__variant", label, vector_to_array("probability")[1].alias("__score")))
-    areas = {r["__variant"]: r["roc_auc"] for r in roc_auc_by(scores, "__variant", label, "__score").collect()}  # one per column
-    rows = [(c, float(areas[-1] - areas[i])) for i, c in enumerate(columns)]
-    out = df.sparkSession.createDataFrame(rows, "feature string, importance double")
-    return out.orderBy(F.desc("importance"), "feature")
+    return model.transform(permuted).select("__variant", label, vector_to_array("probability")[1].alias("__score"))
 
 
 def zero_importance(importances: DataFrame) -> list[str]:

@@ -96,6 +96,15 @@ def tree_inputs(df: DataFrame, columns: list[str]) -> tuple[PipelineModel, int]:
     return PipelineModel(stages), bins
 
 
+def input_slots(model: Model) -> dict[str, int]:
+    """The vector slot of each raw column, for a pipeline that begins with `tree_inputs`; else nothing."""
+    assemblers = [s for s in getattr(model, "stages", []) if isinstance(s, VectorAssembler)]
+    names = [c.partition("__") for a in assemblers for c in a.getInputCols()]
+    if len(assemblers) != 1 or any(kind not in ("number", "index") or not c for kind, _, c in names):
+        return {}
+    return {c: i for i, (_, _, c) in enumerate(names)}
+
+
 def boosting_estimator(
     label: str, rounds: int = ROUNDS, bins: int = 32, weight: str | None = None, params: dict | None = None, seed: int = 0
 ) -> GBTClassifier:

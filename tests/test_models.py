@@ -200,3 +200,22 @@ def test_permutation_of_all_columns_takes_the_jobs_of_one(spark):
         moved = seats.drop(c).join(dealt.select("seat", c), "seat")
         assert got[c] == pytest.approx(base - models.auc(model, moved, "label"))
     assert got["a"] > 0.1 > abs(got["noise"])
+
+
+def test_permutation_by_slots_scores_vectors(spark, planted, monkeypatch):
+    """Rows become vectors once, not once per variant; the importances are those by whole rows."""
+    columns = ["c", "a", "noise", "b"]
+    train = tables.stage(planted)
+    model = models.fit_boosting(train, train, "label", columns, rounds=4)
+    assert models.input_slots(model) == {"c": 0, "a": 1, "noise": 2, "b": 3}
+    assert models.input_slots(model.stages[-1]) == {}
+    seen = attribution._slot_scores(model, train, "label", ["id"], [2, 0], 0)
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert "index__" not in plan and "number__" not in plan
+    assert seen.count() == 3 * train.count()
+    for own in (columns, ["b", "c"]):
+        by_slots = attribution.permutation_importance(model, train, "label", ["id"], own).collect()
+        with monkeypatch.context() as m:
+            m.setattr(attribution, "input_slots", lambda model: {})
+            assert attribution.permutation_importance(model, train, "label", ["id"], own).collect() == by_slots
+    assert by_slots[0].importance > 0
