@@ -115,9 +115,11 @@ def nearest_vectors(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
     There are as many pivots as the root of the number of vectors, so cells grow no faster than
     their number, and MOST_PIVOTS at most; the pivots' matrix and one row per cell are all that
     reaches the driver and is broadcast.  With more than MOST_PIVOTS ** 2 vectors cells grow, and are
-    cut into more blocks.
+    cut into more blocks.  Rows meet the pivots in tasks of BLOCK_ROWS on average, one per core at
+    least: by bytes they would fit into few tasks, but each costs a distance to every pivot.
     """
     total = vectors.count()
+    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_ROWS))
     wanted = min(max(1, int(total ** 0.5)), MOST_PIVOTS)
     picked = vectors.orderBy(F.xxhash64(F.lit(seed), "features"), "vid").limit(wanted).select("features").collect()
     pivots = np.array([r["features"] for r in picked], dtype="float64").reshape(len(picked), -1)
@@ -131,7 +133,7 @@ def nearest_vectors(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
                 yield batch.assign(cell=cell.astype("int32"), reach=np.sqrt(((x - pivots[cell]) ** 2).sum(1)))
 
     fields = "features array<double>, n long, vid long"
-    points = stage(vectors.select("features", "n", "vid").mapInPandas(assign, f"{fields}, cell int, reach double"))
+    points = stage(vectors.select("features", "n", "vid").repartition(tasks, "vid").mapInPandas(assign, f"{fields}, cell int, reach double"))
     own = points.filter(F.col("n") <= k)  # a vector with k copies besides itself needs no others
     columns = ["vid", "other", "copies", "distance", "place"]
     first = stage(_k_best(_search(own, points, k), k).select(*columns))
@@ -164,7 +166,7 @@ def nearest_vectors(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
     limits = first.groupBy("vid").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("limit"))
     reach = own.join(limits, "vid", "left").fillna(float("inf"), subset=["limit"])
-    visits = stage(reach.select("vid", "features", "cell", "limit").mapInPandas(
+    visits = stage(reach.select("vid", "features", "cell", "limit").repartition(tasks, "vid").mapInPandas(
         other_cells, "vid long, features array<double>, cell int"))
     second = _search(visits, points, k)
     found = first.drop("place").unionByName(second.select(*columns[:-1]))
