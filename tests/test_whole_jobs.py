@@ -1,7 +1,8 @@
 """Registered queries that train models read all rows and train as long as the library does by default."""
 
 from loanlens.operators import attribution, boosting, models, sampling
-from loanlens.registry import modelling
+from loanlens.plans import modelling as plan
+from loanlens.registry import modelling, scoring
 from loanlens.sources import tables
 
 
@@ -49,3 +50,15 @@ def test_the_first_stretch_changes_no_model(spark):
     fits = [models.fit_boosting(train, validation, "label", ["a", "b"], rounds=12, params={"maxDepth": 2, "stepSize": 0.9}, patience=2, first=first)
             for first in (None, 3, 9)]
     assert len({f.stages[-1].toDebugString.partition("\n")[2] for f in fits}) == 1
+
+
+def test_tree_scores_train_to_the_end(spark, sf_dir, monkeypatch):
+    fits, short = [], models.fit_boosting
+
+    def fit(train, validation, label, columns, rounds=models.ROUNDS, weight=None, **options):
+        fits.append((train.count() + validation.count(), rounds, options))
+        return short(train, validation, label, columns, 1, weight, {"maxDepth": 1})
+
+    monkeypatch.setattr(plan.models, "fit_boosting", fit)
+    scores = scoring.tree_scores(spark, sf_dir)
+    assert fits == [(scores.count(), 2000, {})]
